@@ -52,3 +52,16 @@ def once_a_worker(key: Any, make: Callable[[], Any]) -> Any:
             kept.pop(next(iter(kept)))
         kept[key] = make()
     return kept[key]
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, row_bytes: int, weight: str, hot: int = 20_000) -> DataFrame:
+    """``left`` inner, left or semi joined with ``right``, whose keys are unique and of which ``rows`` were counted.
+
+    A small ``right`` is broadcast.  Else its keys that ``weight`` says have over ``hot`` rows in ``left`` are broadcast
+    (there are at most left's rows / ``hot`` of them), and the others are shuffled, so no task gets more rows of a key.
+    """
+    if rows * row_bytes <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), on, how)
+    few, rest = right.where(F.col(weight) > hot), right.where(F.col(weight) <= hot)
+    here = left.join(F.broadcast(few), on, "inner" if how == "left" else how)
+    return here.unionByName(left.join(F.broadcast(few.select(*on)), on, "left_anti").join(rest, on, how))
