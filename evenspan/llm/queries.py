@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, media, near_dup, packing
+from . import decontaminate, langid, line_dedup, media, near_dup, packing
 from .common import read
 
 
@@ -32,12 +32,16 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_best_fit_packing, op4_minhash_near_dedup, op5_benchmark_decontamination, op8_line_dedup)}
+    return {f.__name__: f for f in (op2_media_columns, op3_best_fit_packing, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op8_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
