@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup, media, near_dup, packing
+from . import decontaminate, langid, line_dedup, media, near_dup, packing, toxicity
 from .common import read
 
 
@@ -40,8 +40,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_best_fit_packing, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op8_line_dedup)}
+    return {f.__name__: f for f in (op2_media_columns, op3_best_fit_packing, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op8_line_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
