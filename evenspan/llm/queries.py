@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, line_dedup, media, near_dup, packing, toxicity
+from . import decontaminate, html_text, langid, line_dedup, media, near_dup, packing, secrets, toxicity
 from .common import read
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(read(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.from_media(media.to_media(read(spark, sf_dir, "documents"))))
 
@@ -49,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_best_fit_packing, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op7_html_extraction, op8_line_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_best_fit_packing, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op7_html_extraction, op8_line_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
