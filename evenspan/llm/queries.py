@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, line_dedup, media, near_dup, packing, secrets, toxicity
+from . import decontaminate, html_text, langid, line_dedup, media, near_dup, packing, pii, secrets, toxicity
 from .common import read
 
 
@@ -52,8 +52,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_best_fit_packing, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op7_html_extraction, op8_line_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_best_fit_packing, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op7_html_extraction, op8_line_dedup, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -205,28 +205,51 @@ def _found(name: str, shared, features: dict[str, int]):
     return of
 
 
-def fit(rows: list[tuple[int, list[int]]], n: int, penalty: float = 0.05, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and constant of a logistic regression on presence, by accelerated gradient descent; rows with the same features are one."""
+def fit(rows: list[tuple[int, list[int]]], n: int, penalty: float = 0.1, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Weights and constant of a logistic regression on presence, by Newton steps with conjugate gradients; rows with the same features are one."""
     seen = Counter((y, tuple(x)) for y, x in rows)
     weight = np.array(list(seen.values()), float)
     y = np.array([k[0] for k in seen], float)
-    doc = np.repeat(np.arange(len(seen)), [len(k[1]) for k in seen])
-    col = np.array([f for k in seen for f in k[1]], np.int64)
-    total = weight.sum()
-    share = min(max((weight * y).sum() / max(total, 1), 1e-6), 1 - 1e-6)
-    w, b = np.zeros(n), math.log(share / (1 - share))
-    lipschitz = 0.25 * (1 + max((len(k[1]) for k in seen), default=0))
-    z, c, t = w.copy(), b, 1.0
+    doc = np.repeat(np.arange(len(seen)), [len(k[1]) + 1 for k in seen])
+    col = np.array([f for k in seen for f in (*k[1], n)], np.int64)  # the constant is feature n
+    ridge = np.full(n + 1, penalty)
+    ridge[n] = 1e-6
+
+    def scores(w: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, w[col], len(y))
+
+    def back(x: np.ndarray) -> np.ndarray:
+        return np.bincount(col, x[doc], n + 1)
+
+    def loss(w: np.ndarray) -> float:
+        return float((weight * (np.logaddexp(0, scores(w)) - y * scores(w))).sum() + (ridge * w * w).sum() / 2)
+
+    w = np.zeros(n + 1)
     for _ in range(steps):
-        score = c + np.bincount(doc, z[col], len(y))
-        error = weight * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y)
-        rate = 1 / (lipschitz + penalty / total)
-        w2 = z - rate * (np.bincount(col, error[doc], n) / total + penalty * z / total)
-        b2 = c - rate * error.sum() / total
-        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        z, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
-        w, b, t = w2, b2, t2
-    return w, b
+        p = 1 / (1 + np.exp(-np.clip(scores(w), -30, 30)))
+        gradient = back(weight * (p - y)) + ridge * w
+        if np.abs(gradient).max() < 1e-4:
+            break
+        curve = weight * np.maximum(p * (1 - p), 1e-6)
+        scale = back(curve) + ridge
+        step, residual = np.zeros(n + 1), -gradient
+        z = residual / scale
+        along, size = z.copy(), residual @ z
+        for _ in range(100):
+            product = back(curve * scores(along)) + ridge * along
+            rate = size / max(along @ product, 1e-300)
+            step += rate * along
+            residual = residual - rate * product
+            z = residual / scale
+            size, before = residual @ z, size
+            if size < 1e-10:
+                break
+            along = z + size / before * along
+        rate, at = 1.0, loss(w)
+        while rate > 1e-4 and loss(w + rate * step) > at:
+            rate /= 2
+        w = w + rate * step
+    return w[:n], float(w[n])
 
 
 def _scored(name: str, shared, weights: dict[str, float], constant: float):
