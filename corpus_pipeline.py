@@ -1,13 +1,77 @@
-"""A corpus pipeline out of the operators of ``evenspan.llm``: each stage works on what its predecessor kept."""
+"""A corpus pipeline out of the operators of ``evenspan.llm``: each stage works on what its predecessor kept.
+
+1. Language ID: documents whose language can't be told (no letters, or a score under ``SURE``) go.
+2. Line dedup: lines found in at least ten documents go from every text; texts left without any line that isn't blank
+   stay, as empty documents.
+3. Near-dedup: of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays.
+4. Benchmark decontamination: documents that hold a benchmark item go.
+5. Best-fit packing: the documents that remain, as pieces in sequences of at most 1024 tokens.
+
+Documents that nothing is held against are kept.  Null texts go in stage 1, as they have no letter.  Extra columns of
+``documents`` are carried through; each stage but the last returns the columns that it got.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evenspan.llm import decontaminate, langid, line_dedup, near_dup, packing
+from evenspan.llm.common import hot_join, read, stored
+from evenspan.llm.queries import tokenizer_path
+
+#: Least share of the best language.
+SURE = 0.5
+#: Rows and bands of sketches that find pairs of similarity 0.8 but for a chance of about 5e-6.
+SIMILARITY, ROWS, BANDS = 0.8, 6, 40
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids`` (one column, ``_id``, unique)."""
+    ids = stored(ids, "kept").withColumn("_n", F.lit(1))
+    return hot_join(docs.withColumn("_id", F.col("doc_id")), ids, ["_id"], "left_semi", ids.count(), 24, "_n").drop("_id")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    told = langid.identify(docs)
+    return _keep(docs, told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE)).select(F.col("doc_id").alias("_id")).distinct())
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    told = near_dup.near_duplicates(docs, SIMILARITY, rows=ROWS, bands=BANDS)
+    return _keep(docs, told.where("kept").select(F.col("doc_id").alias("_id")).distinct())
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_path())
+
 
-STAGES: list = []
-#: Language model scores, sketches and packing have no SQL form; the pipeline is tested against a brute-force version.
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("decontamination", benchmark),
+    ("packing", packed),
+]
+#: Language scores, sketches and packing have no SQL form; the pipeline is tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
+    return docs
