@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, grid_queries  # noqa: F401
+from . import event_queries, grid_queries, lineage_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
