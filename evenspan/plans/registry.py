@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, grid_queries, join_queries, lineage_queries, token_queries  # noqa: F401
+from . import event_queries, grid_queries, join_queries, lineage_queries, source_queries, token_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
