@@ -10,9 +10,8 @@ START, ESCAPE = "<s>", "<esc>"
 
 def literal_bits(counts: DataFrame, value: str = "value", n: str = "n", alpha: float = 0.25, floor: int = 2) -> DataFrame:
     """value, bits of each counted value under a smoothed model whose vocabulary has one place for what isn't counted."""
-    totals = counts.agg(F.sum(n).alias("total"), F.greatest(F.lit(floor), F.count("*") + 1).alias("vocabulary"))
-    p = (F.col(n) + alpha) / (F.col("total") + alpha * F.col("vocabulary"))
-    return counts.join(F.broadcast(totals), how="inner").select(value, (-F.log2(p)).alias("bits"))  # one row of totals
+    total, distinct = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.count("*")).first()
+    return counts.select(value, (-F.log2((F.col(n) + alpha) / (total + alpha * max(floor, distinct + 1)))).alias("bits"))
 
 
 def unseen_bits(total: Column, distinct: Column, value: Column, alpha: float = 0.25, floor: int = 2) -> Column:

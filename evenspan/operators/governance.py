@@ -100,9 +100,8 @@ def public_manifest(rows: DataFrame, splits: DataFrame, prefix: str) -> DataFram
 def curves(history: DataFrame, least_epoch: int = 100) -> DataFrame:
     """Per arm and seed: points from ``least_epoch`` on, scaled to 0..1 over all of them, for drawing."""
     rows = history.where(F.col("epoch") >= least_epoch)
-    bounds = F.broadcast(rows.agg(F.min("bits").alias("lo"), F.max("bits").alias("hi"), F.min("epoch").alias("e0"), F.max("epoch").alias("e1")))  # one row
-    scaled = rows.join(bounds, how="inner")
-    return scaled.select("arm", "seed", "epoch", ((F.col("epoch") - F.col("e0")) / F.greatest(F.col("e1") - F.col("e0"), F.lit(1))).alias("x"), ((F.col("bits") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))).alias("y"))
+    lo, hi, e0, e1 = rows.agg(F.coalesce(F.min("bits"), F.lit(0.0)), F.coalesce(F.max("bits"), F.lit(0.0)), F.coalesce(F.min("epoch"), F.lit(0)), F.coalesce(F.max("epoch"), F.lit(0))).first()
+    return rows.select("arm", "seed", "epoch", ((F.col("epoch") - e0) / max(e1 - e0, 1)).alias("x"), ((F.col("bits") - lo) / max(hi - lo, 1e-12)).alias("y"))
 
 
 def svg_panel(points: list[tuple[float, float]], title: str, width: int = 240, height: int = 120) -> str:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, grid_queries, join_queries, lineage_queries, source_queries, token_queries  # noqa: F401
+from . import core_queries, event_queries, grid_queries, join_queries, lineage_queries, source_queries, token_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["time_coordinates"](spark, sf_dir)
+    return QUERIES["window_code_lengths"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
