@@ -23,13 +23,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_or_shuffled, stored, text_or_empty
+from .common import shared_dir, stored, text_or_empty
 
 #: White space that is stripped from both ends of a line: space, tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Frequent hashes of more documents than this are joined by broadcast: a task gets fewer lines of any other.
 HOT = 20_000
+#: Bytes of frequent hashes that are broadcast whole.
+SMALL = 1 << 25
 
 
 def ascii_lower(col: Column) -> Column:
@@ -106,8 +108,8 @@ def drop_frequent_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1
     hashes = line_hashes(text, min_chars)
     docs = docs.withColumn(key, F.struct(F.xxhash64(id_col, text), F.hash(text), F.length(text)))
     lines = docs.select(key, F.explode(F.array_distinct(hashes)).alias("h")).where("h is not null")
-    if rows * 40 <= 1 << 25:
-        found = lines.join(small_or_shuffled(frequent.select("h"), rows, 40), "h", "left_semi")
+    if rows * 40 <= SMALL:
+        found = lines.join(F.broadcast(frequent.select("h")), "h", "left_semi")
     else:
         few = frequent.where(F.col("n") > HOT).select("h")
         rest = lines.join(F.broadcast(few), "h", "left_anti").join(frequent.where(F.col("n") <= HOT).select("h"), "h", "left_semi")
