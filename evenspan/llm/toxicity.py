@@ -56,8 +56,8 @@ OTHER, END = 26, 27
 
 SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$|(?:([%#&*$!@|+.,?~=_-])\1{2,})+$|[!?.,]+$")
-#: A letter beside a sign or digit, or the same letter three times.
-TRACES = re.compile(r"[a-z][^\w\s]*[0-9@$!|+(€£.\-_*~'’`^:;/\\][^\w\s]*[a-z]|^[0-9@$!|+(€£][a-z]{2}|[a-z]{2}[0-9@$!|€£]$|([a-z])\1\1")
+#: Signs or digits between letters or before or after them, or the same letter three times.
+TRACES = re.compile(r"[a-z][0-9@$!|+(€£.\-_*~'’`^:;/\\]{1,4}[a-z]|^[0-9@$!|+(€£][a-z]{2}|[a-z]{2}[0-9@$!|€£]$|([a-z])\1\1")
 
 
 def folded(text: str) -> np.ndarray:
@@ -160,8 +160,8 @@ class Restorer:
             got = token
             for _ in range(2):
                 got = EDGE.sub("", got)
-            if len(got) <= LONGEST and not got.isalpha() or TRACES.search(got):
-                got = self.model.decode(got) if len(got) <= LONGEST and TRACES.search(got) else got
+            if len(got) <= LONGEST and TRACES.search(got):
+                got = self.model.decode(got)
             self.known[token] = got
         return got
 
