@@ -80,3 +80,10 @@ def mean_distance(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame
 def pooled_groups(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Mean vector of each group, as rows of dimensions."""
     return rows.select(*keys, F.posexplode(vector).alias("dim", "x")).groupBy(*keys, "dim").agg(F.avg("x").alias("mean"))
+
+
+def declared_bits(rows: DataFrame) -> DataFrame:
+    """Bits per declared fact from bits per event: events include one end mark for each song, and arms that shift each window pay four bits for it."""
+    declared = F.col("events") - F.col("songs")
+    side = F.when(F.col("arm") == "G", 4 * F.col("windows")).otherwise(0)
+    return rows.withColumn("declared", declared).withColumn("bits_per_fact", (F.col("bits_per_event") * F.col("events") + side) / declared).withColumn("targets_per_fact", F.col("events") / declared)

@@ -198,3 +198,58 @@ def moved_samples(rows: DataFrame, old_holdout: int) -> DataFrame:
 
 def ordered(facts: DataFrame) -> DataFrame:
     return facts.orderBy("song_id", *in_order())
+
+
+#: Held-out components that :func:`balanced_halves` takes on the driver, one small row each; more are an error.
+MOST_HELD = 1_000_000
+
+
+def balanced_halves(components_: DataFrame, seed: int, swaps: int = 16) -> DataFrame:
+    """Held-out components (id, n, events) in validation and test: rows are halved, and events balanced.
+
+    Large ones go first, each to the side with the lower load; then equally large ones change sides as long as that
+    brings the events nearer to half.  A change is the pair of a size whose difference in events is nearest to the gap,
+    found by bisection among the sorted events of the other side, not by trying all pairs.
+    """
+    from bisect import bisect_left, insort
+
+    spark = components_.sparkSession
+    key = seeded_key(seed, "heldout", F.col("id"))
+    rows = components_.orderBy(F.desc("events"), key).limit(MOST_HELD + 1).collect()
+    if len(rows) > MOST_HELD:
+        raise ValueError("too many held-out components")
+    total, events = sum(r["n"] for r in rows), sum(r["events"] for r in rows)
+    room = {"validation": total // 2, "test": total - total // 2}
+    have, load, side = {"validation": 0, "test": 0}, {"validation": 0, "test": 0}, {}
+    for r in rows:
+        fits = [s for s in room if have[s] + r["n"] <= room[s]]
+        if len(fits) != 1:
+            fits = ["test"] if have["validation"] + r["n"] > room["validation"] else fits
+        if len(fits) == 2:
+            weight = {s: have[s] / max(1, room[s]) + load[s] / max(1.0, events / 2) for s in room}
+            fits = ["validation" if weight["validation"] <= weight["test"] else "test"]
+        side[r["id"]] = fits[0]
+        have[fits[0]] += r["n"]
+        load[fits[0]] += r["events"]
+    by_size: dict[int, dict[str, list]] = {}
+    for r in rows:
+        insort(by_size.setdefault(r["n"], {"validation": [], "test": []})[side[r["id"]]], (r["events"], r["id"]))
+    for _ in range(swaps):
+        gap = load["validation"] - events / 2
+        best = None
+        for size, sides in by_size.items():
+            for v in sides["validation"]:
+                at = bisect_left(sides["test"], (v[0] - gap,))
+                for t in sides["test"][max(0, at - 1) : at + 1]:
+                    error = abs(gap - v[0] + t[0])
+                    if error + 1e-9 < abs(gap) and (best is None or error < best[0]):
+                        best = error, size, v, t
+        if best is None:
+            break
+        _, size, v, t = best
+        for x, a, b in ((v, "validation", "test"), (t, "test", "validation")):
+            by_size[size][a].remove(x)
+            insort(by_size[size][b], x)
+            side[x[1]] = b
+        load["validation"] += t[0] - v[0]
+    return spark.createDataFrame(list(side.items()) or [], "id string, split string")

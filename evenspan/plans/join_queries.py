@@ -254,3 +254,20 @@ def key_estimates(spark, sf_dir):
     return e.select("song_id", "analyzer", "tonic", "mode", F.col("frame").cast("bigint").alias("frame"), rounded(F.col("correlation")).alias("correlation"), rounded(F.col("margin")).alias("margin"))
 
 
+
+
+@query("""WITH r AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'G' ELSE l_returnflag END AS arm, l_suppkey AS seed, count(*) AS events, count(DISTINCT l_returnflag) AS songs, count(DISTINCT l_linenumber) AS windows, avg(l_quantity) AS b FROM lineitem GROUP BY 1, 2)
+SELECT arm, seed, events - songs AS declared, round((b * events + CASE WHEN arm = 'G' THEN 4 * windows ELSE 0 END) / (events - songs), 6) + 0.0 AS bits_per_fact, round(events / (events - songs), 6) + 0.0 AS targets_per_fact FROM r WHERE events > songs""")
+def declared_bits(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem")
+    r = x.groupBy(F.when(F.col("l_returnflag") == "R", "G").otherwise(F.col("l_returnflag")).alias("arm"), F.col("l_suppkey").alias("seed")).agg(
+        F.count("*").alias("events"), F.count_distinct("l_returnflag").alias("songs"), F.count_distinct("l_linenumber").alias("windows"), F.avg("l_quantity").alias("bits_per_event"),
+    )
+    d = ledger.declared_bits(r.where("events > songs"))
+    return d.select("arm", "seed", "declared", rounded(F.col("bits_per_fact")).alias("bits_per_fact"), rounded(F.col("targets_per_fact")).alias("targets_per_fact"))
+
+
+@query("SELECT label, (i - 1)::BIGINT AS dim, round(avg(x), 5) + 0.0 AS mean FROM (SELECT vec_id // 10 AS label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2")
+def pooled_onset_groups(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    return ledger.pooled_groups(e, ["label"], "v").select("label", F.col("dim").cast("bigint").alias("dim"), rounded(F.col("mean"), 5).alias("mean"))

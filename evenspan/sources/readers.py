@@ -62,3 +62,14 @@ def tree_digest(inventory: DataFrame) -> DataFrame:
 
 def relative_path(path, root: str):
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 1 << 20)).otherwise(path)
+
+
+def tokenizer_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A tokenizer's JSON file as vocabulary (token, id) and merges (rank, left, right)."""
+    text = spark.read.option("wholetext", True).text(path)
+    model = text.select(F.from_json("value", "model struct<vocab:map<string,int>,merges:array<string>>").alias("t")).select("t.model.*")
+    vocabulary = model.select(F.explode("vocab").alias("token", "id"))
+    merges = model.select(F.posexplode("merges").alias("rank", "m"))
+    # a merge is written as a list of two or as two words
+    pair = F.when(F.col("m").startswith("["), F.from_json("m", "array<string>")).otherwise(F.split("m", " ", 2))
+    return vocabulary, merges.select("rank", pair[0].alias("left"), pair[1].alias("right"))

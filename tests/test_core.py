@@ -207,3 +207,19 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_halves_balance_rows_and_events(spark):
+    rows = [(f"c{i}", 1 + i % 3, 10 + (i * i) % 50) for i in range(40)]
+    got = dict(lineage.balanced_halves(spark.createDataFrame(rows, "id string, n long, events long"), 3).collect())
+    n = {s: sum(r[1] for r in rows if got[r[0]] == s) for s in ("validation", "test")}
+    e = {s: sum(r[2] for r in rows if got[r[0]] == s) for s in ("validation", "test")}
+    assert abs(n["validation"] - n["test"]) <= 3 and abs(e["validation"] - e["test"]) <= 4
+    assert lineage.balanced_halves(spark.createDataFrame([], "id string, n long, events long"), 3).count() == 0
+
+
+def test_tokenizer_tables(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"model": {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b", ["a", "a"]]}}')
+    vocabulary, merges = readers.tokenizer_tables(spark, str(tmp_path / "t.json"))
+    assert dict(vocabulary.collect()) == {"a": 0, "b": 1, "ab": 2}
+    assert [tuple(r) for r in merges.orderBy("rank").collect()] == [(0, "a", "b"), (1, "a", "a")]
