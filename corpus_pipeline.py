@@ -26,15 +26,20 @@ SURE = 0.5
 SIMILARITY, ROWS, BANDS = 0.8, 6, 40
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (one column, ``_id``, unique)."""
-    ids = stored(ids, "kept").withColumn("_n", F.lit(1))
-    return hot_join(docs.withColumn("_id", F.col("doc_id")), ids, ["_id"], "left_semi", ids.count(), 24, "_n").drop("_id")
+#: Stands for a null id: rows without one stay if one of them is kept.
+NO_ID = -(1 << 63)
+
+
+def _keep(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among those of ``told``."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    ids = stored(told.select(key.alias("_id")).distinct(), "kept").withColumn("_n", F.lit(1))
+    return hot_join(docs.withColumn("_id", key), ids, ["_id"], "left_semi", ids.count(), 24, "_n").drop("_id")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = langid.identify(docs)
-    return _keep(docs, told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE)).select(F.col("doc_id").alias("_id")).distinct())
+    return _keep(docs, told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +51,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = near_dup.near_duplicates(docs, SIMILARITY, rows=ROWS, bands=BANDS)
-    return _keep(docs, told.where("kept").select(F.col("doc_id").alias("_id")).distinct())
+    return _keep(docs, told.where("kept"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
