@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import seeded_key
 from ..functions.timegrid import div
+from .durable import checkpointed
 
 
 def ranked(df: DataFrame, *order, name: str) -> DataFrame:
     """Adds a global rank from 0.  The rows are components or samples, not events; ranks are counted per range of the order, then shifted, so no task holds all rows."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = checkpointed(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     within = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = {r[0]: r[1] for r in dealt.groupBy("_part").count().collect()}  # one row for each partition
     shift, total = F.lit(0), 0

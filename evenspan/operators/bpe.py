@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import checkpointed
+from .durable import checkpointed
 
 
 def pair_counts(rows: DataFrame, symbols: str = "symbols", song: str = "song_id") -> DataFrame:

@@ -76,7 +76,7 @@ def merge_gain(rows: DataFrame, held: DataFrame, left: str, right: str, alpha: f
 def fit_predictive(rows: DataFrame, held: DataFrame, merges: int, pool: int = 8, least_gain: float = 0.0, **limits) -> list[dict]:
     """Merges chosen among the ``pool`` most frequent pairs by held-out gain per base unit, until none gains more than ``least_gain``."""
     from .bpe import decoded, merged, pair_counts
-    from .lineage import checkpointed
+    from .durable import checkpointed
 
     rows, held, steps = checkpointed(rows), checkpointed(held), []
     total = held.agg(F.coalesce(F.sum(F.size(decoded(F.col("symbols")))), F.lit(0))).first()[0]

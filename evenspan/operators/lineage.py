@@ -9,17 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import json_text, list_text, ordered_text, reduced_fraction, seeded_key
 from .batches import balanced_order, ranked
+from .durable import checkpointed
 from .events import canonical, in_order
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by files in the folder that ``spark.checkpoint.dir`` names."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/evenspan-{spark.sparkContext.applicationId}")
-    return df.checkpoint()
-
-
 def event_hashes(facts: DataFrame) -> DataFrame:
     """song_id and three digests of the ordered events as compact JSON: as they are, relative to the first pitch, and by steps and intervals."""
     w = Window.partitionBy("song_id").orderBy("ord")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as ev
 from ..operators import lineage
+from ..operators.durable import checkpointed
 from .base import facts, query, table
 
 #: A second set of songs, from order lines, with exact and transposed copies.
@@ -62,7 +63,7 @@ def note_content_hashes(spark, sf_dir):
 @query(f"""WITH {LI}, {_LINES} SELECT min(song_id) AS root, 'family_' || substr(sha256(string_agg(song_id::VARCHAR, chr(10) ORDER BY song_id::VARCHAR) || chr(10)), 1, 24) AS lineage_id, count(*) AS sample_count,
  concat_ws(',', CASE WHEN count(DISTINCT exact) < count(*) THEN 'exact' END, CASE WHEN count(DISTINCT transposed) < count(*) THEN 'transposed' END, CASE WHEN count(DISTINCT rhythm) < count(*) THEN 'rhythm' END) AS reasons FROM h GROUP BY rhythm""")
 def duplicate_families(spark, sf_dir):
-    return lineage.families(lineage.checkpointed(line_hashes_of(spark, sf_dir)), ["exact", "transposed", "rhythm"])
+    return lineage.families(checkpointed(line_hashes_of(spark, sf_dir)), ["exact", "transposed", "rhythm"])
 
 
 @query(f"WITH {LI}, {_LINES}, s AS (SELECT transposed, count(*) AS group_size FROM h GROUP BY 1 HAVING count(*) > 1) SELECT song_id, h.transposed, group_size FROM h JOIN s ON h.transposed = s.transposed")
@@ -96,8 +97,8 @@ def crossing_report(spark, sf_dir):
 @query()
 def assigned_splits(spark, sf_dir):
     """Whole families in test, validation and train; greedy and so without SQL, tested against a plain loop."""
-    f = lineage.families(lineage.checkpointed(line_hashes_of(spark, sf_dir)), ["exact", "transposed", "rhythm"])
-    c = lineage.checkpointed(f.select(F.col("lineage_id").alias("id"), F.col("sample_count").alias("n"), F.pmod("root", F.lit(97)).alias("density")))
+    f = lineage.families(checkpointed(line_hashes_of(spark, sf_dir)), ["exact", "transposed", "rhythm"])
+    c = checkpointed(f.select(F.col("lineage_id").alias("id"), F.col("sample_count").alias("n"), F.pmod("root", F.lit(97)).alias("density")))
     return lineage.assign_splits(c, 1500, 1500, 20)
 
 
