@@ -29,7 +29,8 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 # A match can't start inside a run that has just failed from its start; \G lets one start where the last has ended.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
+# Runs of fewer than 13 digits can't be cards, and no match starts inside a run.
+CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"\p{L}{4,}"
 

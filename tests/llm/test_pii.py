@@ -28,7 +28,7 @@ def base(text):
 
 TEXTS = [
     "mail a.b@c-d.org.uk, x@y or é🎵 q@w.e", "a@b.c_d@e.com f@g.h.i@j.k", "ip 1.2.3.4 256.1.1.1 001.02.3.255 1.2.3.4.5 99999.1.1.1", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111 79927398713",
-    "call +1 (555) 123-4567 or +44 20 7946 0958. +1", "9 " * 3000, "8" * 6000, "a" * 5000 + "@b", "1.2.3." * 50, "+" * 50 + "12345678901", "1-2 3--4 55",
+    "call +1 (555) 123-4567 or +44 20 7946 0958. +1", "9 " * 3000, "8" * 6000, "a" * 5000 + "@b", "1.2.3." * 50, "+" * 50 + "12345678901", "1-2 3--4 55", "12 " * 6 + "3-" * 7 + " 4111111111111111", "a1 " * 3000, "4111 1111 1111 1111" + " 4" * 4,
 ]
 
 
