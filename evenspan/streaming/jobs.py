@@ -46,7 +46,11 @@ def open_rests(facts: DataFrame) -> DataFrame:
 
 def collected(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a finite stream to its end into a table in memory, and return that."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if shared:  # state belongs in the folder that all executors share
+        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/streams/{name}")
+    q = writer.start()
     try:
         q.awaitTermination()
     finally:
