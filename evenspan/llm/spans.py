@@ -13,20 +13,53 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<kind:string,s:int,e:int,v:string>>"
 
 
+#: Lengths are summed in blocks of this many, so that many matches in a text don't cost the square of their number.
+STEP = 64
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside a lambda it would be computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sums_before(lengths: Column) -> Column:
+    """For each place of a non-empty array, the sum of the places before it."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+
+    def blocks(x: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / STEP).cast("int")), lambda b: total(F.slice(x, b * STEP + 1, F.lit(STEP))))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(sums, first, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def places(x: Column, starts: Column) -> Column:
+        def at(_: Column, i: Column) -> Column:
+            b = F.floor(i / STEP).cast("int")
+            return F.get(starts, b) + total(F.slice(x, b * STEP + 1, i - b * STEP))
+
+        return F.transform(x, at)
+
+    return bound(lengths, lambda x: bound(blocks(x), lambda starts: places(x, starts)))
+
+
 def matches(text: Column, pattern: str | Column, kind: str) -> Column:
     """An array of (kind, s, e, v), in order; empty for a null text."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+
+    def placed(m: Column) -> Column:
+        pieces = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(m)), lambda g: F.length(g))
+
+        def spans(g: Column) -> Column:
+            before = sums_before(F.zip_with(g, m, lambda x, y: x + F.length(y)))
+            starts = F.zip_with(before, g, lambda x, y: x + y)
+            return F.zip_with(starts, m, lambda x, y: F.struct(F.lit(kind).alias("kind"), x.alias("s"), (x + F.length(y)).alias("e"), y.alias("v")))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        span = F.array(F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), x["m"].alias("v")))
-        return F.struct(e.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(SPAN)), span).alias("out"))
+        return bound(pieces, spans)
 
-    walked = F.aggregate(F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("g")), start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(SPAN))
+    empty = F.array().cast(SPAN)
+    return bound(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(empty))
 
 
 def listed(spans: Column) -> Column:

@@ -55,5 +55,8 @@ def test_spans_of_any_pattern(spark):
     rows = spark.createDataFrame([("aXbXXc🎵X",), ("",), (None,), ("XX",)], "t string")
     got = [spans_ or "" for (spans_,) in rows.select(spans.listed(spans.matches(F.col("t"), "X+", "x"))).collect()]
     assert got == ["x:1:2,x:3:5,x:7:8", "", "", "x:0:2"]
+    many = ("abX🎵XX" * 700, "X" * 3, "aX" * 64, "aX" * 65)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(many)], "i int, t string").select("i", spans.listed(spans.matches(F.col("t"), "X+", "x")))
+    assert dict(frame.collect()) == {i: ",".join(f"x:{m.start()}:{m.end()}" for m in re.finditer("X+", t)) for i, t in enumerate(many)}
     over = rows.select(spans.overlaid(F.col("t"), spans.matches(F.col("t"), "X+", "x"), lambda k: F.lit("-"))).first()[0]
     assert over == "a-b-c🎵-"
