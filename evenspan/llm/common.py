@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,14 +45,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def once_a_worker(key: Any, make: Callable[[], Any]) -> Any:
-    """``make()``, once in the life of a Python worker for the last few keys: code pickled by value has no module to keep it in."""
+def once_a_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, once in the life of a Python worker: code pickled by value has no module to keep it in.
+
+    A worker serves many jobs, so it keeps one thing of a kind (the key's first part), and three kinds.
+    """
     kept = sys.__dict__.setdefault("_evenspan_kept", {})
-    if key not in kept:
-        while len(kept) >= 8:
+    if key[0] not in kept or kept[key[0]][0] != key:
+        kept.pop(key[0], None)
+        while len(kept) >= 3:
             kept.pop(next(iter(kept)))
-        kept[key] = make()
-    return kept[key]
+        kept[key[0]] = key, make()
+    return kept[key[0]][1]
+
+
+def taken(shared: Broadcast) -> Any:
+    """A broadcast's value, which the worker doesn't hold after that: what is made of it stays instead."""
+    value = shared.value
+    shared.__dict__.pop("_value", None)
+    return value
 
 
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, row_bytes: int, weight: str, hot: int = 20_000) -> DataFrame:

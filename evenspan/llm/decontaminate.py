@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once_a_worker, small_or_shuffled, stored
+from .common import once_a_worker, small_or_shuffled, stored, taken
 
 QGRAM = 8
 SHARE = 0.1
@@ -170,7 +170,7 @@ def matches(index: Items, texts: list[str | None]) -> Iterator[tuple[int, int, i
 
 def _scan(name: str, shared, share: float):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = once_a_worker(("items", name), lambda: Items(shared.value, share))
+        index = once_a_worker(("items", name), lambda: Items(taken(shared), share))
         for batch in batches:
             rows = list(matches(index, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once_a_worker, stored
+from .common import once_a_worker, stored, taken
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
@@ -36,7 +36,7 @@ RARE = 5e-6
 #: Log cost of each order that an unseen word's characters give up.
 BACKOFF = math.log(0.4)
 #: Distinct words that a task counts before it hands them on, and that a worker remembers.
-HELD = 300_000
+HELD = 150_000
 UNDETERMINED = "und"
 
 
@@ -144,7 +144,7 @@ def train(docs: DataFrame, rare: float = RARE) -> list[tuple]:
 
 def _predict(name: str, shared):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = once_a_worker(("languages", name), lambda: Model(shared.value))
+        model = once_a_worker(("languages", name), lambda: Model(taken(shared)))
         for batch in batches:
             got = [model.predict(t) for t in batch.column(2).to_pylist()]
             made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]

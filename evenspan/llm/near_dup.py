@@ -73,7 +73,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first byte) of each word of lower-cased bytes: a difference of prefix sums, shifted to the word's start."""
-    up, down = once_a_worker("powers", _powers)
+    up, down = once_a_worker(("powers",), _powers)
     hashes, starts, at = [], [], 0
     while at < len(raw):
         end = len(raw)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once_a_worker, small_or_shuffled, stored
+from .common import once_a_worker, small_or_shuffled, stored, taken
 from .langid import held_out
 
 SAMPLE = 40_000
@@ -62,7 +62,7 @@ TRACES = re.compile(r"[a-z][0-9@$!|+(€£.\-_*~'’`^:;/\\]{1,4}[a-z]|^[0-9@$!|
 
 def folded(text: str) -> np.ndarray:
     """Codes of a lower-cased text: letters, ends for white space, other characters."""
-    return once_a_worker("folding", _folding)[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+    return once_a_worker(("folding",), _folding)[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
 
 
 def _folding() -> np.ndarray:
@@ -183,7 +183,7 @@ def features_of(words: set[str]) -> set[str]:
 
 def _count_features(name: str, shared):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = once_a_worker(("restorer", name), lambda: Restorer(*shared.value))
+        restore = once_a_worker(("restorer", name), lambda: Restorer(*taken(shared)))
         for batch in batches:
             counts = (Counter(), Counter())
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -197,7 +197,7 @@ def _count_features(name: str, shared):
 
 def _found(name: str, shared, features: dict[str, int]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = once_a_worker(("restorer", name), lambda: Restorer(*shared.value))
+        restore = once_a_worker(("restorer", name), lambda: Restorer(*taken(shared)))
         for batch in batches:
             rows = [sorted(features[f] for f in features_of(restore.words(t)) if f in features) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "found"])
@@ -254,7 +254,7 @@ def fit(rows: list[tuple[int, list[int]]], n: int, penalty: float = 0.1, steps:
 
 def _scored(name: str, shared, weights: dict[str, float], constant: float):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = once_a_worker(("restorer", name), lambda: Restorer(*shared.value))
+        restore = once_a_worker(("restorer", name), lambda: Restorer(*taken(shared)))
         known = once_a_worker(("weights", name), dict)
 
         def weight(word: str) -> tuple[str, ...]:
