@@ -78,7 +78,10 @@ def _words(text: Column) -> Column:
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """term, docs (that hold it), disclosure, bits.  ``found`` has key, base and near of every row of ``docs``."""
     pairs = found.where(F.size("base") > 0).select("key", F.explode("near").alias("x")).select("key", "x.value", F.explode("x.words").alias("term")).distinct()
-    pairs = stored(pairs.groupBy("value", "term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "pairs")
+    # a word's documents are at least those where it stands near some protected value: words that this alone rules out go
+    around = pairs.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("around"))
+    pairs = pairs.groupBy("value", "term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    pairs = stored(pairs.join(around, "term").where(F.col("n") >= DISCLOSURE * F.col("around")).drop("around"), "pairs")
     terms = stored(pairs.groupBy("term").agg(F.max("n").alias("n")), "terms")
     many = terms.count()
     if not many:
