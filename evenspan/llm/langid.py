@@ -61,72 +61,85 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield handed()
 
 
+def marked(word: str) -> str:
+    return "<" * (ORDERS[0] - 1) + word + ">"
+
+
 def grams_of(word: str, order: int) -> list[str]:
-    """The n-grams of a word between its end marks."""
-    marked = f"<{word}>"
-    return [marked[i : i + order] for i in range(len(marked) - order + 1)]
+    """The n-grams that end at each character of a word and at its end mark."""
+    text = marked(word)
+    return [text[end - order : end] for end in range(ORDERS[0], len(text) + 1)]
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those of the highest order; the others are their ends."""
+    size = ORDERS[0]
     for batch in batches:
-        counts: dict[tuple[str, int], Counter] = {}
+        counts: dict[str, dict[str, int]] = {}
         for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for order in ORDERS:
-                c = counts.setdefault((lang, order), Counter())
-                for g in grams_of(word, order):
-                    c[g] += n
-        rows = [(lang, order, g, n) for (lang, order), c in counts.items() for g, n in c.items()]
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], ["lang", "o", "gram", "n"])
+            c = counts.setdefault(lang, {})
+            text = marked(word)
+            for at in range(len(text) - size + 1):
+                g = text[at : at + size]
+                c[g] = c.get(g, 0) + n
+        rows = [(lang, g, n) for lang, c in counts.items() for g, n in c.items()]
+        kinds = (pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], ["lang", "gram", "n"])
 
 
 class Model:
+    """Words and n-grams as rows of one matrix of scores by language, so that a text's score is one sum of rows."""
+
     def __init__(self, rows: list[tuple[str, int, str, int, int]]) -> None:
         """``rows``: language, order (0: a word), text, count and the language's total of that order."""
         self.langs = sorted({r[0] for r in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
         totals = {(o, at[lang]): total for lang, o, _, _, total in rows}
-        self.tables: dict[int, dict[str, int]] = {o: {} for o in (0, *ORDERS)}
-        entries: dict[int, list[list[float]]] = {o: [] for o in self.tables}
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
         # a language that lacks a word or n-gram which another has takes it for half of the least that is kept
-        unseen = {o: [math.log(max(0.5 * RARE, 0.25 / totals.get((o, k), 1))) for k in range(len(self.langs))] for o in self.tables}
+        unseen = {o: [math.log(max(0.5 * RARE, 0.25 / totals.get((o, k), 1))) for k in range(len(self.langs))] for o in (0, *ORDERS)}
+        entries = [[math.log(0.5 * RARE)] * len(self.langs)]  # row 0: characters that no n-gram knows
+        given_up = [len(ORDERS)]
         for lang, o, text, n, total in rows:
-            table = self.tables[o]
+            table = self.grams if o else self.words
             if text not in table:
-                table[text] = len(table)
-                entries[o].append(list(unseen[o]))
-            entries[o][table[text]][at[lang]] = math.log(n / total)
-        self.scores = {o: np.array(e, np.float64).reshape(len(e), len(self.langs)) for o, e in entries.items()}
-        self.lost = np.full(len(self.langs), math.log(0.5 * RARE))
-        self.unseen: dict[str, np.ndarray] = {}
-
-    def backoff(self, word: str) -> np.ndarray:
-        """The score of a word that isn't known: at each place the longest n-gram that is."""
-        marked, total = f"<{word}>", np.zeros(len(self.langs))
-        for end in range(2, len(marked) + 1):
-            for lost, order in enumerate(ORDERS):
-                k = self.tables[order].get(marked[end - order : end]) if order <= end else None
+                table[text] = len(entries)
+                entries.append(list(unseen[o]))
+                given_up.append(ORDERS[0] - o if o else 0)
+            entries[table[text]][at[lang]] = math.log(n / total)
+        self.scores = np.array(entries, np.float64).reshape(len(entries), len(self.langs)) + BACKOFF * np.array(given_up)[:, None]
+        self.unseen: dict[str, tuple[int, ...]] = {}
+
+    def backoff(self, word: str) -> tuple[int, ...]:
+        """The rows of a word that isn't known: at each place the longest n-gram that is."""
+        text, get, out = marked(word), self.grams.get, []
+        for end in range(ORDERS[0], len(text) + 1):
+            for order in ORDERS:
+                k = get(text[end - order : end])
                 if k is not None:
-                    total = total + self.scores[order][k] + lost * BACKOFF
+                    out.append(k)
                     break
             else:
-                total = total + self.lost + len(ORDERS) * BACKOFF
-        return total
+                out.append(0)
+        return tuple(out)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        get = self.tables[0].get
-        known = np.array([get(w, -1) for w in words], np.int64)
-        total = self.scores[0][known[known >= 0]].sum(0)
-        for i in np.flatnonzero(known < 0).tolist():
-            w = words[i]
-            if w not in self.unseen:
-                if len(self.unseen) > HELD:
-                    self.unseen.clear()
-                self.unseen[w] = self.backoff(w)
-            total = total + self.unseen[w]
+        known = list(map(self.words.get, words))
+        rows = [k for k in known if k is not None]
+        if len(rows) < len(words):
+            for word, k in zip(words, known):
+                if k is None:
+                    got = self.unseen.get(word)
+                    if got is None:
+                        if len(self.unseen) > HELD:
+                            self.unseen.clear()
+                        got = self.unseen[word] = self.backoff(word)
+                    rows += got
+        total = self.scores[rows].sum(0)
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
@@ -135,7 +148,9 @@ def train(docs: DataFrame, rare: float = RARE) -> list[tuple]:
     """The rows of the model, from columns ``lang`` and ``text``; at most 1 / ``rare`` for each language and order."""
     words = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
     words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
-    grams = words.mapInArrow(_count_grams, "lang string, o int, gram string, n long").groupBy("lang", "o", "gram").agg(F.sum("n").alias("n"))
+    grams = words.mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    ends = F.explode(F.array(*(F.struct(F.lit(o).alias("o"), F.substring("gram", -o, o).alias("gram")) for o in ORDERS))).alias("x")
+    grams = grams.select("lang", ends, "n").groupBy("lang", "x.o", "x.gram").agg(F.sum("n").alias("n"))
     counts = stored(words.select("lang", F.lit(0).alias("o"), F.col("word").alias("gram"), "n").unionByName(grams), "gram-counts")
     totals = counts.groupBy("lang", "o").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(totals), ["lang", "o"]).where(F.col("n") >= F.col("total") * rare)
