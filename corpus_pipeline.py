@@ -1,6 +1,7 @@
 """A corpus pipeline out of the operators of ``evenspan.llm``: each stage works on what its predecessor kept.
 
-1. Language ID: documents whose language can't be told (no letters, or a score under ``SURE``) go.
+1. Language ID: documents whose language can't be told (``und``: no letters) go.  A low score is no reason to go: it is
+   the best language's share, so it is low for short texts, and the lower the more languages there are.
 2. Line dedup: lines found in at least ten documents go from every text; texts left without any line that isn't blank
    stay, as empty documents.
 3. Near-dedup: of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays.
@@ -20,8 +21,6 @@ from evenspan.llm import decontaminate, langid, line_dedup, near_dup, packing
 from evenspan.llm.common import hot_join, read, stored
 from evenspan.llm.queries import tokenizer_path
 
-#: Least share of the best language.
-SURE = 0.5
 #: Rows and bands of sketches that find pairs of similarity 0.8 but for a chance of about 5e-6.
 SIMILARITY, ROWS, BANDS = 0.8, 6, 40
 
@@ -39,7 +38,7 @@ def _keep(docs: DataFrame, told: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = langid.identify(docs)
-    return _keep(docs, told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE)))
+    return _keep(docs, told.where(F.col("lang_pred") != langid.UNDETERMINED))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,13 @@ def test_empty(spark, table):
     docs = table([])
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_short_clean_documents_stay(spark, table):
+    rows = [(i, " ".join(["kalo"] * 40) + " zuvo" * (i == 0), "aa") for i in range(40)]
+    rows += [(100 * k + i, f"{word} {word}", lang) for k, (lang, word) in enumerate({"bb": "shreng", "cc": "çalmi", "dd": "tuvo"}.items(), 1) for i in range(8)]
+    rows += [(2000, "zuvo", "aa"), (2001, "Zuvo |", "aa"), (2002, "zuvo kalo", "aa"), (2003, "zuvo", None)]
+    docs = table(rows + [(3000, "12 |", "aa"), (3001, None, "aa")])
+    scores = {r["doc_id"]: r["score"] for r in langid.identify(docs).collect()}
+    assert scores[2000] < 0.5 and scores[2001] < 0.5
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {i for i, *_ in rows}
