@@ -4,7 +4,8 @@ Channel.  What was written is a noisy form of what was meant: letters appear as
 repeated, or are set apart by spaces and marks.  A token with such traces spans a lattice of the letters it may stand
 for; Viterbi decoding finds the most likely path under a character language model (four-letter sequences over a-z,
 any other character, and the word's end, counted in all texts) and the costs of the channel.  Tokens without such
-traces have one path, themselves.
+traces have one path, themselves, and so have addresses and long hexadecimal keys.  A run of single signs is one
+lattice whose path may end words anywhere.  Time and memory are in proportion to a token's length, so none is too long.
 
 Score.  A logistic regression on whether a text holds a word or a word's first letters, for features that labelled
 texts prove: their counts in toxic and other texts differ by more than chance.  It is fitted on at most ``SAMPLE``
@@ -38,8 +39,8 @@ FEATURES = 4096
 SUPPORT, LUCK = 4, 1e-6
 STEMS = (4, 5)
 HELD = 200_000
-#: Longest token that is decoded: longer ones are keys or addresses.
-LONGEST = 24
+#: Longest token or run whose restored form a worker remembers.
+REMEMBERED = 64
 
 #: The letters that look-alikes stand for.
 LOOKALIKES = {
@@ -48,16 +49,20 @@ LOOKALIKES = {
 }
 #: Marks that set letters apart.
 APART = set(".-_*~'’`^,:;/\\")
-#: Log costs of a look-alike, of a mark between letters, of a repeated letter taken once, and of a letter left as it is.
-ALIKE, MARK, REPEAT, KEEP = -1.0, -1.0, -0.5, -0.05
+#: Log costs of a look-alike, of a mark between letters, of a repeated letter taken once, of a letter left as it is, and
+#: of a look-alike that stands for itself.
+ALIKE, MARK, REPEAT, KEEP, ITSELF = -1.0, -1.0, -0.5, -0.05, -3.0
 
 LETTERS = 28  # a-z, 26: any other character, 27: the word's end
 OTHER, END = 26, 27
 
-SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+RUNS = re.compile(r"(.)\1*", re.S)
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S)+(?!\S)")
 EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$|(?:([%#&*$!@|+.,?~=_-])\1{2,})+$|[!?.,]+$")
-#: Signs or digits between letters or before or after them, or the same letter three times.
-TRACES = re.compile(r"[a-z][0-9@$!|+(€£.\-_*~'’`^:;/\\]{1,4}[a-z]|^[0-9@$!|+(€£][a-z]{2}|[a-z]{2}[0-9@$!|€£]$|([a-z])\1\1")
+#: A look-alike, a mark, or the same letter three times.
+TRACES = re.compile(r"[0-9@$!|+(€£.\-_*~'’`^,:;/\\]|([a-z])\1\1")
+#: Addresses and keys, which aren't decoded: URLs, e-mail addresses, long hexadecimal numbers and UUIDs.
+ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://.*|www\..*|[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}|(?=[a-f]*[0-9])(?:0x)?[0-9a-f]{16,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.S)
 
 
 def folded(text: str) -> np.ndarray:
@@ -104,47 +109,52 @@ class LetterModel:
             p = (table + kinds * p) / (table.sum(-1, keepdims=True) + kinds)
         self.log = np.log(p)
 
-    def decode(self, token: str) -> str:
-        """The best path through the lattice of a lower-cased token."""
-        runs, i = [], 0
-        while i < len(token):  # (character, how often it is repeated)
-            j = i
-            while j < len(token) and token[j] == token[i]:
-                j += 1
-            runs.append((token[i], j - i))
-            i = j
-        best = {(END, END, END): (0.0, "")}
-        for char, times in runs:
-            best = self._step(best, self._ways(char, times))
-        ends = [(score + self.log[h][END], out) for h, (score, out) in best.items()]
-        return max(ends)[1]
+    def decode(self, token: str, spaced: bool = False) -> str:
+        """The best path through the lattice of a lower-cased token; a ``spaced`` one may end words after any letter."""
+        best: dict = {(END, END, END): (0.0, None)}
+        for run in RUNS.finditer(token):  # (character, how often it is repeated)
+            if spaced and run.start():
+                best = self._step(best, [("", 0.0), (" ", 0.0)])
+            best = self._step(best, self._ways(run[1], run.end() - run.start(), spaced))
+        _, out = max(((score + self.log[h][END], out) for h, (score, out) in best.items()), key=lambda x: x[0])
+        parts = []
+        while out is not None:
+            out, letters = out
+            parts.append(letters)
+        return "".join(reversed(parts))
 
     @staticmethod
-    def _ways(char: str, times: int) -> list[tuple[str, float]]:
+    def _ways(char: str, times: int, spaced: bool = False) -> list[tuple[str, float]]:
         """(letters, cost) that a run of a character may stand for."""
         if "a" <= char <= "z":
             ways = [(char * min(times, 3), KEEP * times)]
             if times > 2:
                 ways = [(char, REPEAT), (char * 2, 2 * REPEAT)]
+            if spaced and times > 1:
+                ways.append((f"{char} {char}", KEEP * times if times == 2 else 2 * REPEAT))
             return ways
-        ways = [(x * min(times, 2), ALIKE * times) for x in LOOKALIKES.get(char, "")]
-        if times > 1 and ways:
-            ways += [(x, ALIKE + REPEAT) for x in LOOKALIKES[char]]
+        alike = LOOKALIKES.get(char, "")
+        ways = [(x * min(times, 2), ALIKE * times) for x in alike]
+        if times > 1:
+            ways += [(x, ALIKE + REPEAT) for x in alike]
         if char in APART or char == "!":
             ways.append(("", MARK))
+        if char.isdigit() and ways:
+            ways.append((char * times, ITSELF * times))
         return ways or [(char, KEEP)]
 
     def _step(self, best: dict, ways: list[tuple[str, float]]) -> dict:
-        new: dict[tuple[int, int, int], tuple[float, str]] = {}
+        """Scores and paths (the path before, letters) by the last three letters."""
+        new: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
         for history, (score, out) in best.items():
             for letters, cost in ways:
                 h, s = history, score + cost
                 for x in letters:
-                    code = ord(x) - 97 if "a" <= x <= "z" else OTHER
+                    code = ord(x) - 97 if "a" <= x <= "z" else END if x == " " else OTHER
                     s += self.log[h][code]
                     h = (h[1], h[2], code)
                 if h not in new or s > new[h][0]:
-                    new[h] = (s, out + letters)
+                    new[h] = (s, (out, letters) if letters else out)
         return new
 
 
@@ -152,17 +162,23 @@ class Restorer:
     def __init__(self, codes: list[int], counts: list[int]) -> None:
         self.model, self.known = LetterModel(codes, counts), {}
 
-    def token(self, token: str) -> str:
-        got = self.known.get(token)
+    def _restored(self, shown: str, spaced: bool) -> str:
+        if spaced:
+            return self.model.decode(shown, True)
+        for _ in range(2):
+            shown = EDGE.sub("", shown)
+        if TRACES.search(shown) and not ADDRESS.fullmatch(shown):
+            return self.model.decode(shown)
+        return shown
+
+    def token(self, token: str, spaced: bool = False) -> str:
+        got = self.known.get((token, spaced))
         if got is None:
-            if len(self.known) > HELD:
-                self.known.clear()
-            got = token
-            for _ in range(2):
-                got = EDGE.sub("", got)
-            if len(got) <= LONGEST and TRACES.search(got):
-                got = self.model.decode(got)
-            self.known[token] = got
+            got = self._restored(token, spaced)
+            if len(token) <= REMEMBERED:
+                if len(self.known) > HELD:
+                    self.known.clear()
+                self.known[token, spaced] = got
         return got
 
     def words(self, text: str | None) -> set[str]:
@@ -170,7 +186,7 @@ class Restorer:
         low = (text or "").lower()
         words = set(map(self.token, set(low.split())))
         for run in SPACED.findall(low):  # letters set apart by spaces
-            words.add(self.token("".join(run.split())))
+            words.update(self.token("".join(run.split()), True).split())
         return words
 
 

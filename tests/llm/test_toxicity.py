@@ -40,6 +40,19 @@ def test_restores_obfuscated_words():
     assert "idiot" in r.words("you i d i o t there") and r.token("the###") == "the"
 
 
+def test_restores_long_spaced_and_short_forms():
+    r = restorer()
+    marked = ".".join("idiotidiotidiotmoronmoron")
+    shown = {"idi" + "o" * 40 + "t": "idiot", "m" + "." * 9 + "o.r.o.n": "moron", "5cumb@9": "scumbag", "1d10+": "idiot", marked: "idiotidiotidiotmoronmoron"}
+    for token, meant in shown.items():
+        assert r.token(token) == meant, token
+    assert {"idiot", "moron"} <= r.words("so i d i o t m o r o n there")
+    assert {"idiot", "moron"} <= r.words("i  d\ti o t m 0 r 0 n ")
+    assert r.words(" ".join("idiot" * 60)) == {*"idot", "idiot"}
+    for token in ("https://a.b/1d10t", "0123456789abcdef0123", "id.iot@mo.ron"):
+        assert r.token(token) == token
+
+
 def test_held_out_and_obfuscated(spark, table):
     rows, labels = corpus()
     extra = [(10_001, "the or is m0r0n an al 1d10t en"), (10_002, "the or is an al en"), *((20_000 + k if i else i, t) for k, (i, t) in enumerate(EDGES))]
