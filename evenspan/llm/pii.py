@@ -5,9 +5,15 @@ Base spans: e-mail addresses, IP addresses, card numbers (Luhn) and phone number
 A word can reveal a protected value although it is none itself: a name that stands by one number only.  So words that
 stand within ``NEAR`` characters of a protected value are counted with it, by documents, and those seen with the same
 value in at least ``SUPPORT`` documents are counted in the whole corpus.  A word's disclosure of a value is the share
-of the word's documents that hold the value beside it, and its information is the log ratio of that share to the
-value's own share of all documents.  Words with a disclosure of at least ``DISCLOSURE`` and at least ``BITS`` bits are
-generalised wherever they occur, so that a text can't be joined with its protected value.
+of the word's documents that hold the value beside it.  Words with a disclosure of at least ``DISCLOSURE``, in more of
+their documents than chance explains, are generalised wherever they occur, so that a text can't be joined with its
+protected value.  Chance: were the word's documents drawn from all, so many of them or more would hold the value with
+a probability of at most exp(-docs * KL(disclosure || value's share)), which has to be ``LUCK`` or less.
+
+The window bounds the pairs of a text by its length; pairing all values of a document with all its words would cost
+their product, and tie every word of a directory to every number in it.  Words are runs of letters, marks and digits;
+one of three letters or fewer without a digit first counts where it is written as a name, that is, not in lower case
+(or in a script without cases), and is then found however it is written.
 
 All counts cover all documents.  Only words near protected values are ever shuffled, after each document's repeats are
 dropped and with partial counts in each task.  The corpus counts join words with the few that have support; that side
@@ -19,6 +25,8 @@ ids are kept; an empty table gives an empty result.  Whole texts are read, and o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +40,12 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # Runs of fewer than 13 digits can't be cards, and no match starts inside a run.
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-WORD = r"\p{L}{4,}"
+INSIDE = r"[\p{L}\p{M}\p{N}]"
+WORD = INSIDE + "+"
+#: Short words that start in lower case are left out.
+NAME = rf"(?<!{INSIDE})(?![\p{{Ll}}][\p{{L}}\p{{M}}]{{0,2}}(?!{INSIDE})){WORD}"
 
-NEAR, SUPPORT, DISCLOSURE, BITS = 48, 3, 0.5, 6.0
+NEAR, SUPPORT, DISCLOSURE, LUCK = 48, 3, 0.5, 1e-3
 
 
 def _digits(v: Column) -> Column:
@@ -75,6 +86,17 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
+def _names(text: Column) -> Column:
+    """The words that may reveal a value, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)), lambda x: F.lower(x)))
+
+
+def _evidence(share: Column, expected: Column) -> Column:
+    """Kullback-Leibler divergence in nats; 0 where the share isn't above what is expected."""
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - expected))).otherwise(0.0)
+    return F.when(share > expected, share * F.log(share / expected) + rest).otherwise(0.0)
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """term, docs (that hold it), disclosure, bits.  ``found`` has key, base and near of every row of ``docs``."""
     pairs = found.where(F.size("base") > 0).select("key", F.explode("near").alias("x")).select("key", "x.value", F.explode("x.words").alias("term")).distinct()
@@ -92,7 +114,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     total = found.count()
     told = pairs.join(held, "term").join(values, "value")
     told = told.withColumn("disclosure", F.least(F.col("n") / F.col("docs"), F.lit(1.0))).withColumn("bits", F.log2(F.col("disclosure") * total / F.col("of")))
-    told = told.where((F.col("disclosure") >= DISCLOSURE) & (F.col("bits") >= BITS))
+    proof = F.col("docs") * _evidence(F.col("disclosure"), F.least(F.col("of") / F.lit(total), F.lit(1.0)))
+    told = told.where((F.col("disclosure") >= DISCLOSURE) & (proof >= -math.log(LUCK)))
     return told.groupBy("term").agg(F.max("docs").alias("docs"), F.max("disclosure").alias("disclosure"), F.max("bits").alias("bits"))
 
 
@@ -102,10 +125,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.hash("text").alias("b"), F.length("text").alias("n")).alias("key")
 
     def beside(x: Column) -> Column:
-        start = F.greatest(x["s"] - NEAR, F.lit(0))
+        start = F.greatest(x["s"] - NEAR - 1, F.lit(0))  # a character more tells whether the window cuts a word, which goes
         left = F.substring(F.col("text"), start + 1, x["s"] - start)
-        right = F.substring(F.col("text"), x["e"] + 1, F.lit(NEAR))
-        return F.struct(x["v"].alias("value"), _words(F.concat(left, F.lit(" "), right)).alias("words"))
+        left = F.when(start > 0, F.regexp_replace(left, f"^{WORD}", "")).otherwise(left)
+        right = F.substring(F.col("text"), x["e"] + 1, F.lit(NEAR + 1))
+        right = F.when(F.length(right) > NEAR, F.regexp_replace(right, f"{WORD}$", "")).otherwise(right)
+        return F.struct(x["v"].alias("value"), _names(F.concat(left, F.lit(" "), right)).alias("words"))
 
     found = docs.select("doc_id", "text", key, base_spans(F.col("text")).alias("base"))
     found = found.select("doc_id", "key", "base", F.when(F.size("base") > 0, F.transform("base", beside)).alias("near"))
@@ -117,7 +142,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     words = docs.select(key, F.explode(_words(F.col("text"))).alias("term"))
     holders = hot_join(words, terms, ["term"], "left_semi", many, 64, "docs").distinct().groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     holders = stored(holders, "holders")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(f"(?iu)(?<!{INSIDE})(?:"), F.array_join("terms", "|"), F.lit(f")(?!{INSIDE})"))
     rows, widest = holders.agg(F.count("*"), F.coalesce(F.max(F.octet_length(F.array_join("terms", " "))), F.lit(0))).first()
     keyed = docs.select("text", key)
     places = hot_join(keyed, holders.withColumn("_n", F.lit(1)), ["key"], "inner", rows, widest + 96, "_n")

@@ -75,3 +75,14 @@ def _parts(df):
 def test_no_python(table):
     plan = pii.digests(table([(1, "a@b.c")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_names_identifiers_hot_values_and_small_tables(table):
+    rows = [(i, f"Ask Ann or 李明 (id k7x42) at team@example.org, note {i}") for i in range(12)]
+    rows += [(50 + i, f"or write to team@example.org about note {i}") for i in range(13)]
+    rows += [(100 + i, f"write about note {i}, ask or id of no use") for i in range(35)]  # the value is in 25 of 61 rows
+    terms = {r["term"] for r in pii.disclosing_terms(*_parts(table(rows + [(900, "we met ann")]))).collect()}
+    assert terms == {"ann", "李明", "k7x42"}
+    few = [(i, "Kim +1 (555) 123-4567") for i in range(5)] + [(9 + i, f"nothing of note {i}") for i in range(30)]
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(table(few + [(800, "so kim left, kimono")])).collect()}
+    assert got[0] == "phone:4:21,term:0:3" and got[800] == "term:3:6" and got[9] == ""
