@@ -72,22 +72,32 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word of lower-cased bytes: a difference of prefix sums, shifted to the word's start."""
+    """(hash, first byte) of each word of lower-cased bytes: a difference of prefix sums, shifted to the word's start.
+
+    A word that goes over a part's end is carried on, so its hash depends on its bytes only.
+    """
     up, down = once_a_worker(("powers",), _powers)
-    hashes, starts, at = [], [], 0
+    hashes, starts, at, carried = [], [], 0, None
     while at < len(raw):
-        end = len(raw)
-        if end - at > 4 * CHUNK:  # cut after white space; a longer word is cut in itself
-            end = at + 4 * CHUNK
-            blanks = np.flatnonzero(_SPACE[np.frombuffer(raw, np.uint8, CHUNK, end - CHUNK)])
-            end = end - CHUNK + int(blanks[-1]) + 1 if len(blanks) else end
+        end = min(len(raw), at + 4 * CHUNK)
         part = np.frombuffer(raw, np.uint8, end - at, at)
         word = ~_SPACE[part]
         edges = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
         first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)))
-        hashes.append(mix((sums[last] - sums[first]) * down[first]))
-        starts.append(first + at)
+        values, first = (sums[last] - sums[first]) * down[first], first + at
+        if carried is not None:
+            value, since = carried
+            if word[0]:
+                values[:1] = value + values[:1] * np.uint64(pow(_P, at - int(since[0]), 1 << 64))
+                first[:1] = since
+            else:
+                values, first = np.concatenate((value, values)), np.concatenate((since, first))
+            carried = None
+        if end < len(raw) and word[-1]:  # the next part goes on with this word
+            carried, values, first = (values[-1:], first[-1:]), values[:-1], first[:-1]
+        hashes.append(mix(values))
+        starts.append(first)
         at = end
     return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 

@@ -109,3 +109,14 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (None, 5), (7, 7)]
     got = dict(graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_long_words_hash_alike_after_any_neighbour():
+    text = "one two " + "ab" * (5 * near_dup.CHUNK // 2) + " three four five six " + "q" * (8 * near_dup.CHUNK)
+    alone = next(near_dup.shingle_sets([text]))
+    assert len(alone) == 4
+    for before in ("", "x y z", "x y z " * 1000, "k" * (near_dup.CHUNK - 9)):
+        assert (list(near_dup.shingle_sets([before, text]))[1] == alone).all()
+    for size in (4 * near_dup.CHUNK - 1, 4 * near_dup.CHUNK, 4 * near_dup.CHUNK + 1):
+        h, first = near_dup.word_hashes(b"a" * size + b" b")
+        assert first.tolist() == [0, size + 1] and h[1] == near_dup.word_hashes(b"b")[0][0]
