@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,21 +19,60 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+#: Folder in the shared one that :func:`stored` writes to, by :func:`scope`.
+_SCOPES = ["evenspan"]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all run on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = f"/tmp/evenspan-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, and outlives any executor."""
+def written(df: DataFrame, name: str, folders: list[str]) -> tuple[DataFrame, str]:
+    """``df``, written below the folders of the shared one and read again, and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evenspan/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{'/'.join(folders)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage, and outlives any executor."""
+    return written(df, name, _SCOPES)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder, by Spark's own means of access."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is stored inside is deleted at the end, so nothing that is used later may read it."""
+    _SCOPES.append(f"{name}-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/{'/'.join(_SCOPES)}"
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        discard(spark, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to be none of the table's columns."""
+    taken_names, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken_names:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def small_or_shuffled(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -45,20 +88,42 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def once_a_worker(key: tuple, make: Callable[[], Any]) -> Any:
+#: Rows of an Arrow batch: texts are long, and a batch is held by the executor and by its Python worker.
+BATCH = 1000
+
+
+def in_batches(df: DataFrame, of: Callable, schema: Any) -> DataFrame:
+    """``df.mapInArrow(of, schema)`` with batches of at most :data:`BATCH` rows, a setting that the session keeps."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df.mapInArrow(of, schema)
+
+
+def once_a_worker(owner: str, key: tuple, make: Callable[[], Any]) -> Any:
     """``make()``, once in the life of a Python worker: code pickled by value has no module to keep it in.
 
-    A worker serves many jobs, so it keeps one thing of a kind (the key's first part), and three kinds.
+    A worker serves many jobs.  It keeps one thing of a kind (the key's first part), and those of one operator: when
+    another one's first thing is made, all others go and their memory is given back.
     """
     kept = sys.__dict__.setdefault("_evenspan_kept", {})
+    if kept.get(None) != owner:
+        released(kept)
+        kept[None] = owner
     if key[0] not in kept or kept[key[0]][0] != key:
         kept.pop(key[0], None)
-        while len(kept) >= 3:
-            kept.pop(next(iter(kept)))
         kept[key[0]] = key, make()
     return kept[key[0]][1]
 
 
+def released(kept: dict) -> None:
+    kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def taken(shared: Broadcast) -> Any:
     """A broadcast's value, which the worker doesn't hold after that: what is made of it stays instead."""
     value = shared.value
@@ -77,3 +142,11 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: i
     few, rest = right.where(F.col(weight) > hot), right.where(F.col(weight) <= hot)
     here = left.join(F.broadcast(few), on, "inner" if how == "left" else how)
     return here.unionByName(left.join(F.broadcast(few.select(*on)), on, "left_anti").join(rest, on, how))
+
+
+def without(left: DataFrame, right: DataFrame, on: list[str], rows: int, row_bytes: int, weight: str, hot: int = 20_000) -> DataFrame:
+    """The rows of ``left`` whose key isn't in ``right``, whose sides are joined as in :func:`hot_join`."""
+    if rows * row_bytes <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right.select(*on)), on, "left_anti")
+    few, rest = right.where(F.col(weight) > hot), right.where(F.col(weight) <= hot)
+    return left.join(F.broadcast(few.select(*on)), on, "left_anti").join(rest.select(*on), on, "left_anti")

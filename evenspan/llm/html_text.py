@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, stored
+from .common import hot_join, in_batches, stored
 
 PAGES, LEAST, DECAY = 8, 0.25, 0.9
 
@@ -203,7 +203,7 @@ def host_of(url: str | Column) -> Column:
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, path, m, importance of the nodes of each host's merged pages."""
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html"))
-    features = rows.mapInArrow(_features, "host string, path string, shown long, content long, page long")
+    features = rows.transform(in_batches, _features, "host string, path string, shown long, content long, page long")
     features = stored(features.distinct().select("host", "path", "shown", "content"), "page-nodes")
     shown, content = _entropy(features, "shown"), _entropy(features, "content").select("host", "path", F.col("entropy").alias("content"))
     weight = F.pow(F.lit(DECAY), F.col("k"))
@@ -225,4 +225,4 @@ def extract(pages: DataFrame) -> DataFrame:
     size = low.agg(F.count("*"), F.coalesce(F.max(F.octet_length(F.concat_ws(" ", "low"))), F.lit(0))).first()
     found = hot_join(pages, low, ["host"], "left", size[0], size[1] + 64, "m")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return found.select("page_id", "url", "html", "low").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
+    return found.select("page_id", "url", "html", "low").transform(in_batches, _extracted, f"page_id {kind}, url string, text string, n_chars long")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 SIDE, LOW = 32, 8
@@ -163,7 +165,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n_bytes`` and ``media``: every whole text stored as a PNG in a binary column."""
     id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_encoded, f"id {id_type}, n_bytes long, media binary")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_batches, _encoded, f"id {id_type}, n_bytes long, media binary")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +185,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def from_media(df: DataFrame) -> DataFrame:
     """Adds ``payload`` (the samples read back), ``feature`` and ``error`` to the rows of :func:`to_media`."""
     id_type = df.schema["id"].dataType.simpleString()
-    return df.select("id", "n_bytes", "media").mapInArrow(_decoded, f"id {id_type}, n_bytes long, media binary, payload binary, feature string, error string")
+    return df.select("id", "n_bytes", "media").transform(in_batches, _decoded, f"id {id_type}, n_bytes long, media binary, payload binary, feature string, error string")
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import once_a_worker, stored
+from .common import in_batches, once_a_worker, stored
 
 SIZE, END = 1024, 2
-#: A worker's memory of encoded words is emptied beyond this many.
-WORDS = 800_000
+#: A worker's memory of encoded words is emptied beyond this many bytes; longer words than ``REMEMBERED`` aren't kept.
+HELD, REMEMBERED = 40 << 20, 64
+#: Rows whose texts are Python strings at a time.
+AT_ONCE = 256
 #: Pieces of one bucket, about; the ranks of a bucket are counted in one task.
 BUCKET = 20_000
 #: White space next to white space, or other than a space or line feed, and special tokens: such texts are encoded whole.
@@ -77,13 +79,16 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.of, self.fast = Tokenizer.from_file(path), ranked(path)
+        self.path, self.of, self.fast = path, None, ranked(path)
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.feed = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
+        if self.of is None:
+            from tokenizers import Tokenizer
+
+            self.of = Tokenizer.from_file(self.path)
         return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
@@ -94,20 +99,25 @@ class Encoder:
             return b""
         if odd(text) or text[0] in " \n" or text[-1] in " \n":
             return self._encode(text)
-        if len(self.words) > WORDS:
-            self.words.clear()
         known, out = self.words, []
         for line in text.split("\n"):
             words = line.replace(" ", "\0 ").split("\0")
             try:
                 out.append(b"".join([known[w] for w in words]))
             except KeyError:
-                for w in words:
-                    if w not in known:
-                        known[w] = self._word(w)
-                out.append(b"".join([known[w] for w in words]))
+                out.append(b"".join([known.get(w) or self._learned(w) for w in words]))
         return self.feed.join(out)
 
+    def _learned(self, word: str) -> bytes:
+        ids = self._word(word)
+        if 0 < len(word) <= REMEMBERED:
+            self.held += 260 + len(word) + len(ids)  # both objects with their headers, and a place in the table
+            if self.held > HELD:
+                self.words.clear()
+                self.held = 0
+            self.words[word] = ids
+        return ids
+
 
 def pieces_of(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     """(start, length) of each piece of ``n`` ids; the first takes the remainder."""
@@ -119,14 +129,15 @@ def _cutter(path: str, size: int, end: int):
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = once_a_worker(("encoder", path), lambda: Encoder(path))
+        encode = once_a_worker("packing", ("encoder", path), lambda: Encoder(path))
         for batch in batches:
             at, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text or "") + tail
-                for k, (start, length) in enumerate(pieces_of(len(ids) // 4, size)):
-                    at.append(i)
-                    rows.append((k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+            for begin in range(0, len(batch), AT_ONCE):
+                for i, text in enumerate(batch.column(1).slice(begin, AT_ONCE).to_pylist(), begin):
+                    ids = encode(text or "") + tail
+                    for k, (start, length) in enumerate(pieces_of(len(ids) // 4, size)):
+                        at.append(i)
+                        rows.append((k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
             cols = zip(*rows) if rows else [[]] * 4
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -137,7 +148,7 @@ def _cutter(path: str, size: int, end: int):
 def cut_pieces(df: DataFrame, path: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: a row for each piece of each document."""
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cutter(path, size, end), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).transform(in_batches, _cutter(path, size, end), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once_a_worker, small_or_shuffled, stored, taken
+from .common import in_batches, once_a_worker, small_or_shuffled, stored, taken
 from .langid import held_out
 
 SAMPLE = 40_000
@@ -67,7 +67,7 @@ ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://.*|www\..*|[a-z0-9._%+-]+@[a-z0-9-]+(
 
 def folded(text: str) -> np.ndarray:
     """Codes of a lower-cased text: letters, ends for white space, other characters."""
-    return once_a_worker(("folding",), _folding)[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+    return once_a_worker("toxicity", ("folding",), _folding)[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
 
 
 def _folding() -> np.ndarray:
@@ -199,21 +199,29 @@ def features_of(words: set[str]) -> set[str]:
 
 def _count_features(name: str, shared):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = once_a_worker(("restorer", name), lambda: Restorer(*taken(shared)))
+        restore = once_a_worker("toxicity", ("restorer", name), lambda: Restorer(*taken(shared)))
+        counts = (Counter(), Counter())
+
+        def handed() -> pa.RecordBatch:
+            both = list(counts[0] | counts[1])
+            made = [pa.array(both, pa.string()), *(pa.array([c[f] for f in both], pa.int64()) for c in counts)]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays(made, ["feature", "n0", "n1"])
+
         for batch in batches:
-            counts = (Counter(), Counter())
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[label].update(features_of(restore.words(text)))
-            both = list(counts[0] | counts[1])
-            made = [pa.array(both, pa.string()), *(pa.array([counts[k][f] for f in both], pa.int64()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays(made, ["feature", "n0", "n1"])
+            if sum(map(len, counts)) > HELD:
+                yield handed()
+        yield handed()
 
     return of
 
 
 def _found(name: str, shared, features: dict[str, int]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = once_a_worker(("restorer", name), lambda: Restorer(*taken(shared)))
+        restore = once_a_worker("toxicity", ("restorer", name), lambda: Restorer(*taken(shared)))
         for batch in batches:
             rows = [sorted(features[f] for f in features_of(restore.words(t)) if f in features) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "found"])
@@ -270,8 +278,8 @@ def fit(rows: list[tuple[int, list[int]]], n: int, penalty: float = 0.1, steps:
 
 def _scored(name: str, shared, weights: dict[str, float], constant: float):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = once_a_worker(("restorer", name), lambda: Restorer(*taken(shared)))
-        known = once_a_worker(("weights", name), dict)
+        restore = once_a_worker("toxicity", ("restorer", name), lambda: Restorer(*taken(shared)))
+        known = once_a_worker("toxicity", ("weights", name), dict)
 
         def weight(word: str) -> tuple[str, ...]:
             return tuple(f for f in features_of({word}) if f in weights)
@@ -299,7 +307,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """doc_id, held_out, score, predicted for all ``docs``; learned from ``labels`` (doc_id, toxic) of rows that aren't held out."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    letters = stored(docs.select("text").mapInArrow(_count_letters, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")), "letters").collect()
+    letters = stored(docs.select("text").transform(in_batches, _count_letters, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")), "letters").collect()
     shared = spark.sparkContext.broadcast(([r[0] for r in letters], [r[1] for r in letters]))  # at most LETTERS**4 rows
     name = uuid.uuid4().hex
 
@@ -310,7 +318,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         learn = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(sample / there * (1 << 40)))
     rows = stored(docs.join(small_or_shuffled(learn, min(there, 2 * sample), 16), "doc_id").select("text", "toxic"), "labelled")
 
-    counts = rows.mapInArrow(_count_features(name, shared), "feature string, n0 long, n1 long")
+    counts = rows.transform(in_batches, _count_features(name, shared), "feature string, n0 long, n1 long")
     counts = counts.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     kinds = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     total0, total1 = kinds.get(0, 0), kinds.get(1, 0)
@@ -321,10 +329,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         limit = (2 * math.log(1 / LUCK)) ** 0.5  # above the normal quantile of that chance
         picked = counts.where((F.col("n1") >= SUPPORT) & (z > limit)).select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(FEATURES)
         features = {r[0]: i for i, r in enumerate(picked.collect())}
-        found = rows.mapInArrow(_found(name, shared, features), "toxic int, found array<int>").collect()  # a bounded sample
+        found = rows.transform(in_batches, _found(name, shared, features), "toxic int, found array<int>").collect()  # a bounded sample
         w, constant = fit([(r[0], r[1]) for r in found], len(features))
         weights = {f: float(w[i]) for f, i in features.items()}
     else:
         weights, constant = {}, 30.0 if total1 else -30.0
-    scores = docs.select("doc_id", out_of.alias("held_out"), "text").mapInArrow(_scored(name, shared, weights, constant), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    scores = docs.select("doc_id", out_of.alias("held_out"), "text").transform(in_batches, _scored(name, shared, weights, constant), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
