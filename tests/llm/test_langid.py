@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
+import pytest
 from evenspan.llm import langid
 
 from .conftest import EDGES
@@ -31,7 +34,7 @@ def test_edges(table):
     assert len(got) == len(rows)
     for r in got[: len(EDGES)]:
         text = EDGES[[i for i, _ in EDGES].index(r["doc_id"])][1]
-        if not langid.LETTERS.search(text or ""):
+        if not langid.words_of(text):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
         else:
             assert r["lang_pred"] in ("aa", "bb", "cc")
@@ -42,11 +45,68 @@ def test_nothing_learned(table):
     assert langid.identify(table([])).collect() == []
 
 
-def test_unseen_words_back_off():
-    rows = [("x", 0, "abab", 8, 10), ("y", 0, "cdcd", 8, 10)]
-    for lang, word in (("x", "abab"), ("y", "cdcd")):
-        for o in langid.ORDERS:
-            grams = langid.grams_of(word, o)
-            rows += [(lang, o, g, grams.count(g), len(grams)) for g in set(grams)]
-    m = langid.Model(rows)
-    assert m.predict("ab")[0] == "x" and m.predict("dcdc cd")[0] == "y" and m.predict("abab")[1] > 0.9
+def predicted(rows, training):
+    """Plainly: id -> (language, score) of (id, text), from (id, text, lang) that aren't held out."""
+    counts, grams = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter))
+    for i, text, lang in training:
+        if text is not None and lang is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
+            counts[lang].update(langid.words_of(text))
+    counts = {lang: c for lang, c in counts.items() if c}
+    for lang, c in counts.items():
+        for w, n in c.items():
+            for o in langid.ORDERS:
+                for g in langid.grams_of(w, o):
+                    grams[o][lang][g] += n
+    langs = sorted(counts)
+
+    def logs(by, what):
+        if not any(what in by[lang] for lang in langs):
+            return None
+        totals = {lang: sum(by[lang].values()) for lang in langs}
+        floor = math.log(0.25 / max(totals.values()))
+        return [math.log(by[lang][what] / totals[lang]) if by[lang][what] else floor for lang in langs]
+
+    out = {}
+    for i, text in rows:
+        words = langid.words_of(text)
+        if not words or not langs:
+            out[i] = "und", 0.0
+            continue
+        total = [0.0] * len(langs)
+        for w in words:
+            parts = [logs(counts, w)]
+            if parts[0] is None:
+                parts = [next((x for o in langid.ORDERS if (x := logs(grams[o], langid.grams_of(w, o)[k])) is not None), None) for k in range(len(w) + 1)]
+            for part in parts:
+                total = [a + b for a, b in zip(total, part or [0.0] * len(langs))]
+        top = max(total)
+        out[i] = langs[[round(x - top, 9) for x in total].index(0)], 1 / sum(math.exp(max(-700, x - top)) for x in total)
+    return out
+
+
+def agrees(got, rows, training):
+    want = predicted(rows, training)
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-9, (r, want[r["doc_id"]])
+
+
+@pytest.mark.parametrize("held", [200_000, 40, 0])
+def test_equals_the_plain_way_however_many_words_are_held(table, monkeypatch, held):
+    monkeypatch.setattr(langid, "FREQUENT", held)
+    rows = sample(9, 120) + [(500, "kalo kalo quux éé", None), (501, "Ж", None), (502, "ka", "aa"), (503, "हिन्दी लो", "dd"), (504, "हिन्", None), (505, "½ ² Ⅷ 12", "aa"), (506, None, "bb"), (507, "lomi", None), (507, "lomi", None)]
+    agrees(langid.identify(table(rows)).collect(), [(i, t) for i, t, _ in rows], rows)
+
+
+def test_rare_words_are_known(table):
+    """A word seen once among very many is scored as known: its characters would tell another language."""
+    rows = [(i, "kalo " * 3000, "aa") for i in range(0, 90)] + [(1000, "kala", "bb"), (1001, "shr", "bb")] + [(2000, "kala", None)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 or r[0] == 2000]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table(rows)).collect()}
+    assert got[2000] == "bb"
+
+
+def test_words_have_letters_and_marks():
+    assert langid.words_of("हिन्दी Ünï ½ ² Ⅷ a1b ́x") == ["हिन्दी", "ünï", "a", "b", "x"]
+    assert langid.words_of("Plain ASCII, 2 words?") == ["plain", "ascii", "words"] and langid.words_of(None) == []
