@@ -1,29 +1,33 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-A :class:`LineRuns` store holds, per level, runs: Parquet tables of (line hash, number of documents) sorted by
-hash.  Each new batch of documents is anti-joined against the saturated hashes of the runs (those already found
-in enough documents, which need no more counting) and then adds its own run at level 0.  When a level holds
-``fanout`` runs they are merged into one run of the next level, so n batches keep O(log n) runs.  A run has a row
-for each distinct line of its batch, counted before it is shuffled, so a line that a third of all documents hold
-is one row from each task.
+A :class:`LineRuns` store holds runs: tables of (h, g, n), two hashes of a line and its number of documents, bucketed by
+the hashes and sorted by them.  Each new batch of documents is counted, merge-anti-joined with the saturated lines of
+each run (those already found in enough documents, which need no more counting) and then written as a run of level 0.
+A level holds one run: a second one is merged with it into a run of the next level, so n batches keep O(log n) runs.
+Runs have equal buckets in equal order, so their merges and anti-joins are joins of sorted files without an exchange.
+A batch is counted before it is shuffled, so a line that a third of all documents hold is one row from each task.
 
 Which lines go is then a join of the documents' lines with the frequent hashes: broadcast where their counted
-number has a small size, else shuffled, with the hashes of very many documents (few by arithmetic: at most lines /
-``HOT``) broadcast apart from the rest, so no task gets more than ``HOT`` lines of a hash.
+number has a small size, else shuffled, with the hashes of very many documents (counted, and few by arithmetic: at most
+lines / ``HOT``) broadcast apart from the rest, so no task gets more than ``HOT`` lines of a hash.  Documents get their
+lines back by a hash of id and text in the same way.
 
-Defined cases: a null or empty text is one empty line, whose key is shorter than ``min_chars`` and stays.  A row
-is a document: repeated rows count each.  Null ids are kept.  Empty tables give empty results.  Only the named
-columns are read, so other columns may have any name.
+Lines are told apart by two 64-bit hashes.  Defined cases: a null or empty text is one empty line, whose key is shorter
+than ``min_chars`` and stays.  A row is a document: repeated rows count each.  Null ids are kept.  Empty tables give
+empty results.  Only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, text_or_empty
+from .common import discard, fresh, hot_join, shared_dir, stored, text_or_empty
 
 #: White space that is stripped from both ends of a line: space, tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"
@@ -39,99 +43,142 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
-def line_hashes(text: Column, min_chars: int) -> Column:
-    """A 64-bit hash of each line's key, null for keys of fewer than ``min_chars`` code points."""
+def line_keys(text: Column) -> Column:
+    """Each line's key."""
+    return F.transform(F.split(text, "\n", -1), lambda line: ascii_lower(F.btrim(line, F.lit(BLANKS))))
 
-    def hashed(line: Column) -> Column:
-        key = ascii_lower(F.btrim(line, F.lit(BLANKS)))
-        return F.when(F.length(key) >= min_chars, F.xxhash64(key))
 
-    return F.transform(F.split(text, "\n", -1), hashed)
+def _hashed(key: Column) -> Column:
+    return F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit("b"), key).alias("g"))
 
 
-class LineRuns:
-    """The runs of one corpus, in a folder of its own that driver and executors share."""
+def _lines(docs: DataFrame, text: Column, min_chars: int, *keep: str) -> DataFrame:
+    """h, g of the distinct lines of each row, without those whose keys have fewer than ``min_chars`` code points."""
+    keys = F.filter(F.array_distinct(line_keys(text)), lambda k: F.length(k) >= min_chars)
+    return docs.select(*keep, F.explode(F.transform(keys, _hashed)).alias("x")).select(*keep, "x.h", "x.g")
 
-    def __init__(self, spark: SparkSession, min_docs: int = 10, min_chars: int = 1, fanout: int = 4) -> None:
-        self.spark, self.min_docs, self.min_chars, self.fanout = spark, min_docs, min_chars, fanout
-        self.at = f"{shared_dir(spark)}/evenspan/line-runs-{uuid.uuid4().hex}"
-        self.levels: list[list[str]] = []
 
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = f"{self.at}/level{level}-{uuid.uuid4().hex}"
-        counts.sortWithinPartitions("h").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+LINE = ["h", "g"]
+
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h long, n long").parquet(*paths).groupBy("h").agg(F.sum("n").alias("n"))
+class LineRuns:
+    """The runs of one corpus, in a folder of its own that driver and executors share; :meth:`close` deletes it."""
 
-    def _runs(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    def __init__(self, spark: SparkSession, min_docs: int = 10, min_chars: int = 1) -> None:
+        self.spark, self.min_docs, self.min_chars = spark, min_docs, min_chars
+        self.at = f"{shared_dir(spark)}/evenspan/line-runs-{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[str | None] = []
+
+    @contextlib.contextmanager
+    def _in_order(self) -> Iterator[None]:
+        """Scans of sorted buckets count as sorted."""
+        key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
+
+    def _write(self, counts: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        with self._in_order():
+            counts.write.option("path", f"{self.at}/{name}").bucketBy(self.buckets, *LINE).sortBy(*LINE).saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        discard(self.spark, f"{self.at}/{name}")
+
+    def merged(self, a: str, b: str) -> DataFrame:
+        """Two runs as one, by a join of their sorted buckets."""
+        x, y = self.spark.table(a).withColumnRenamed("n", "x"), self.spark.table(b).withColumnRenamed("n", "y")
+        return x.hint("merge").join(y, LINE, "full").select(*LINE, (F.coalesce("x", F.lit(0)) + F.coalesce("y", F.lit(0))).alias("n"))
+
+    def _merge(self, a: str, b: str) -> str:
+        name = self._write(self.merged(a, b))
+        self._drop(a)
+        self._drop(b)
+        return name
+
+    def unsaturated(self, counts: DataFrame) -> DataFrame:
+        """The lines that no run holds often enough."""
+        for run in filter(None, self.levels):
+            counts = counts.join(self.spark.table(run).where(F.col("n") >= self.min_docs).select(*LINE).hint("merge"), LINE, "left_anti")
+        return counts
 
     def add(self, docs: DataFrame, text_col: str = "text") -> None:
-        """Count the lines of a batch of documents that the runs don't already hold often enough, as a new run."""
-        lines = docs.select(F.explode(F.array_distinct(line_hashes(text_or_empty(text_col), self.min_chars))).alias("h")).where("h is not null")
-        counts = lines.groupBy("h").agg(F.count("*").alias("n"))
-        if self._runs():
-            counts = counts.join(self.frequent().select("h"), "h", "left_anti")
-        self._write(counts, 0)
-        for level, runs in enumerate(self.levels):
-            if len(runs) >= self.fanout:
-                self._write(self._merged(runs), level + 1)
-                self.levels[level] = []
+        """Count the lines of a batch of documents that no run already holds often enough, as a new run."""
+        counts = _lines(docs, text_or_empty(text_col), self.min_chars).groupBy(*LINE).agg(F.count("*").alias("n"))
+        run, level = self._write(self.unsaturated(counts)), 0
+        while level < len(self.levels) and self.levels[level]:
+            run, self.levels[level] = self._merge(self.levels[level], run), None
+            level += 1
+        if level == len(self.levels):
+            self.levels.append(None)
+        self.levels[level] = run
 
     def frequent(self) -> DataFrame:
-        """``h``, ``n``: the hashes found in at least ``min_docs`` documents."""
-        return self._merged(self._runs()).where(F.col("n") >= self.min_docs)
+        """``h``, ``g`` of the lines found in at least ``min_docs`` documents; all runs become one."""
+        runs = [run for run in self.levels if run]
+        if len(runs) > 1:
+            self.levels = [None] * (len(self.levels) - 1) + [reduce(self._merge, runs)]
+        return self.spark.table(next(filter(None, self.levels))).where(F.col("n") >= self.min_docs).select(*LINE)
+
+    def close(self) -> None:
+        for run in filter(None, self.levels):
+            self._drop(run)
+        self.levels = []
+        discard(self.spark, self.at)
 
 
-def batches_of(docs: DataFrame, n: int = 4) -> list[DataFrame]:
-    """The table's files in at most ``n`` batches, as they would arrive one after the other; together they hold all rows."""
-    files = sorted(docs.inputFiles())
-    if len(files) < 2:
-        return [docs]
-    step = -(-len(files) // n)
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i : i + step]) for i in range(0, len(files), step)]
+def batches_of(docs: DataFrame, n: int, id_col: str = "doc_id") -> list[DataFrame]:
+    """The table in ``n`` batches by a hash of the id, as they might arrive one after the other; together they hold all rows."""
+    return [docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)) == k) for k in range(n)]
 
 
 def drop_frequent_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", prefix: str = "_ld") -> DataFrame:
     """All rows and columns of ``docs`` with ``text_col`` rid of its frequent lines, and ``<prefix>_lines`` and ``<prefix>_dropped``.
 
-    Documents meet their lines again by a hash of id and text: the dropped lines are a function of the text, and
+    Documents meet their lines again by hashes of id and text: the dropped lines are a function of the text, and
     the id spreads many copies of one text over the tasks.
     """
     frequent = stored(frequent, "frequent-lines")
-    rows, hot = frequent.agg(F.count("*"), F.count_if(F.col("n") > HOT)).first()
-    text, key, gone = text_or_empty(text_col), f"{prefix}_key", f"{prefix}_gone"
-    hashes = line_hashes(text, min_chars)
-    docs = docs.withColumn(key, F.struct(F.xxhash64(id_col, text), F.hash(text), F.length(text)))
-    lines = docs.select(key, F.explode(F.array_distinct(hashes)).alias("h")).where("h is not null")
+    rows = frequent.count()
+    text = text_or_empty(text_col)
+    k1, k2, gone, kept = fresh(docs, f"{prefix}_k1", f"{prefix}_k2", f"{prefix}_gone", f"{prefix}_kept")
+    docs = docs.withColumns({k1: F.xxhash64(id_col, text), k2: F.xxhash64(F.lit("b"), id_col, text)})
+    lines = _lines(docs, text, min_chars, k1, k2)
     if rows * 40 <= SMALL:
-        found = lines.join(F.broadcast(frequent.select("h")), "h", "left_semi")
+        found = lines.join(F.broadcast(frequent), LINE, "left_semi")
     else:
-        few = frequent.where(F.col("n") > HOT).select("h")
-        rest = lines.join(F.broadcast(few), "h", "left_anti").join(frequent.where(F.col("n") <= HOT).select("h"), "h", "left_semi")
-        found = lines.join(F.broadcast(few), "h", "left_semi").unionByName(rest) if hot else rest
-    found = found.groupBy(key).agg(F.collect_set("h").alias(gone))
-    out = docs.join(found, key, "left")
+        hot = lines.groupBy(*LINE).agg(F.count("*").alias("n")).where(F.col("n") > HOT)  # at most lines / HOT
+        few = F.broadcast(stored(frequent.join(hot, LINE, "left_semi"), "hot-lines"))
+        rest = lines.join(few, LINE, "left_anti").join(frequent.join(few, LINE, "left_anti"), LINE, "left_semi")
+        found = lines.join(few, LINE, "left_semi").unionByName(rest)
+    found = found.groupBy(k1, k2).agg(F.collect_set(F.struct(*LINE)).alias(gone), F.count("*").alias("_n"))
+    found = stored(found, "found-lines")
+    many, places = found.agg(F.count("*"), F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()
+    out = hot_join(docs, found, [k1, k2], "left", 1, 96 * many + 48 * places, "_n").drop("_n")
     split = F.split(text, "\n", -1)
-    keep = F.filter(F.arrays_zip(split.alias("l"), hashes.alias("h")), lambda x: x["h"].isNull() | ~F.array_contains(F.col(gone), x["h"]))
+    hashes = F.transform(line_keys(text), lambda k: F.when(F.length(k) >= min_chars, _hashed(k)))
+    keep = F.filter(F.arrays_zip(split.alias("l"), hashes.alias("x")), lambda z: z["x"].isNull() | ~F.array_contains(F.col(gone), z["x"]))
     none = F.col(gone).isNull()
-    kept = F.when(none, F.array(F.lit(""))).otherwise(keep["l"])
-    out = out.withColumn(f"{prefix}_lines", F.size(split).cast("long")).withColumn(f"{prefix}_kept", kept)
-    out = out.withColumn(f"{prefix}_dropped", F.when(none, F.lit(0)).otherwise(F.col(f"{prefix}_lines") - F.size(f"{prefix}_kept")).cast("long"))
-    new = F.when(none, text).otherwise(F.concat_ws("\n", f"{prefix}_kept"))
-    return out.withColumn(text_col, new).drop(key, gone, f"{prefix}_kept")
+    out = out.withColumn(f"{prefix}_lines", F.size(split).cast("long")).withColumn(kept, F.when(none, F.array(F.lit(""))).otherwise(keep["l"]))
+    out = out.withColumn(f"{prefix}_dropped", F.when(none, F.lit(0)).otherwise(F.col(f"{prefix}_lines") - F.size(kept)).cast("long"))
+    new = F.when(none, text).otherwise(F.concat_ws("\n", kept))
+    return out.withColumn(text_col, new).drop(k1, k2, gone, kept)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", batches: int = 4) -> DataFrame:
     """Count the lines of all documents batch by batch, then drop those found in at least ``min_docs`` of them."""
     runs = LineRuns(docs.sparkSession, min_docs, min_chars)
-    for batch in batches_of(docs, batches):
+    for batch in batches_of(docs, batches, id_col):
         runs.add(batch, text_col)
-    return drop_frequent_lines(docs, runs.frequent(), min_chars, id_col, text_col)
+    frequent = stored(runs.frequent(), "frequent-lines")
+    runs.close()
+    return drop_frequent_lines(docs, frequent, min_chars, id_col, text_col)
 
 
 def digests(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
