@@ -85,3 +85,31 @@ def test_qgrams():
     raw = bytes(range(1, 40))
     assert [int(x).to_bytes(8, "little") for x in dc.qgrams(raw)] == [raw[i : i + 8] for i in range(32)]
     assert len(dc.qgrams(b"short")) == 0
+
+
+def test_alignment_is_banded_and_exact():
+    for _ in range(300):
+        item = "".join(RNG.choice("ab") for _ in range(RNG.randrange(8, 25))).encode()
+        k, ahead = RNG.randrange(0, 5), RNG.randrange(0, 4)
+        region = edited(item.decode(), RNG.randrange(5)).encode()[RNG.randrange(2) :]
+        want = distance_in_band(item, region, ahead)
+        assert dc.align(item, region, k, ahead) == (want if want is not None and want <= k else None)
+
+
+def distance_in_band(item, region, ahead):
+    wide = len(region) + ahead - len(item)
+    if item in region:
+        return 0
+    row = {j: 0 for j in range(len(region) + 1) if -ahead <= j <= wide - ahead}
+    for i, a in enumerate(item, 1):
+        new = {}
+        for j in range(len(region) + 1):
+            if -ahead <= j - i <= wide - ahead:
+                ways = [row[j] + 1] if j in row else []
+                ways += [row[j - 1] + (a != region[j - 1])] if j - 1 in row and j else []
+                ways += [new[j - 1] + 1] if j - 1 in new else []
+                ways += [i] if j == 0 else []
+                if ways:
+                    new[j] = min(ways)
+        row = new
+    return min(row.values(), default=None)
