@@ -12,14 +12,16 @@ register, and two sets share a register with (almost exactly) their Jaccard simi
 3. Inside a group, a member's similarity to the others is estimated jointly from the numbers of larger, smaller and
    equal registers by maximum likelihood; what passes (six standard errors below the threshold) is confirmed on the
    full sets.  A member already in the group's main component needs no search of its own, as pairs within it are
-   connected anyhow; so a large group of near copies costs little more than its size, and no link is lost.  Groups
-   whose sets hold over ``BLOCK`` shingles are dealt into blocks, one task for each pair of blocks.
+   connected anyhow; so a large group of near copies costs little more than its size, and no link is lost.
+   Groups of over ``ROWS`` members or ``BLOCK`` shingles are dealt into parts, each searched together with the
+   group's first member, in a task for each part.  Only members that this leaves outside the first member's component
+   are then searched for in all parts of their group, in a task for each part and ``ROWS`` of them.
 4. Components of the confirmed links give each class its smallest reachable id.
 
 Defined cases: a text of fewer words than a shingle is one shingle; a null, empty or blank text has an empty set and
-is linked with nothing.  Rows with a null id get the component of their text's class.  Repeated rows get equal
-results.  Very long texts are handled in blocks of bytes.  An empty table gives an empty result.  Only the id and
-text columns are read.
+is linked with nothing.  Classes are nodes by numbers of their own, so repeated and null ids link nothing; rows with a
+null id get the smallest id of their component, null if there is none.  Repeated rows get equal results.  Very long
+texts are handled in blocks of bytes.  An empty table gives an empty result.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hot_join, once_a_worker, small_or_shuffled, stored
+from .common import fresh, hot_join, in_batches, once_a_worker, small_or_shuffled, stored, without
 from .graph import connected_components
 
 WORDS = 5
@@ -39,8 +42,10 @@ WORDS = 5
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 #: Bytes of text that are hashed at once, about.
 CHUNK = 1 << 20
-#: Shingles that one block of a candidate group holds, about.
-BLOCK = 2_000_000
+#: Members and shingles that one part of a candidate group holds, about.
+ROWS, BLOCK = 200, 2_000_000
+#: What tells classes apart.
+KEY = ["n_shingles", "s1", "s2"]
 
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
@@ -61,10 +66,10 @@ def _odd(n: int, seed: int) -> np.ndarray:
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, for up to four chunks."""
+    """Powers of an odd number and of its inverse modulo 2**64, for a chunk."""
 
     def of(p: int) -> np.ndarray:
-        out = np.full(4 * CHUNK + 1, p, np.uint64)
+        out = np.full(CHUNK + 1, p, np.uint64)
         out[0] = 1
         return np.cumprod(out, dtype=np.uint64)
 
@@ -76,10 +81,10 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
     A word that goes over a part's end is carried on, so its hash depends on its bytes only.
     """
-    up, down = once_a_worker(("powers",), _powers)
+    up, down = once_a_worker("near_dup", ("powers",), _powers)
     hashes, starts, at, carried = [], [], 0, None
     while at < len(raw):
-        end = min(len(raw), at + 4 * CHUNK)
+        end = min(len(raw), at + CHUNK)
         part = np.frombuffer(raw, np.uint8, end - at, at)
         word = ~_SPACE[part]
         edges = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
@@ -158,10 +163,13 @@ def joint_estimate(more: np.ndarray, less: np.ndarray, same: np.ndarray, na: flo
     return np.take_along_axis(j, score.argmax(1)[:, None], 1)[:, 0]
 
 
-def links(sets: list[np.ndarray], threshold: float, m: int) -> list[tuple[int, int]]:
-    """Pairs that connect exactly what the pairs of similarity ``threshold`` or more connect, among non-empty sets."""
+def links(sets: list[np.ndarray], threshold: float, m: int, wanted: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect exactly what the pairs of similarity ``threshold`` or more connect, among non-empty sets.
+
+    With ``wanted``, only the sets that are marked there are searched for: all their pairs are found.
+    """
     n = len(sets)
-    if n < 2:
+    if n < 2 or wanted is not None and not any(wanted):
         return []
     registers, sizes = sketches(sets, m), np.array([len(s) for s in sets])
     doc = np.repeat(np.arange(n), sizes)
@@ -198,6 +206,8 @@ def links(sets: list[np.ndarray], threshold: float, m: int) -> list[tuple[int, i
         union = sizes[z] + sizes[others] - shared
         return others[100 * shared >= round(100 * threshold) * union]
 
+    if wanted is not None:
+        return [(z, y) for z in range(n) if wanted[z] for y in search(z).tolist()]
     main: np.ndarray = np.zeros(n, bool)
     for z in range(n):
         if main[z]:
@@ -214,13 +224,16 @@ def links(sets: list[np.ndarray], threshold: float, m: int) -> list[tuple[int, i
 
 
 def _sketched(words: int, rows: int, bands: int):
+    """The first columns as they are, and of the last one, the text, the set's size, signature and hashed bands."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = rows * bands
         weights = _odd(rows, 13)
         for batch in batches:
+            *before, texts = batch.columns
             size, s1, s2, keys = [], [], [], []
             for at in range(0, len(batch), 256):
-                sets = list(shingle_sets(batch.column(1).slice(at, 256).to_pylist(), words))
+                sets = list(shingle_sets(texts.slice(at, 256).to_pylist(), words))
                 size += [len(s) for s in sets]
                 full = [s for s in sets if len(s)]
                 if full:
@@ -233,77 +246,152 @@ def _sketched(words: int, rows: int, bands: int):
                     s2.append(b)
                     keys.append(next(made) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "s1", "s2", "bands"],
+                [*before, pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                [*batch.schema.names[:-1], "n_shingles", "s1", "s2", "bands"],
             )
 
     return of
 
 
-def _sets(words: int):
+def _linked(threshold: float, m: int, words: int):
+    """Links within each (grp, x, y) of the sorted rows; with marked rows, theirs only."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(task: tuple, members: dict) -> pa.RecordBatch:
+            ids = list(members)
+            sets = list(shingle_sets([members[i][0] for i in ids], words))
+            pairs = links(sets, threshold, m, [members[i][1] for i in ids] if task[2] >= 0 else None)
+            return pa.RecordBatch.from_arrays([pa.array([ids[p[i]] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        task, members = None, {}
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                sets = list(shingle_sets(part.column(1).to_pylist(), words))
-                sums = [signature(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array([x[i] for x in sums], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["rep", "s1", "s2", "items"],
-                )
+                for group, x, y, rep, marked, text in zip(*(part.column(i).to_pylist() for i in range(6))):
+                    if (group, x, y) != task:
+                        if len(members) > 1:
+                            yield made(task, members)
+                        task, members = (group, x, y), {}
+                    members[rep] = text, marked or members.get(rep, (None, False))[1]
+        if len(members) > 1:
+            yield made(task, members)
 
     return of
 
 
-def _linked(threshold: float, m: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(ids: list, sets: list) -> pa.RecordBatch:
-            pairs = links(sets, threshold, m)
-            return pa.RecordBatch.from_arrays([pa.array([ids[p[i]] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _searched(tasks: DataFrame, texts: DataFrame, threshold: float, m: int, words: int) -> DataFrame:
+    """a, b: the links of each task's members (grp, x, y, rep, marked); ``texts`` has rep and text."""
+    dealt = tasks.join(texts, "rep").select("grp", "x", "y", "rep", "marked", "text")
+    dealt = dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "rep")
+    return stored(dealt.transform(in_batches, _linked(threshold, m, words), "a long, b long"), "links")
+
+
+def _confirmed(classes: DataFrame, groups: DataFrame, texts_of, threshold: float, m: int, words: int) -> DataFrame:
+    """node, root: the components of the confirmed links; ``groups`` has node and root of the candidate groups."""
+    members = stored(classes.join(groups, classes["rep"] == groups["node"]).select("rep", F.col("root").alias("grp"), "n_shingles", "least", "t"), "groups")
+    parts = F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n_shingles") / BLOCK)).cast("int")
+    sizes = stored(members.groupBy("grp").agg(parts.alias("parts"), F.min("rep").alias("first"), F.count("*").alias("n")), "group-sizes")
+    members = hot_join(members, sizes, ["grp"], "inner", sizes.count(), 56, "n")
+    members = members.withColumn("x", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    texts = stored(texts_of(members.select("rep", "least", "t"), members.count()), "group-texts")
+
+    def of(tasks: DataFrame) -> DataFrame:
+        return _searched(tasks, texts, threshold, m, words)
+
+    none, no = F.lit(-1).alias("y"), F.lit(False).alias("marked")
+    split = sizes.where("parts > 1").select("grp", F.explode(F.expr("sequence(0, parts - 1)")).alias("x"), none, F.col("first").alias("rep"), no)
+    links_ = of(members.select("grp", "x", none, "rep", no).unionByName(split))
+    if sizes.where("parts > 1").isEmpty():
+        return connected_components(links_)
+    so_far = stored(connected_components(links_), "components-so-far")
+    large = members.where("parts > 1").join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "rep", "x", "parts", "first", F.coalesce("root", "rep").alias("root"))
+    firsts = large.where("rep = first").select("grp", F.col("root").alias("main"))
+    outside = hot_join(large, sizes.where("parts > 1").join(firsts, "grp").select("grp", "main", "n"), ["grp"], "inner", sizes.where("parts > 1").count(), 56, "n")
+    outside = stored(outside.where("root <> main").select("grp", "rep", "parts"), "outside")
+    blocks = outside.groupBy("grp").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"), F.count("*").alias("n"))
+    blocks = stored(blocks, "outside-blocks")
+    many = blocks.count()
+    if not many:
+        return so_far
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    asked = hot_join(outside, blocks, ["grp"], "inner", many, 48, "n")
+    asked = asked.select("grp", F.explode(F.expr("sequence(0, parts - 1)")).alias("x"), block.alias("y"), "rep", F.lit(True).alias("marked"))
+    there = hot_join(members, blocks.withColumnRenamed("n", "outside"), ["grp"], "inner", many, 48, "outside")
+    there = there.select("grp", "x", F.explode(F.expr("sequence(0, blocks - 1)")).alias("y"), "rep", no)
+    more = of(asked.unionByName(there))
+    return connected_components(links_.unionByName(more))
+
+
+def _components(docs: DataFrame, threshold: float, words: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (any columns, doc_id, text last): the rows with their set's size and signature, and the classes of several rows or with links (least id of the component, number of rows, comp)."""
+    before = [f.name for f in docs.schema if f.name != "text"]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in before)
+    ready = docs.select(*before, F.xxhash64("text").alias("t"), "text")
+    sketched = stored(ready.transform(in_batches, _sketched(words, rows, bands), f"{kinds}, t long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketches")
+    # a class has the smallest id, and for its text that of one row with that id
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("t").alias("t"))).alias("one")
+    classes = sketched.where("n_shingles > 0").groupBy(*KEY).agg(one, F.count("*").alias("rows"), F.any_value("bands").alias("bands"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), *KEY, F.col("one.id").alias("least"), F.col("one.t").alias("t"), "rows", "bands"), "classes")
+
+    keys = classes.select("rep", F.explode("bands").alias("band"))
+    buckets = stored(keys.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    stars = hot_join(keys, buckets, ["band"], "inner", buckets.count(), 48, "n").where("rep <> centre")
+    groups = connected_components(stars.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
 
-        task, ids, sets = None, [], []
-        for batch in batches:
-            for group, x, y, rep, items in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (group, x, y) != task:
-                    if len(ids) > 1:
-                        yield made(ids, sets)
-                    task, ids, sets = (group, x, y), [], []
-                ids.append(rep)
-                sets.append(np.frombuffer(items, np.uint64))
-        if len(ids) > 1:
-            yield made(ids, sets)
+    def texts_of(wanted: DataFrame, many: int) -> DataFrame:
+        found = docs.select(F.col("doc_id").alias("least"), F.xxhash64("text").alias("t"), "text")
+        found = found.join(small_or_shuffled(wanted, many, 48), found["t"].eqNullSafe(wanted["t"]) & found["least"].eqNullSafe(wanted["least"]))
+        return found.groupBy("rep").agg(F.any_value("text").alias("text"))
 
-    return of
+    components = _confirmed(classes.drop("bands"), groups, texts_of, threshold, rows * bands, words)
+    known = classes.drop("bands").join(components, classes["rep"] == components["node"], "left").where("root is not null or rows > 1")
+    known = stored(known.select(*KEY, "least", "rows", F.coalesce("root", "rep").alias("comp")), "component-classes")
+    least = stored(known.groupBy("comp").agg(F.min("least").alias("to"), F.count("*").alias("n")), "component-ids")
+    known = hot_join(known.drop("least"), least, ["comp"], "inner", least.count(), 40, "n").drop("n")
+    return sketched.drop("bands", "t"), stored(known, "components")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, words: int = WORDS, rows: int = 8, bands: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; ids are integers."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = stored(docs.mapInArrow(_sketched(words, rows, bands), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketches")
-    key = ["n_shingles", "s1", "s2"]
-    full = sketched.where("n_shingles > 0")
-    classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.any_value("bands").alias("bands"))
-    classes = stored(classes, "classes")
+    sketched, known = _components(docs, threshold, words, rows, bands)
+    out = hot_join(sketched, known.withColumn("known", F.lit(True)), KEY, "left", known.count(), 72, "rows")
+    component = F.when(F.col("known").isNull(), F.col("doc_id")).otherwise(F.col("to"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
-    keys = classes.where("rep is not null").select("rep", F.explode("bands").alias("band"))
-    buckets = stored(keys.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    stars = hot_join(keys, buckets, ["band"], "inner", buckets.count(), 48, "n").where("rep <> centre")
-    groups = connected_components(stars.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
 
-    members = stored(classes.join(groups, classes["rep"] == groups["node"]).select("rep", F.col("root").alias("grp"), *key), "groups")
-    blocks = stored(members.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")), "blocks")
-    members = hot_join(members, blocks, ["grp"], "inner", blocks.count(), 48, "n")
-    wanted = small_or_shuffled(members.select("rep").distinct(), members.count(), 32)
-    sets = docs.join(wanted, docs["doc_id"] == F.col("rep")).select("rep", "text").mapInArrow(_sets(words), "rep long, s1 long, s2 long, items binary")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tasks = members.withColumn("x", block).withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tasks = tasks.select("grp", "rep", "s1", "s2", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    dealt = tasks.join(sets.dropDuplicates(["rep", "s1", "s2"]), ["rep", "s1", "s2"]).select("grp", "x", "y", "rep", "items")
-    dealt = dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "rep")
-    components = connected_components(dealt.mapInArrow(_linked(threshold, rows * bands), "a long, b long"))
+def _plain(kind: T.DataType) -> bool:
+    """Whether values of the type can be hashed."""
+    if isinstance(kind, T.ArrayType):
+        return _plain(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_plain(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
-    known = classes.join(components, classes["rep"] == components["node"], "left").where("root is not null or rows > 1")
-    known = stored(known.select(*key, F.coalesce("root", "rep").alias("to"), "rows"), "components")
-    out = hot_join(sketched.drop("bands"), known, key, "left", known.count(), 72, "rows")
-    component = F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("to"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+def distinct_documents(docs: DataFrame, threshold: float = 0.85, words: int = WORDS, rows: int = 8, bands: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near-duplicates one row, with all its columns: the one with the smallest id (null last).
+
+    Rows are told apart by two hashes of all their columns (maps excepted); of rows with equal ones, exact copies, one
+    stays.  Rows without words are in no group and all stay.
+    """
+    h1, h2 = fresh(docs, "_h1", "_h2")
+    parts = [F.col(f"`{f.name}`") for f in docs.schema if _plain(f.dataType)]
+    marked = docs.withColumns({h1: F.xxhash64(*parts), h2: F.xxhash64(F.lit("b"), *reversed(parts))})
+    ready = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(h1).alias("h1"), F.col(h2).alias("h2"), F.col(text_col).alias("text"))
+    sketched, known = _components(ready, threshold, words, rows, bands)
+    members = hot_join(sketched, known, KEY, "inner", known.count(), 72, "rows")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    members = stored(members.groupBy("comp", row.alias("row")).agg(F.count("*").alias("n")), "members")
+    first = stored(members.groupBy("comp").agg(F.min("row").alias("first"), F.count("*").alias("many")), "first-members")
+    told = hot_join(members, first, ["comp"], "inner", first.count(), 96, "many")
+    told = told.select(F.col("row.h1").alias(h1), F.col("row.h2").alias(h2), "n", (F.col("row") == F.col("first")).alias("stays"))
+    told = stored(told, "told")
+    gone, copied = told.where("not stays or n > 1"), told.where("stays and n > 1")
+    out = without(marked, gone, [h1, h2], gone.count(), 40, "n")
+    many = copied.count()
+    if many:  # of exact copies, ids included, any one
+        same = hot_join(marked, copied.select(h1, h2, "n"), [h1, h2], "left_semi", many, 40, "n")
+        one = same.groupBy(h1, h2).agg(F.any_value(F.struct(*docs.columns)).alias("row")).select("row.*", h1, h2)
+        out = out.unionByName(one)
+    return out.select(*docs.columns)

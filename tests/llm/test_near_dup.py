@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from evenspan.llm import graph, near_dup
 
 from .conftest import EDGES
@@ -62,12 +63,28 @@ def test_edges_and_empty(table, edges):
     assert near_dup.near_duplicates(table([])).collect() == []
 
 
-def test_blocks_lose_no_links(table, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 300)
+@pytest.mark.parametrize("name, value", [("BLOCK", 300), ("ROWS", 3), ("ROWS", 1)])
+def test_parts_lose_no_links(table, monkeypatch, name, value):
+    monkeypatch.setattr(near_dup, name, value)
     rows = copies(5)
     check(near_dup.near_duplicates(table(rows)).collect(), plain(rows))
 
 
+def test_chains_over_many_parts(table, monkeypatch):
+    """Links that the first member's component doesn't reach within a part: each text is like its neighbours only."""
+    monkeypatch.setattr(near_dup, "ROWS", 4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 100])) for i in range(60)] + [(100 + i, " ".join(words[150 + 2 * i : 250 + 2 * i])) for i in range(0, 20, 9)]
+    check(near_dup.near_duplicates(table(rows)).collect(), plain(rows))
+
+
+def test_repeated_and_null_ids_link_nothing(table):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, a + " z"), (None, "only nulls have this text here"), (None, "only nulls have this text here")]
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(table(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (None, None, True)], key=str)
+
+
 def test_links_connect_what_all_pairs_connect():
     rng = np.random.default_rng(2)
     for _ in range(20):
