@@ -5,13 +5,14 @@ import zlib
 import corpus_pipeline
 import numpy as np
 from evenspan.llm import decontaminate as dc
-from evenspan.llm import langid, packing
+from evenspan.llm.decontaminate import decontaminated
+from evenspan.llm import packing
 from evenspan.llm.queries import tokenizer_path
 from tokenizers import Tokenizer
 
 from .conftest import LONG
 from .test_decontaminate import ITEMS, distance
-from .test_langid import sample
+from .test_langid import predicted, sample
 from .test_lines import line_dedup
 from .test_near_dup import copies
 from .test_near_dup import plain as components
@@ -38,9 +39,8 @@ def test_pipeline(spark, tmp_path):
 
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
-    model = langid.Model(langid.train(docs.where(~langid.held_out())))
-    told = {i: model.predict(t) for i, t, _ in texts}
-    rows = [(i, t) for i, t, _ in texts if told[i][0] != "und" and told[i][1] >= 0.5]
+    told = predicted([(i, t) for i, t, _ in texts], [(i, t, lang) for i, t, lang in texts])
+    rows = [(i, t) for i, t, _ in texts if told[i][0] != "und"]
     assert {i for i, _ in rows}.isdisjoint({3000, 3001, 3002}) and len(rows) > 100
     rows = lines(rows)
     assert not any("licence" in t.lower() for _, t in rows)
@@ -80,6 +80,51 @@ def test_short_clean_documents_stay(spark, table):
     rows += [(100 * k + i, f"{word} {word}", lang) for k, (lang, word) in enumerate({"bb": "shreng", "cc": "çalmi", "dd": "tuvo"}.items(), 1) for i in range(8)]
     rows += [(2000, "zuvo", "aa"), (2001, "Zuvo |", "aa"), (2002, "zuvo kalo", "aa"), (2003, "zuvo", None)]
     docs = table(rows + [(3000, "12 |", "aa"), (3001, None, "aa")])
-    scores = {r["doc_id"]: r["score"] for r in langid.identify(docs).collect()}
-    assert scores[2000] < 0.5 and scores[2001] < 0.5
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {i for i, *_ in rows}
+
+
+def test_each_row_is_judged_by_itself(spark):
+    """Rows with null or repeated ids, exact copies, and a column that has the name of an internal one."""
+    words = "ka lo mi tu kalo lomi mitu tuka loka mika tulo"
+    texts = [(1, words), (1, "12345 678"), (None, "999"), (None, "lo lo ka mi tu"), (2, "mi tu"), (2, "mi tu"), (7, words + " " + ITEMS[0][1]), (7, "tu tu mi lo ka tu"), (None, ITEMS[0][1]), (None, None), (3, words), (None, words), (None, words)]
+    texts += [(100 + i, f"ka{'lo' * (i % 7)} mi{'tu' * (i // 7)} ka{i} lo{i} mi{i} tu{i}") for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "aa", "x", k % 2) for k, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, _id string, _h1 int")
+    bench = [x for x in ITEMS if x[0] != 3]
+
+    def rows(df):
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    want = [(i, t) for i, t in texts if t and any(c.isalpha() for c in t)]
+    told = corpus_pipeline.language(spark, docs, "")
+    assert rows(told) == sorted(want, key=str) and told.columns == docs.columns and {r["_id"] for r in told.collect()} == {"x"}
+
+    left = corpus_pipeline.near_duplicates(spark, told, "")
+    copies_of = {(3, words), (None, words)}
+    want = [x for k, x in enumerate(want) if x not in copies_of and x not in want[:k]]
+    assert rows(left) == sorted(want, key=str) and left.columns == docs.columns
+
+    clean = decontaminated(left, spark.createDataFrame(bench, "item_id long, text string"))
+    assert rows(clean) == sorted((x for x in want if ITEMS[0][1] not in x[1]), key=str) and (7, "tu tu mi lo ka tu") in want
+
+
+def test_near_duplicates_across_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:-1] + ["z"])
+    docs = spark.createDataFrame([(None, " ".join(base), 1), (None, near, 2), (None, near, 2), (None, "", 3), (None, "", 3), (5, " ", 4)], "doc_id long, text string, k int")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r["text"].strip() for r in got)[:3] == ["", "", ""] and len(got) == 4
+
+
+def test_stage_results_are_deleted(spark, tmp_path):
+    import glob
+
+    from evenspan.llm.common import shared_dir
+
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in sample(3, 30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = shared_dir(spark).removeprefix("file:") + "/evenspan/"
+    there = set(glob.glob(at + "*"))
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    names = {x.removeprefix(at).rpartition("-")[0] for x in set(glob.glob(at + "*")) - there}
+    assert names == {"stage-decontamination", "pieces", "piece-counts"}
