@@ -4,12 +4,14 @@
    the best language's share, so it is low for short texts, and the lower the more languages there are.
 2. Line dedup: lines found in at least ten documents go from every text; texts left without any line that isn't blank
    stay, as empty documents.
-3. Near-dedup: of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays.
+3. Near-dedup: of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one row stays, the one with
+   the smallest id; of exact copies, ids included, one.  Texts without words are no duplicates of each other.
 4. Benchmark decontamination: documents that hold a benchmark item go.
 5. Best-fit packing: the documents that remain, as pieces in sequences of at most 1024 tokens.
 
-Documents that nothing is held against are kept.  Null texts go in stage 1, as they have no letter.  Extra columns of
-``documents`` are carried through; each stage but the last returns the columns that it got.
+Each row is judged by itself, whatever its id: rows with null or repeated ids are documents as others are.  Rows that
+nothing is held against are kept.  Null texts go in stage 1, as they have no letter.  Extra columns of ``documents`` are
+carried through, whatever their names; each stage but the last returns the columns that it got.
 """
 
 from __future__ import annotations
@@ -18,27 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenspan.llm import decontaminate, langid, line_dedup, near_dup, packing
-from evenspan.llm.common import hot_join, read, stored
+from evenspan.llm.common import discard, read, scope, written
 from evenspan.llm.queries import tokenizer_path
 
 #: Rows and bands of sketches that find pairs of similarity 0.8 but for a chance of about 5e-6.
 SIMILARITY, ROWS, BANDS = 0.8, 6, 40
 
 
-#: Stands for a null id: rows without one stay if one of them is kept.
-NO_ID = -(1 << 63)
-
-
-def _keep(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among those of ``told``."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    ids = stored(told.select(key.alias("_id")).distinct(), "kept").withColumn("_n", F.lit(1))
-    return hot_join(docs.withColumn("_id", key), ids, ["_id"], "left_semi", ids.count(), 24, "_n").drop("_id")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = langid.identify(docs)
-    return _keep(docs, told.where(F.col("lang_pred") != langid.UNDETERMINED))
+    return langid.determined(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +39,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = near_dup.near_duplicates(docs, SIMILARITY, rows=ROWS, bands=BANDS)
-    return _keep(docs, told.where("kept"))
+    return near_dup.distinct_documents(docs, SIMILARITY, rows=ROWS, bands=BANDS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,9 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    """The rows of the last stage.  What a stage stores besides its result is deleted at its end, its result when the next one has used it."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    *first, (_, last) = STAGES
+    for name, stage in first:
+        with scope(spark, name):
+            docs, path = written(stage(spark, docs, sf_dir), f"stage-{name}", ["evenspan"])
+        if before:
+            discard(spark, before)
+        before = path
+    return last(spark, docs, sf_dir)
