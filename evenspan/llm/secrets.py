@@ -2,18 +2,21 @@
 
 Base spans: assignments to a secret's name, access keys, long hexadecimal runs.
 
-The battery looks at other runs of 20 or more letters, digits and the signs of base 64.  A run's encoding is inferred
-as the smallest alphabet that holds it (16, 36, 62 or 64 symbols).  Its symbols are tested for randomness: chi-squared
-against uniform use of the alphabet, the number of runs above and below the alphabet's middle, and the correlation of
-neighbours.  The three p-values are joined by Fisher's method; a run that they reject as random is no secret.
-
-What passes may still be a word or an identifier by chance.  The likelihood ratio of uniform symbols against the
-letters of text bounds that chance, p = exp(-log ratio), and grows sharper with the run's length.  Benjamini and
-Hochberg's procedure over the whole corpus, within bands of length (powers of two), keeps the share of false
-discoveries under ``ALPHA`` in each band; its thresholds come from a histogram of log p with a fixed number of bins.
+The battery looks at other runs of 20 or more letters, digits and the signs of base 64, with at least one letter.  A
+run's encoding is inferred as the smallest alphabet that holds it (16, 36, 62 or 64 symbols).  Three tests measure
+how random its symbols are: chi-squared against uniform use of the alphabet, the number of runs above and below the
+alphabet's middle, and the correlation of neighbours.  Each is taken as a test of equivalence.  Its null hypothesis is
+that the symbols are as structured as text or worse: used as unevenly as letters in text are, with as few runs as
+grouped symbols have, or correlated as counted-up symbols are.  A small p says that this run is more random than
+that, the smaller the longer the run.  A secret has to be random in all three respects, so the three are joined by
+the largest p (an intersection-union test).
+
+Benjamini and Hochberg's procedure over the whole corpus, within bands of length (powers of two), keeps the share of
+false discoveries under ``ALPHA`` in each band; its thresholds come from a histogram of log p with a fixed number of bins.
 
 Defined cases: null and empty texts have no spans; only the named columns are read, whole; repeated rows give
-repeated results; null ids are kept; an empty table gives an empty result.  Added spans never overlap base spans.
+repeated results; null ids are kept; an empty table gives an empty result.  Equal signs belong to a run only as its
+padding.  Added spans never overlap base spans.  What is stored meanwhile are places and test results, never a secret.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty
-from .spans import apart, by_start, listed, matches
+from .spans import PLACE, apart, by_start, listed, matches
 
 KINDS = ["assign", "access", "hex", "random"]
 #: The lookahead only spares the alternatives where none can start; possessive ends only spare backtracking.
@@ -32,24 +35,21 @@ ASSIGN = r"""(?=[pPsStTaA])(?i:password|passwd|secret|token|api_?key)["']?\x20*[
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs of the alphabets' symbols with padding; URL-safe signs count as the others.
+CANDIDATE = r"(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}"
 
-#: False discoveries among added spans, and the p-value under which a run is rejected as random.
-ALPHA, REJECT = 0.01, 0.001
+#: False discoveries among added spans.
+ALPHA = 0.01
 #: Bins of -log10 p, ten each, at most.
-BINS, PER = 4000, 10
+BINS, PER = 400, 10
 
 ORDER = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"
-#: Frequencies of the letters a to z in text, in percent.
-LETTER_PERCENT = [8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.07]
-
-
-def _text_log() -> list[float]:
-    """Log probability of each symbol of ORDER in text-like runs: 2 % digits, 4 % capitals, 4 % signs, the rest small letters."""
-    total = sum(LETTER_PERCENT)
-    small = [math.log(0.9 * x / total) for x in LETTER_PERCENT]
-    large = [math.log(0.04 * x / total) for x in LETTER_PERCENT]
-    return [math.log(0.002)] * 10 + small + large + [math.log(0.02)] * 2
+#: Symbols of an alphabet, and how unevenly structured runs use it at least: alphabet * (chance that two symbols are
+#: equal) - 1, which uniform symbols have at 0.  In text that chance is 0.065, with capitals 0.05 and among A to F 0.17;
+#: slightly less is taken.
+ALPHABETS = {16: 1.2, 36: 1.1, 62: 2.0, 64: 2.1}
+#: Changes between the alphabet's halves, a symbol, of structured runs at most (0.5 at random), and their least correlation.
+CHANGES, CORRELATION = 0.25, 0.7
 
 
 def tail(z: Column) -> Column:
@@ -59,57 +59,59 @@ def tail(z: Column) -> Column:
 
 
 def _values(token: Column) -> Column:
-    """Numbers of a run's symbols; a run without small letters counts as one without capitals, as hexadecimal and base 32 do."""
+    """Numbers of a run's symbols without its padding; a run without small letters counts as one without capitals, as hexadecimal and base 32 do."""
     plain = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
     plain = F.when(plain.rlike("[a-z]"), plain).otherwise(F.lower(plain))
-    return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ORDER), c) - 1)
+    return F.transform(F.split(plain, ""), lambda c: F.instr(F.lit(ORDER), c) - 1)
 
 
-def battery(spans: Column) -> Column:
-    """The spans with n (symbols), band (of length), bin (of -log10 p as text) and random (p as random symbols)."""
-    with_values = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), _values(x["v"]).alias("n")))
+def statistics(v: Column) -> Column:
+    """n, k and what the tests need of a run's numbers: chi, changes and lag."""
 
     def sized(x: Column) -> Column:
-        top = F.array_max(x["n"])
+        top, n = F.array_max(x), F.size(x).cast("double")
         k = F.when(top < 16, 16.0).when(top < 36, 36.0).when(top < 62, 62.0).otherwise(64.0)
-        n = F.size(x["n"]).cast("double")
-        mean = F.aggregate(x["n"], F.lit(0.0), lambda a, v: a + v) / n
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["n"].alias("x"), n.alias("n"), k.alias("k"), mean.alias("mean"))
+        return F.struct(x.alias("x"), n.alias("n"), k.alias("k"), (F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / n).alias("mean"))
 
-    def measured(x: Column) -> Column:
-        v, n, k, mean = x["x"], x["n"], x["k"], x["mean"]
-        squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, d: a + F.pow(F.size(F.filter(v, lambda y: y == d)), F.lit(2.0)))
-        # all neighbours at once: (previous value, runs so far, lagged products)
-        first = F.struct(F.lit(None).cast("int").alias("p"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("lag"))
+    def measured(z: Column) -> Column:
+        x, n, k, mean = z["x"], z["n"], z["k"], z["mean"]
+        squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda a, d: a + F.pow(F.size(F.filter(x, lambda y: y == d)), F.lit(2.0)))
+        # all neighbours at once: (previous number, changes so far, lagged products)
+        first = F.struct(F.lit(None).cast("int").alias("p"), F.lit(0.0).alias("changes"), F.lit(0.0).alias("lag"))
 
         def step(a: Column, y: Column) -> Column:
-            turned = a["p"].isNull() | ((a["p"] * 2 >= k) != (y * 2 >= k))
+            changed = a["p"].isNotNull() & ((a["p"] * 2 >= k) != (y * 2 >= k))
             lag = F.when(a["p"].isNull(), 0.0).otherwise((a["p"] - mean) * (y - mean))
-            return F.struct(y.alias("p"), (a["runs"] + F.when(turned, 1.0).otherwise(0.0)).alias("runs"), (a["lag"] + lag).alias("lag"))
+            return F.struct(y.alias("p"), (a["changes"] + F.when(changed, 1.0).otherwise(0.0)).alias("changes"), (a["lag"] + lag).alias("lag"))
+
+        walked = F.aggregate(x, first, step)
+        spread = F.aggregate(x, F.lit(0.0), lambda a, y: a + (y - mean) * (y - mean))
+        lag = F.when(spread > 0, walked["lag"] / spread).otherwise(1.0)
+        return F.struct(n.alias("n"), k.alias("k"), (k / n * squares - n).alias("chi"), walked["changes"].alias("changes"), lag.alias("lag"))
 
-        walked = F.aggregate(v, first, step)
-        above = F.size(F.filter(v, lambda y: y * 2 >= k)).cast("double")
-        spread = F.aggregate(v, F.lit(0.0), lambda a, y: a + (y - mean) * (y - mean))
-        text = F.aggregate(v, F.lit(0.0), lambda a, y: a + F.element_at(F.array(*map(F.lit, _text_log())), y + 1))
-        return F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), n.alias("n"), k.alias("k"), (k / n * squares - n).alias("chi"),
-            walked["runs"].alias("runs"), above.alias("above"), F.when(spread > 0, walked["lag"] / spread).otherwise(1.0).alias("lag"), (text + n * F.log(k)).alias("text"),
-        )
+    return F.transform(F.transform(F.array(v), sized), measured)[0]
+
+
+def p_values(m: Column) -> tuple[Column, Column, Column]:
+    """Of the chi-squared, runs and serial-correlation tests: the chance of a result as random as this under structure."""
+    n, k = m["n"], m["k"]
+    uneven = F.coalesce(*(F.when(k == a, F.lit(d)) for a, d in ALPHABETS.items()))
+    chi = tail((n * uneven + k - 1 - m["chi"]) / F.sqrt(2 * (k - 1) + 4 * n * uneven))
+    runs = tail((m["changes"] - (n - 1) * CHANGES) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES)))
+    lag = F.least(F.abs(m["lag"]), F.lit(0.999))
+    serial = tail((math.atanh(CORRELATION) - F.atanh(lag)) * F.sqrt(n - 3))
+    return chi, runs, serial
+
+
+def battery(spans: Column) -> Column:
+    """The spans' places with band (of length) and bin (of -log10 p as structure)."""
+    walked = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), statistics(_values(x["v"])).alias("m")))
 
     def tested(x: Column) -> Column:
-        n, k = x["n"], x["k"]
-        chi = tail((x["chi"] - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
-        mean = 2 * x["above"] * (n - x["above"]) / n + 1
-        spread = F.sqrt((mean - 1) * (mean - 2) / (n - 1))
-        runs = F.when((x["above"] > 0) & (x["above"] < n) & (spread > 0), 2 * tail(F.abs(x["runs"] - mean) / spread)).otherwise(0.0)
-        serial = 2 * tail(F.abs(x["lag"] + 1 / n) * F.sqrt(n))
-        half = -(F.log(F.greatest(chi, F.lit(1e-12))) + F.log(F.greatest(runs, F.lit(1e-12))) + F.log(F.greatest(serial, F.lit(1e-12))))
-        random = F.exp(-half) * (1 + half + half * half / 2)
-        bins = F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(-x["text"] / math.log(10) * PER))).cast("int")
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), F.floor(F.log2(n)).cast("int").alias("band"), bins.alias("bin"), random.alias("random"))
+        bins = F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(*p_values(x["m"]))) * PER)).cast("int")
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.floor(F.log2(x["m"]["n"])).cast("int").alias("band"), bins.alias("bin"))
 
-    sizes = F.transform(F.filter(with_values, lambda x: F.size(x["n"]) > 1), sized)
-    return F.transform(F.transform(sizes, measured), tested)
+    return F.transform(walked, tested)
 
 
 def thresholds(candidates: DataFrame) -> dict[int, int]:
@@ -117,12 +119,12 @@ def thresholds(candidates: DataFrame) -> dict[int, int]:
     counts = candidates.groupBy("band", "bin").agg(F.count("*").alias("n"))
     above = Window.partitionBy("band").orderBy(F.desc("bin"))
     ranked = counts.withColumn("i", F.sum("n").over(above)).withColumn("m", F.sum("n").over(Window.partitionBy("band")))
-    found = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / PER) <= ALPHA * F.col("i") / F.col("m"))
+    found = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / PER) <= ALPHA * F.col("i") / F.col("m"))  # p is at most that
     return {r[0]: r[1] for r in found.groupBy("band").agg(F.min("bin")).collect()}
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base, spans: arrays of (kind, s, e, v) for every row."""
+    """doc_id, base, spans: arrays of (kind, s, e) for every row."""
     text = text_or_empty(text_col)
     found = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -136,9 +138,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = stored(found.select("doc_id", "base", F.when(F.size("runs") > 0, battery(F.col("runs"))).alias("runs")), "secrets")
     least = thresholds(found.select(F.explode("runs").alias("x")).select("x.band", "x.bin"))
     limits = F.create_map(*(F.lit(x) for item in sorted(least.items()) for x in item)) if least else F.create_map().cast("map<int,int>")
-    kept = F.filter(F.coalesce("runs", F.array()), lambda x: (x["random"] >= REJECT) & (x["bin"] >= F.coalesce(F.try_element_at(limits, x["band"]), F.lit(BINS + 1))))
-    added = F.transform(kept, lambda x: F.struct(F.lit("random").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
-    return found.select("doc_id", "base", F.when(F.size(added) > 0, by_start(F.concat("base", added), KINDS)).otherwise(F.col("base")).alias("spans"))
+    kept = F.filter(F.coalesce("runs", F.array()), lambda x: x["bin"] >= F.coalesce(F.try_element_at(limits, x["band"]), F.lit(BINS + 1)))
+    added = F.transform(kept, lambda x: F.struct(F.lit("random").alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    spans = F.when(F.size(added) > 0, by_start(F.concat("base", added.cast(PLACE)), KINDS)).otherwise(F.col("base"))
+    return found.select("doc_id", "base", spans.alias("spans"))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<kind:string,s:int,e:int,v:string>>"
+PLACE = "array<struct<kind:string,s:int,e:int>>"
 
 
 #: Lengths are summed in blocks of this many, so that many matches in a text don't cost the square of their number.
@@ -67,11 +68,16 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def placed(spans: Column) -> Column:
+    """kind, s and e only: places may be stored, what stands there may not."""
+    return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+
+
 def by_start(spans: Column, kinds: list[str]) -> Column:
-    """Ordered by start, then by kind as listed."""
+    """kind, s and e, ordered by start, then by kind as listed."""
     rank = F.array(*map(F.lit, kinds))
-    keyed = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.array_position(rank, x["kind"]).alias("k"), x["e"].alias("e"), x["v"].alias("v"), x["kind"].alias("kind")))
-    return F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
+    keyed = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.array_position(rank, x["kind"]).alias("k"), x["e"].alias("e"), x["kind"].alias("kind")))
+    return placed(F.array_sort(keyed))
 
 
 def apart(spans: Column, others: Column) -> Column:

@@ -60,3 +60,91 @@ def test_spans_of_any_pattern(spark):
     assert dict(frame.collect()) == {i: ",".join(f"x:{m.start()}:{m.end()}" for m in re.finditer("X+", t)) for i, t in enumerate(many)}
     over = rows.select(spans.overlaid(F.col("t"), spans.matches(F.col("t"), "X+", "x"), lambda k: F.lit("-"))).first()[0]
     assert over == "a-b-c🎵-"
+
+
+def keys(n, alphabet, length, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(n)]
+
+
+B64 = secrets.ORDER[:-2] + "-_"
+
+
+def added(table, texts):
+    got = {r["doc_id"]: r["spans"] for r in secrets.digests(table(list(enumerate(texts)))).collect()}
+    return [[x for x in got[i].split(",") if x.startswith("random")] for i in range(len(texts))]
+
+
+def test_inner_equal_signs_and_urls(table):
+    texts = ["utm_source=newsletter_weekly_digest_2024", "https://a.b/?q=abcdefghijklmnopqrst", "a=b=" * 30, "=" * 50, "x" * 30 + "==", "_" * 40, "-" * 25 + "A", "é" + "a-b_c/d+e" * 5 + "=", f"k={KEY}=="]
+    spans_ = added(table, texts)
+    assert spans_[:8] == [[]] * 8 and spans_[8] == [f"random:2:{2 + len(KEY.rstrip('=')) + min(2, len(KEY) - len(KEY.rstrip('=')) + 2)}"]
+
+
+def test_planted_keys_are_found_and_text_is_not(table):
+    rng = random.Random(3)
+    words = "the quick brown fox jumps over lazy dogs while every good parser returns clean values from large inputs".split()
+    text = ["".join(w.title() for w in rng.choices(words, k=rng.randrange(5, 12))) for _ in range(150)] + ["_".join(rng.choices(words, k=rng.randrange(4, 9))) for _ in range(150)]
+    text += ["/".join(rng.choices(words, k=8)) for _ in range(50)] + [f"{rng.randrange(10**24)}" for _ in range(50)] + [f"img-{i:08d}-large-thumbnail" for i in range(50)]
+    planted = keys(60, B64, 40, 1) + keys(60, B64, 64, 2) + keys(30, "0123456789ABCDEF", 64, 4)
+    got = added(table, ["see " + t for t in text + planted])
+    false = sum(map(bool, got[: len(text)]))
+    caught = [sum(map(bool, got[a:b])) / (b - a) for a, b in ((450, 510), (510, 570), (570, 600))]
+    assert false <= 0.03 * (false + sum(map(bool, got[450:]))), false  # some are allowed: ALPHA of all found
+    assert caught[0] > 0.5 and caught[1] > 0.95 and caught[2] > 0.95, caught  # the longer, the surer
+
+
+def test_each_test_of_the_battery_decides(table):
+    """Runs that only one test tells from random ones: without it they would be found among the keys."""
+    rng = random.Random(5)
+    uneven = ["".join(rng.choice("aA9zZ+q0Q") for _ in range(64)) for _ in range(3)]  # changing and uncorrelated, of few symbols
+    order = [*secrets.ORDER]
+    halves = [rng.sample(order[:32], 32), rng.sample(order[32:], 32)]
+    grouped = "".join(halves[0] + halves[1])  # each symbol once, the halves apart
+    counted = "".join(order[31 - i] + order[32 + i] for i in range(32))  # each symbol once, ever farther from the middle on either side
+    texts = [*uneven, grouped, counted, *keys(60, B64, 64, 6)]
+    got = added(table, texts)
+    assert not any(got[:5]) and sum(map(bool, got[5:])) >= 50
+    rows = table([(i, t) for i, t in enumerate(texts[:5])]).select("doc_id", secrets.statistics(secrets._values(F.col("text"))).alias("m"))
+    p = {r[0]: r[1:] for r in rows.select("doc_id", *secrets.p_values(F.col("m"))).collect()}
+    assert p[0][0] > 0.1 and max(p[0][1:]) < 0.01  # chi-squared alone
+    assert p[3][1] > 0.1 and p[3][0] < 0.01  # runs
+    assert p[4][2] > 0.01 and max(p[4][:2]) < 0.001  # serial correlation alone
+
+
+def test_statistics_equal_the_plain_ones(table):
+    texts = keys(5, B64, 33, 7) + ["abababababababababababab", "ABCDEF0123456789ABCDEF01", "zzzzzzzzzzzzzzzzzzzzzzzzz"]
+    got = table(list(enumerate(texts))).select("doc_id", secrets.statistics(secrets._values(F.col("text"))).alias("m")).collect()
+    for r in got:
+        t = texts[r["doc_id"]].translate(str.maketrans("-_", "+/"))
+        t = t if re.search("[a-z]", t) else t.lower()
+        v = [secrets.ORDER.index(c) for c in t]
+        k = next(a for a in (16, 36, 62, 64) if max(v) < a)
+        mean, n = sum(v) / len(v), len(v)
+        spread = sum((x - mean) ** 2 for x in v)
+        lag = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / spread if spread else 1.0
+        want = (n, k, sum((v.count(x) - n / k) ** 2 / (n / k) for x in range(k)), sum((2 * a >= k) != (2 * b >= k) for a, b in zip(v, v[1:])), lag)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(r["m"], want)), (texts[r["doc_id"]], r["m"], want)
+
+
+def test_no_secret_is_stored(spark, table):
+    import glob
+
+    from evenspan.llm.common import shared_dir
+
+    at = shared_dir(spark).removeprefix("file:") + "/evenspan/secrets-*"
+    there = set(glob.glob(at))
+    added(table, [f"password = hunter2hunter2 and {KEY}"])
+    (new,) = set(glob.glob(at)) - there
+    assert spark.read.parquet(new).schema.simpleString().count("string") == 1  # the spans' kind
+
+
+def test_false_discoveries_by_the_plain_procedure(spark):
+    rows = [(5, b) for b in [0] * 50 + [10] * 30 + [25] * 12 + [60] * 8] + [(4, 40)] + [(6, 5)] * 9
+    want = {}
+    for band in {b for b, _ in rows}:
+        bins = sorted((x for b, x in rows if b == band), reverse=True)
+        ok = [x for i, x in enumerate(bins) if 10 ** (-x / secrets.PER) <= secrets.ALPHA * sum(y >= x for y in bins) / len(bins)]
+        if ok:
+            want[band] = min(ok)
+    assert secrets.thresholds(spark.createDataFrame(rows, "band int, bin int")) == want
