@@ -2,25 +2,26 @@
 
 Base spans: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers.
 
-A word can reveal a protected value although it is none itself: a name that stands by one number only.  So words that
-stand within ``NEAR`` characters of a protected value are counted with it, by documents, and those seen with the same
-value in at least ``SUPPORT`` documents are counted in the whole corpus.  A word's disclosure of a value is the share
-of the word's documents that hold the value beside it.  Words with a disclosure of at least ``DISCLOSURE``, in more of
-their documents than chance explains, are generalised wherever they occur, so that a text can't be joined with its
-protected value.  Chance: were the word's documents drawn from all, so many of them or more would hold the value with
-a probability of at most exp(-docs * KL(disclosure || value's share)), which has to be ``LUCK`` or less.
-
-The window bounds the pairs of a text by its length; pairing all values of a document with all its words would cost
-their product, and tie every word of a directory to every number in it.  Words are runs of letters, marks and digits;
-one of three letters or fewer without a digit first counts where it is written as a name, that is, not in lower case
-(or in a script without cases), and is then found however it is written.
-
-All counts cover all documents.  Only words near protected values are ever shuffled, after each document's repeats are
-dropped and with partial counts in each task.  The corpus counts join words with the few that have support; that side
-is broadcast where its counted size is small, else joined by shuffling with the most frequent values apart.
+A word can reveal a protected value although it is none itself: a name that stands in one number's documents only.  So
+words are counted by documents, and with the protected values of the same documents.  A word's disclosure of a value is
+the share of the word's documents that hold the value.  Words with a disclosure of at least ``DISCLOSURE``, in at least
+``SUPPORT`` documents and in more than chance explains, are generalised wherever they occur, so that a text can't be
+joined with its protected value.  Chance: were the word's documents drawn from all, so many of them or more would hold
+the value with a probability of at most exp(-docs * KL(disclosure || value's share)), which has to be ``LUCK`` or less.
+
+Words are runs of letters, marks and digits; one of three letters or fewer without a digit first counts where it is
+written as a name, that is, not in lower case (or in a script without cases), and is then found however it is written.
+
+All counts cover all documents.  What arithmetic rules out is never paired: values in fewer than ``SUPPORT`` documents,
+words that stand in fewer documents with such values, and words in more documents than disclosure allows for the most
+frequent value beside them.  Values that share all their documents are one in the count, and so are words, so a
+directory that is found in many places is a few pairs and not all its values with all its words.  Equal texts are one
+text with a number of copies.  Corpus counts join words with the few that are left; that side is broadcast where its
+counted size is small, else joined by shuffling with the most frequent ones apart.
 
 Defined cases: null and empty texts have no spans; repeated rows count as documents each and get equal results; null
-ids are kept; an empty table gives an empty result.  Whole texts are read, and only the named columns.
+ids are kept; an empty table gives an empty result.  Whole texts are read, and only the named columns.  What is stored
+meanwhile are places and hashes, never a protected value or a name.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hot_join, stored, text_or_empty
-from .spans import SPAN, apart, by_start, listed, matches, overlaid
+from .spans import PLACE, apart, by_start, listed, matches, overlaid, placed
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 # A match can't start inside a run that has just failed from its start; \G lets one start where the last has ended.
@@ -45,7 +46,7 @@ WORD = INSIDE + "+"
 #: Short words that start in lower case are left out.
 NAME = rf"(?<!{INSIDE})(?![\p{{Ll}}][\p{{L}}\p{{M}}]{{0,2}}(?!{INSIDE})){WORD}"
 
-NEAR, SUPPORT, DISCLOSURE, LUCK = 48, 3, 0.5, 1e-3
+SUPPORT, DISCLOSURE, LUCK = 3, 0.5, 1e-3
 
 
 def _digits(v: Column) -> Column:
@@ -83,12 +84,21 @@ def base_spans(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    """Hashes of a text's words in lower case."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), lambda x: F.xxhash64(x))
 
 
-def _names(text: Column) -> Column:
-    """The words that may reveal a value, in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)), lambda x: F.lower(x)))
+def _names(text: Column, base: Column) -> Column:
+    """Hashes of the words outside of the base spans that may reveal a value, in lower case."""
+    return F.array_distinct(F.transform(apart(matches(text, NAME, "term"), base), lambda x: F.xxhash64(F.lower(x["v"]))))
+
+
+KEY = ["k1", "k2"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With two hashes of the text, by which equal texts are one."""
+    return docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("b"), F.col("text"))})
 
 
 def _evidence(share: Column, expected: Column) -> Column:
@@ -97,22 +107,50 @@ def _evidence(share: Column, expected: Column) -> Column:
     return F.when(share > expected, share * F.log(share / expected) + rest).otherwise(0.0)
 
 
+def _alike(rows: DataFrame, what: str) -> DataFrame:
+    """``what`` (of ``rows``: k1, k2, copies, ``what``) with its number of documents and its class: what stands in the same texts."""
+    places = F.bit_xor(F.xxhash64(*KEY)), F.bit_xor(F.xxhash64(F.lit("c"), *KEY))
+    counted = rows.groupBy(what).agg(F.sum("copies").alias("of"), F.count("*").alias("texts"), *(x.alias(f"x{i}") for i, x in enumerate(places)))
+    return counted.select(what, "of", "texts", F.xxhash64("of", "texts", "x0", "x1").alias("class"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, many: int, row_bytes: int, weight: str) -> DataFrame:
+    """k1, k2, text of the wanted texts, and the columns of ``wanted``, one row each."""
+    found = hot_join(_keyed(docs.select("text")), wanted, KEY, "inner", many, row_bytes, weight)
+    return found.groupBy(*KEY).agg(*(F.any_value(c).alias(c) for c in found.columns if c not in KEY))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """term, docs (that hold it), disclosure, bits.  ``found`` has key, base and near of every row of ``docs``."""
-    pairs = found.where(F.size("base") > 0).select("key", F.explode("near").alias("x")).select("key", "x.value", F.explode("x.words").alias("term")).distinct()
-    # a word's documents are at least those where it stands near some protected value: words that this alone rules out go
-    around = pairs.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("around"))
-    pairs = pairs.groupBy("value", "term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
-    pairs = stored(pairs.join(around, "term").where(F.col("n") >= DISCLOSURE * F.col("around")).drop("around"), "pairs")
-    terms = stored(pairs.groupBy("term").agg(F.max("n").alias("n")), "terms")
-    many = terms.count()
+    """term (hash of a word in lower case), docs (that hold it), disclosure, bits.  ``found`` has k1, k2, base and values (hashes) of every row of ``docs``."""
+    none = found.sparkSession.createDataFrame([], "term long, docs long, disclosure double, bits double")
+    holding = found.where(F.size("values") > 0)
+    copies = holding.groupBy(*KEY).agg(F.count("*").alias("copies"), F.any_value("values").alias("values"), F.any_value("base").alias("base"))
+    copies = stored(copies, "holding")
+    values = stored(copies.select(*KEY, "copies", F.explode("values").alias("value")), "values")
+    frequent = stored(_alike(values, "value").where(F.col("of") >= SUPPORT), "frequent-values")
+    many = frequent.count()
+    if not many:
+        return none
+    beside = stored(hot_join(values, frequent, ["value"], "inner", many, 56, "texts").select(*KEY, "copies", F.col("class").alias("value"), "of").distinct(), "value-classes")
+    texts = stored(beside.groupBy(*KEY).agg(F.max("of").alias("most")).join(copies.drop("values"), KEY), "protected-texts")
+    rows, spans = texts.agg(F.count("*"), F.sum(F.size("base"))).first()
+    words = _texts(docs, texts, 1, 96 * rows + 48 * spans, "copies")
+    words = stored(words.select(*KEY, "copies", "most", F.explode(_names(F.col("text"), F.col("base"))).alias("term")), "near-words")
+    terms = stored(_alike(words, "term").where(F.col("of") >= SUPPORT).withColumnRenamed("of", "around"), "near-terms")
+    near = hot_join(words, terms, ["term"], "inner", terms.count(), 64, "texts").where(F.col("around") * DISCLOSURE <= F.col("most"))
+    near = near.select(*KEY, F.col("class").alias("terms"), "around").distinct()
+    pairs = near.join(beside, KEY).where(F.col("around") * DISCLOSURE <= F.col("of"))
+    pairs = pairs.groupBy("value", "terms", "around", "of").agg(F.sum("copies").alias("n"))
+    pairs = stored(pairs.where((F.col("n") >= SUPPORT) & (F.col("n") >= F.col("around") * DISCLOSURE)), "pairs")
+    classes = pairs.select(F.col("terms").alias("class")).distinct()
+    left = stored(terms.join(classes, "class", "left_semi").select("term", "class", "around"), "terms")
+    many = left.count()
     if not many:
-        return pairs.select("term", F.col("n").alias("docs"), F.lit(0.0).alias("disclosure"), F.lit(0.0).alias("bits"))
-    words = docs.select(F.explode(_words(F.col("text"))).alias("term"))
-    held = hot_join(words, terms, ["term"], "left_semi", many, 64, "n").groupBy("term").agg(F.count("*").alias("docs"))
-    values = found.where(F.size("base") > 0).select("key", F.explode(F.array_distinct(F.transform("base", lambda x: x["v"]))).alias("value")).groupBy("value").agg(F.count("*").alias("of"))
+        return none
+    everywhere = docs.select(F.explode(_words(F.col("text"))).alias("term"))
+    held = hot_join(everywhere, left, ["term"], "left_semi", many, 64, "around").groupBy("term").agg(F.count("*").alias("docs"))
     total = found.count()
-    told = pairs.join(held, "term").join(values, "value")
+    told = left.join(held, "term").select("term", "class", "docs").join(pairs.select(F.col("terms").alias("class"), "n", "of"), "class")
     told = told.withColumn("disclosure", F.least(F.col("n") / F.col("docs"), F.lit(1.0))).withColumn("bits", F.log2(F.col("disclosure") * total / F.col("of")))
     proof = F.col("docs") * _evidence(F.col("disclosure"), F.least(F.col("of") / F.lit(total), F.lit(1.0)))
     told = told.where((F.col("disclosure") >= DISCLOSURE) & (proof >= -math.log(LUCK)))
@@ -120,36 +158,25 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base, spans: arrays of (kind, s, e, v) for every row."""
+    """doc_id, base, spans: arrays of (kind, s, e) for every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.hash("text").alias("b"), F.length("text").alias("n")).alias("key")
-
-    def beside(x: Column) -> Column:
-        start = F.greatest(x["s"] - NEAR - 1, F.lit(0))  # a character more tells whether the window cuts a word, which goes
-        left = F.substring(F.col("text"), start + 1, x["s"] - start)
-        left = F.when(start > 0, F.regexp_replace(left, f"^{WORD}", "")).otherwise(left)
-        right = F.substring(F.col("text"), x["e"] + 1, F.lit(NEAR + 1))
-        right = F.when(F.length(right) > NEAR, F.regexp_replace(right, f"{WORD}$", "")).otherwise(right)
-        return F.struct(x["v"].alias("value"), _names(F.concat(left, F.lit(" "), right)).alias("words"))
-
-    found = docs.select("doc_id", "text", key, base_spans(F.col("text")).alias("base"))
-    found = found.select("doc_id", "key", "base", F.when(F.size("base") > 0, F.transform("base", beside)).alias("near"))
-    found = stored(found, "pii")
+    found = _keyed(docs).select("doc_id", *KEY, base_spans(F.col("text")).alias("base"))
+    values = F.array_distinct(F.transform("base", lambda x: F.xxhash64(x["kind"], x["v"])))
+    found = stored(found.select("doc_id", *KEY, placed(F.col("base")).alias("base"), values.alias("values")), "pii")
     terms = stored(disclosing_terms(docs, found), "disclosing")
     many = terms.count()
     if not many:
         return found.select("doc_id", "base", F.col("base").alias("spans"))
-    words = docs.select(key, F.explode(_words(F.col("text"))).alias("term"))
-    holders = hot_join(words, terms, ["term"], "left_semi", many, 64, "docs").distinct().groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    holders = stored(holders, "holders")
-    pattern = F.concat(F.lit(f"(?iu)(?<!{INSIDE})(?:"), F.array_join("terms", "|"), F.lit(f")(?!{INSIDE})"))
-    rows, widest = holders.agg(F.count("*"), F.coalesce(F.max(F.octet_length(F.array_join("terms", " "))), F.lit(0))).first()
-    keyed = docs.select("text", key)
-    places = hot_join(keyed, holders.withColumn("_n", F.lit(1)), ["key"], "inner", rows, widest + 96, "_n")
-    places = stored(places.select("key", matches(F.col("text"), pattern, "term").alias("more")).distinct(), "term-places")
-    rows, widest = places.agg(F.count("*"), F.coalesce(F.max(F.size("more")), F.lit(0))).first()
-    out = hot_join(found, places.withColumn("_n", F.lit(1)), ["key"], "left", rows, widest * 48 + 96, "_n")
-    more = apart(F.coalesce("more", F.array().cast(SPAN)), F.col("base"))
+    words = _keyed(docs).select(*KEY, F.explode(_words(F.col("text"))).alias("term"))
+    holders = stored(hot_join(words, terms, ["term"], "left_semi", many, 64, "docs").groupBy(*KEY).agg(F.count("*").alias("n")), "holders")
+    places = _texts(docs, holders, holders.count(), 40, "n")
+    spans = F.transform(matches(F.col("text"), WORD, "term"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(F.lower(x["v"])).alias("term")))
+    places = places.select(*KEY, "n", F.explode(spans).alias("x")).select(*KEY, "n", "x.term", "x.s", "x.e")
+    places = hot_join(places, terms, ["term"], "left_semi", many, 64, "docs").groupBy(*KEY, "n").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("more"))
+    places = stored(places.select(*KEY, "n", F.transform("more", lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("more")), "term-places")
+    rows, spans = places.agg(F.count("*"), F.coalesce(F.sum(F.size("more")), F.lit(0))).first()
+    out = hot_join(found, places, KEY, "left", 1, 96 * rows + 48 * spans, "n")
+    more = apart(F.coalesce("more", F.array().cast(PLACE)), F.col("base"))
     return out.select("doc_id", "base", F.when(F.col("more").isNotNull(), F.concat("base", more)).otherwise(F.col("base")).alias("spans"))
 
 
@@ -160,7 +187,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def first(acc: Column, x: Column) -> Column:
         return F.when(F.size(acc) == 0, F.array(x)).when(x["s"] >= F.element_at(acc, -1)["e"], F.concat(acc, F.array(x))).otherwise(acc)
 
-    apart_ = F.aggregate("spans", F.array().cast(SPAN), first)
+    apart_ = F.aggregate("spans", F.array().cast(PLACE), first)
     out = docs.join(spans, docs[id_col].eqNullSafe(F.col("_id")))
     return out.select(docs[id_col].alias("doc_id"), overlaid(text_or_empty(docs[text_col]), apart_, lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))).alias("text"))
 
