@@ -4,13 +4,14 @@ Channel.  What was written is a noisy form of what was meant: letters appear as
 repeated, or are set apart by spaces and marks.  A token with such traces spans a lattice of the letters it may stand
 for; Viterbi decoding finds the most likely path under a character language model (four-letter sequences over a-z,
 any other character, and the word's end, counted in all texts) and the costs of the channel.  Tokens without such
-traces have one path, themselves, and so have addresses and long hexadecimal keys.  A run of single signs is one
-lattice whose path may end words anywhere.  Time and memory are in proportion to a token's length, so none is too long.
+traces have one path, themselves, and so have addresses and long hexadecimal keys.  A run of pieces of one or two signs
+is one lattice in which each space is an arc that either ends a word or is silent.  Time and memory are in proportion to
+a token's length, so none is too long.
 
 Score.  A logistic regression on whether a text holds a word or a word's first letters, for features that labelled
 texts prove: their counts in toxic and other texts differ by more than chance.  It is fitted on at most ``SAMPLE``
-labelled rows (all of them where there are fewer, else those with the smallest hash of their id), and keeps at most
-``FEATURES`` features; scoring reads all rows and whole texts.
+labelled rows (all of them where there are fewer, else those with the smallest hash of their id), and keeps all
+features that they prove, which that bound bounds; scoring reads all rows and whole texts.
 
 Defined cases: a null or empty text has the score of a text without features.  Labels that are null, or of rows that
 aren't there, teach nothing; a row with several labels counts with each.  Without labels of both kinds all scores
@@ -34,7 +35,6 @@ from .common import in_batches, once_a_worker, small_or_shuffled, stored, taken
 from .langid import held_out
 
 SAMPLE = 40_000
-FEATURES = 4096
 #: Toxic texts of the sample that a feature has at least, and the chance that one passes by luck.
 SUPPORT, LUCK = 4, 1e-6
 STEMS = (4, 5)
@@ -57,10 +57,12 @@ LETTERS = 28  # a-z, 26: any other character, 27: the word's end
 OTHER, END = 26, 27
 
 RUNS = re.compile(r"(.)\1*", re.S)
-SPACED = re.compile(r"(?<!\S)\S(?:\s+\S)+(?!\S)")
+#: Pieces of one or two signs, one after the other.
+SPACED = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2})+(?!\S)")
 EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$|(?:([%#&*$!@|+.,?~=_-])\1{2,})+$|[!?.,]+$")
 #: A look-alike, a mark, or the same letter three times.
 TRACES = re.compile(r"[0-9@$!|+(€£.\-_*~'’`^,:;/\\]|([a-z])\1\1")
+TRIPLE = re.compile(r"([a-z])\1\1")
 #: Addresses and keys, which aren't decoded: URLs, e-mail addresses, long hexadecimal numbers and UUIDs.
 ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://.*|www\..*|[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}|(?=[a-f]*[0-9])(?:0x)?[0-9a-f]{16,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.S)
 
@@ -109,13 +111,13 @@ class LetterModel:
             p = (table + kinds * p) / (table.sum(-1, keepdims=True) + kinds)
         self.log = np.log(p)
 
-    def decode(self, token: str, spaced: bool = False) -> str:
-        """The best path through the lattice of a lower-cased token; a ``spaced`` one may end words after any letter."""
+    def decode(self, token: str) -> str:
+        """The best path through the lattice of a lower-cased token, or of a run of pieces with single spaces between."""
         best: dict = {(END, END, END): (0.0, None)}
-        for run in RUNS.finditer(token):  # (character, how often it is repeated)
-            if spaced and run.start():
+        for k, (char, times, inside, before) in enumerate(self.arcs(token)):
+            if before and k:
                 best = self._step(best, [("", 0.0), (" ", 0.0)])
-            best = self._step(best, self._ways(run[1], run.end() - run.start(), spaced))
+            best = self._step(best, self._ways(char, times, inside))
         _, out = max(((score + self.log[h][END], out) for h, (score, out) in best.items()), key=lambda x: x[0])
         parts = []
         while out is not None:
@@ -123,6 +125,16 @@ class LetterModel:
             parts.append(letters)
         return "".join(reversed(parts))
 
+    @staticmethod
+    def arcs(token: str) -> list[tuple[str, int, bool, bool]]:
+        """(character, how often it is repeated, whether spaces stand between, whether one stands before)."""
+        out, at = [], [len(piece) for piece in token.split(" ")]
+        starts = set(np.cumsum([0, *at[:-1]]).tolist())
+        for run in RUNS.finditer(token.replace(" ", "")):
+            spaces = [i in starts for i in range(*run.span())]
+            out.append((run[1], len(spaces), any(spaces[1:]), spaces[0]))
+        return out
+
     @staticmethod
     def _ways(char: str, times: int, spaced: bool = False) -> list[tuple[str, float]]:
         """(letters, cost) that a run of a character may stand for."""
@@ -164,7 +176,7 @@ class Restorer:
 
     def _restored(self, shown: str, spaced: bool) -> str:
         if spaced:
-            return self.model.decode(shown, True)
+            return self.model.decode(shown)
         for _ in range(2):
             shown = EDGE.sub("", shown)
         if TRACES.search(shown) and not ADDRESS.fullmatch(shown):
@@ -184,9 +196,11 @@ class Restorer:
     def words(self, text: str | None) -> set[str]:
         """The distinct words of the restored text."""
         low = (text or "").lower()
-        words = set(map(self.token, set(low.split())))
+        shown = set(low.split())
+        words = {w for w in shown if w.isalpha() and not TRIPLE.search(w)}  # stand for themselves
+        words.update(map(self.token, shown - words))
         for run in SPACED.findall(low):  # letters set apart by spaces
-            words.update(self.token("".join(run.split()), True).split())
+            words.update(self.token(" ".join(run.split()), True).split())
         return words
 
 
@@ -327,7 +341,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         pooled = (F.col("n0") + F.col("n1")) / (total0 + total1)
         z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / total0 + 1 / total1) + 1e-12)
         limit = (2 * math.log(1 / LUCK)) ** 0.5  # above the normal quantile of that chance
-        picked = counts.where((F.col("n1") >= SUPPORT) & (z > limit)).select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(FEATURES)
+        picked = counts.where((F.col("n1") >= SUPPORT) & (z > limit)).select("feature", z.alias("z")).orderBy(F.desc("z"), "feature")
         features = {r[0]: i for i, r in enumerate(picked.collect())}
         found = rows.transform(in_batches, _found(name, shared, features), "toxic int, found array<int>").collect()  # a bounded sample
         w, constant = fit([(r[0], r[1]) for r in found], len(features))
