@@ -132,8 +132,8 @@ class Model:
         gains = F.array(*map(gain, self.langs)) if self.langs else F.array().cast("array<double>")
         return counts.groupBy(*keys).agg(F.sum("n").alias("n"), gains.alias("gains"))
 
-    def frequent(self, many: int) -> list[tuple]:
-        """(word, gains) of the most frequent words, ``many`` at most; where counts are alike, none of them."""
+    def frequent(self, many: int) -> bytes:
+        """word, gains of the most frequent words, ``many`` at most, as an Arrow stream; where counts are alike, none of them."""
         at = F.floor(F.log2("n") * BINS).cast("int")
         least, left = None, many
         for k, rows in sorted(self.words.groupBy(at.alias("k")).count().collect(), reverse=True):  # a row for each bin
@@ -141,15 +141,21 @@ class Model:
             if left < 0:
                 break
             least = k
-        return [] if least is None else [tuple(r) for r in self.words.where(at >= least).select("word", "gains").collect()]
+        found = self.words.where(F.lit(False) if least is None else at >= least).select("word", "gains").toArrow()
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, found.schema) as stream:
+            stream.write_table(found)
+        return out.getvalue().to_pybytes()
 
 
 class Held:
     """The frequent words, and sums of their gains."""
 
-    def __init__(self, rows: list[tuple], langs: int) -> None:
-        self.at = {r[0]: i for i, r in enumerate(rows)}
-        self.gains = np.array([r[1] for r in rows], np.float64).reshape(len(rows), langs)
+    def __init__(self, stream: bytes, langs: int) -> None:
+        table = pa.ipc.open_stream(stream).read_all()
+        self.at = {w: i for i, w in enumerate(table.column(0).to_pylist())}
+        gains = table.column(1).combine_chunks()
+        self.gains = np.array(gains.flatten() if len(gains) else [], np.float64).reshape(len(self.at), langs)
 
     def of(self, words: list[str]) -> tuple[np.ndarray, Counter]:
         """The sum of the held words, and the others with their numbers."""
