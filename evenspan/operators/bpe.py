@@ -22,23 +22,88 @@ def pair_counts(rows: DataFrame, symbols: str = "symbols", song: str = "song_id"
     return rows.select(song, F.explode(pairs).alias("p")).groupBy(song, "p.l", "p.r").agg(F.count("*").alias("n")).groupBy("l", "r").agg(F.sum("n").alias("n"), F.count_distinct(song).alias("songs"))
 
 
-def merged(symbols: Column, left: str, right: str) -> Column:
+def merged(symbols: Column, left: Column, right: Column) -> Column:
     """Greedy from the left: a symbol that follows its partner joins it.  A joined symbol is never a partner again, as it differs from both."""
-    new = f"{left} {right}"
-    start = F.array().cast("array<string>")
+    new = F.concat_ws(" ", left, right)
 
+    def pair_at(i: Column) -> Column:
+        return F.coalesce((F.get(symbols, i) == left) & (F.get(symbols, i + 1) == right), F.lit(False))
+
+    # pairs of two different symbols can't overlap, so each place is judged by itself
+    apart = F.filter(F.transform(symbols, lambda x, i: F.when(pair_at(i), new).when(~pair_at(i - 1), x)), lambda x: x.isNotNull())
+
+    # a run of one symbol pairs from its start: the last symbol joins unless it has just been joined
     def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (x == right) & (last == left)
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(new)))).otherwise(F.concat(acc, F.array(x)))
+        joins = (x == right) & (F.try_element_at(acc, F.lit(-1)) == left)
+        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(new))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.when(F.array_contains(symbols, left) & F.array_contains(symbols, right), F.aggregate(symbols, start, step)).otherwise(symbols)
+    runs = F.aggregate(symbols, F.array().cast("array<string>"), step)
+    found = F.array_contains(symbols, left) & F.array_contains(symbols, right)
+    return F.when(~found, symbols).when(left == right, runs).otherwise(apart)
 
 
 def encoded(symbols: Column, rules: list[tuple[str, str]]) -> Column:
-    for left, right in rules:
-        symbols = merged(symbols, left, right)
-    return symbols
+    """All rules in their order, as one fold over a table of rules: the plan grows by a literal for each."""
+    if not rules:
+        return symbols
+    table = F.array(*(F.struct(F.lit(a).alias("l"), F.lit(b).alias("r")) for a, b in rules))
+    return F.aggregate(table, symbols, lambda acc, rule: merged(acc, rule["l"], rule["r"]))
+
+
+def encode(rows: DataFrame, rules: list[tuple[str, str]], symbols: str = "symbols") -> DataFrame:
+    """The rows with ``symbols`` encoded, for tables of many rules: a sequence meets only the rules whose pairs it holds.
+
+    The result is that of :func:`encoded`.  A sequence's time is about in proportion to its length times its logarithm.
+    """
+    ranks: dict[tuple[str, str], list[int]] = {}
+    for k, (a, b) in enumerate(rules):
+        ranks.setdefault((a, b), []).append(k)
+    shared, at = rows.sparkSession.sparkContext.broadcast(ranks), rows.columns.index(symbols)  # as large as the vocabulary
+
+    def of(batches):
+        import pyarrow as pa
+
+        known = shared.value
+        for batch in batches:
+            done = [None if x is None else _merge_all(x, known) for x in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array(done, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return rows.mapInArrow(of, rows.schema)
+
+
+def _merge_all(symbols: list[str], ranks: dict[tuple[str, str], list[int]]) -> list[str]:
+    """Rules by rank: a heap holds the places of pairs that some rule joins; joined places are linked past."""
+    from bisect import bisect_left
+    from heapq import heapify, heappop, heappush
+
+    items: list[str | None] = list(symbols)
+    after, before = [*range(1, len(items) + 1)], [*range(-1, len(items) - 1)]
+
+    def entry(i: int, least: int) -> tuple[int, int] | None:
+        """The first rule from ``least`` on that joins the symbol at ``i`` with the next one."""
+        if i < 0 or after[i] >= len(items):
+            return None
+        of = ranks.get((items[i], items[after[i]]), ())
+        k = bisect_left(of, least)
+        return (of[k], i) if k < len(of) else None
+
+    heap = [x for i in range(len(items)) if (x := entry(i, 0))]
+    heapify(heap)
+    while heap:
+        rank, i = heappop(heap)
+        if items[i] is None or entry(i, rank) != (rank, i):
+            continue
+        j = after[i]
+        items[i], items[j] = f"{items[i]} {items[j]}", None
+        after[i] = after[j]
+        if after[j] < len(items):
+            before[after[j]] = i
+        for x in (entry(before[i], rank + 1), entry(i, rank + 1)):
+            if x:
+                heappush(heap, x)
+    return [x for x in items if x is not None]
 
 
 def decoded(symbols: Column) -> Column:
@@ -49,13 +114,15 @@ def units(symbol: Column) -> Column:
     return F.size(F.split(symbol, " "))
 
 
-def fit(rows: DataFrame, merges: int, *, min_count: int = 2, min_songs: int = 1, longest: int | None = None, barrier: str | None = None, order: str = "pair") -> list[tuple[str, str, int]]:
-    """Up to ``merges`` rules (left, right, count) from rows (song_id, symbols) of the training split.
+def fit(rows: DataFrame, merges: int, *, min_count: int = 2, min_songs: int = 1, longest: int | None = None, barrier: str | None = None, order: str = "pair", split: str = "train") -> list[tuple[str, str, int]]:
+    """Up to ``merges`` rules (left, right, count) from rows (song_id, symbols) of the training split; other splits, named or in a column ``split``, are an error.
 
     The most frequent pair wins; ties go to the smallest pair, or, by ``order='support'``, to the pair of most songs and
     then the smallest digest.  Pairs under ``min_count`` or ``min_songs``, longer than ``longest`` base tokens, with the
     barrier symbol, or that would make a known symbol again, are left out; fitting ends where none remains.
     """
+    if split != "train" or "split" in rows.columns and not rows.where("split is distinct from 'train'").isEmpty():
+        raise ValueError("merges are fitted on train only")
     rules: list[tuple[str, str, int]] = []
     rows = checkpointed(rows.select("song_id", "symbols"))
     for _ in range(merges):
@@ -71,7 +138,7 @@ def fit(rows: DataFrame, merges: int, *, min_count: int = 2, min_songs: int = 1,
         if best is None:
             break
         rules.append((best["l"], best["r"], best["n"]))
-        rows = checkpointed(rows.select("song_id", merged(F.col("symbols"), best["l"], best["r"]).alias("symbols")))
+        rows = checkpointed(rows.select("song_id", merged(F.col("symbols"), F.lit(best["l"]), F.lit(best["r"])).alias("symbols")))
     return rules
 
 

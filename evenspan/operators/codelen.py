@@ -68,7 +68,7 @@ def merge_gain(rows: DataFrame, held: DataFrame, left: str, right: str, alpha: f
         return Scorer(flat(train), alpha, weight).score(flat(test)).agg(F.coalesce(F.sum("bits"), F.lit(0.0))).first()[0]
 
     def joined(df: DataFrame) -> DataFrame:
-        return df.select("song_id", merged(F.col("symbols"), left, right).alias("symbols"))
+        return df.select("song_id", merged(F.col("symbols"), F.lit(left), F.lit(right)).alias("symbols"))
 
     return bits(rows, held) - bits(joined(rows), joined(held))
 
@@ -88,7 +88,7 @@ def fit_predictive(rows: DataFrame, held: DataFrame, merges: int, pool: int = 8,
             break
         gain, c = best
         steps.append({"left": c["l"], "right": c["r"], "count": c["n"], "gain": gain})
-        rows, held = (checkpointed(df.select("song_id", merged(F.col("symbols"), c["l"], c["r"]).alias("symbols"))) for df in (rows, held))
+        rows, held = (checkpointed(df.select("song_id", merged(F.col("symbols"), F.lit(c["l"]), F.lit(c["r"])).alias("symbols"))) for df in (rows, held))
     return steps
 
 

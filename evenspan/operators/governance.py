@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -110,13 +114,47 @@ def svg_panel(points: list[tuple[float, float]], title: str, width: int = 240, h
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><title>{title}</title><polyline fill="none" stroke="#333" points="{path}"/></svg>'
 
 
-def redacted(text, keys: list[str]):
-    """JSON text with the values of identity keys, absolute paths and addresses replaced."""
-    out = text
-    for k in keys:
-        out = F.regexp_replace(out, rf'("{k}"\s*:\s*)"[^"]*"', '$1"[redacted]"')
-    out = F.regexp_replace(out, r'"(?:/(?:home|mnt|data|scratch)/|[A-Za-z]:\\\\)[^"]*"', '"[redacted]"')
-    return F.regexp_replace(out, r'"[^"@]*@[^"]*"', '"[redacted]"')
+# Keys that name people and machines, roots of local paths, and what stands for a value.
+IDENTITY_KEYS = ("account", "cluster", "host", "hostname", "node", "slurm_account", "user", "username")
+LOCAL_PATH = r"(?i)(?:[a-z]:[\\/]|/(?:data|home|mnt|scratch|workspace)/)"
+MARKS = {"identity": "<REDACTED_INFRASTRUCTURE_IDENTITY>", "path": "<REDACTED_ABSOLUTE_PATH>", "contact": "<REDACTED_CONTACT_OR_LOGIN>"}
+
+
+def redacted(text: Column, keys: tuple[str, ...] = IDENTITY_KEYS) -> Column:
+    """clean, changed: JSON text with its strings replaced where they stand below an identity key (also in lists there), are
+    absolute paths, or have an at sign and are no web address; and the JSON pointers of those.  A text that is no JSON is null."""
+    schema, local, named = "clean string, changed array<string>", re.compile(LOCAL_PATH), frozenset(keys)
+
+    def mark(key: str, value: str) -> str | None:
+        if key in named:
+            return MARKS["identity"]
+        if local.match(value):
+            return MARKS["path"]
+        return MARKS["contact"] if "@" in value and not value.startswith(("http://", "https://")) else None
+
+    def walked(raw: str | None) -> dict:
+        try:
+            whole = [json.loads(raw)]
+        except (TypeError, ValueError):
+            return {"clean": None, "changed": None}
+        changed, open_ = [], [(whole, 0, "", "")]  # a container, a place in it, the key above and the pointer
+        while open_:
+            holder, at, key, pointer = open_.pop()
+            value = holder[at]
+            if isinstance(value, dict):
+                open_ += [(value, k, k.lower(), f"{pointer}/{k}") for k in reversed(value)]
+            elif isinstance(value, list):
+                open_ += [(value, k, key, f"{pointer}/{k}") for k in reversed(range(len(value)))]
+            elif isinstance(value, str) and (found := mark(key, value)):
+                holder[at] = found
+                changed.append(pointer)
+        return {"clean": json.dumps(whole[0], separators=(",", ":"), ensure_ascii=False), "changed": changed}
+
+    @F.pandas_udf(schema)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([walked(x) for x in texts], columns=["clean", "changed"])
+
+    return of(text)
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -97,11 +97,16 @@ def training_curves(spark, sf_dir):
     return governance.curves(h).select("arm", "seed", "epoch", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
-@query("""SELECT event_id, '{"user":"[redacted]","path":"[redacted]","mail":"[redacted]","k":' || (props->>'k') || '}' AS clean FROM events""")
+@query(
+    r"""SELECT event_id, '{"user":"<REDACTED_INFRASTRUCTURE_IDENTITY>","Host":["<REDACTED_INFRASTRUCTURE_IDENTITY>",{"a":"x"},["<REDACTED_INFRASTRUCTURE_IDENTITY>"]],"path":"<REDACTED_ABSOLUTE_PATH>","deep":[{"mail":["<REDACTED_CONTACT_OR_LOGIN>"]}],"k":'
+|| (props->>'k') || ',"say":"\"x\" \\ é","url":"https://a@b.org","n":[1.5,null,true]}' AS clean, '/user,/Host/0,/Host/2/0,/path,/deep/0/mail/0' AS changed FROM events"""
+)
 def redacted_json(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    raw = F.concat(F.lit('{"user":"u'), "user_id", F.lit('","path":"/home/u/x","mail":"a@b.org","k":'), F.get_json_object("props", "$.k"), F.lit("}"))
-    return e.select("event_id", governance.redacted(raw, ["user"]).alias("clean"))
+    head = F.concat(F.lit(r'''{"user": "a\"u'''), "user_id", F.lit(r'''", "Host": ["h1", {"a": "x"}, ["h\\2"]], "path": "C:\\x", "deep": [{"mail": ["a@b.org"]}], "k": '''))
+    raw = F.concat(head, F.get_json_object("props", "$.k"), F.lit(r''', "say": "\"x\" \\ \u00e9", "url": "https://a@b.org", "n": [1.5, null, true]}'''))
+    got = governance.redacted(raw)
+    return e.select("event_id", got.alias("g")).select("event_id", "g.clean", F.array_join("g.changed", ",").alias("changed"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2")

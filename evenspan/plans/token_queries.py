@@ -111,11 +111,21 @@ def bpe_support_merges(spark, sf_dir):
 @query("{facts}, s AS (SELECT song_id, string_agg('p' || pitch % 12, ' ' ORDER BY onset, pitch, duration) AS back FROM facts GROUP BY 1) SELECT * FROM s")
 def bpe_roundtrip(spark, sf_dir):
     s = _symbols(spark, sf_dir)
-    rules = [(a, b) for a, b, _ in bpe.fit(s, 4)]
+    rules = [(a, b) for a, b, _ in bpe.fit(s, 16)]
     e = s.select("song_id", bpe.encoded(F.col("symbols"), rules).alias("symbols"))
     return e.select("song_id", F.array_join(bpe.decoded(F.col("symbols")), " ").alias("back"))
 
 
+@query("{facts}, s AS (SELECT song_id, count(*) AS units FROM facts GROUP BY 1) SELECT song_id, units, true AS alike, true AS shorter FROM s")
+def bpe_encodings_agree(spark, sf_dir):
+    """The fold over the rules and the encoder for many rules give the same symbols."""
+    s = _symbols(spark, sf_dir)
+    rules = [(a, b) for a, b, _ in bpe.fit(s, 16)]
+    both = s.withColumn("fold", bpe.encoded(F.col("symbols"), rules)).withColumn("units", F.size("symbols").cast("long"))
+    both = bpe.encode(both, rules)
+    return both.select("song_id", "units", (F.col("fold") == F.col("symbols")).alias("alike"), (F.size("symbols") <= F.col("units")).alias("shorter"))
+
+
 @query("SELECT i AS rules, list_sum([2 * ceil(log2(12 + k + 1)) FOR k IN range(i)])::BIGINT AS bits FROM range(1, 33) t(i)")
 def merge_table_bits(spark, sf_dir):
     return spark.createDataFrame([(i, bpe.table_bits(i, 12)) for i in range(1, 33)], "rules bigint, bits bigint")

@@ -223,3 +223,56 @@ def test_tokenizer_tables(spark, tmp_path):
     vocabulary, merges = readers.tokenizer_tables(spark, str(tmp_path / "t.json"))
     assert dict(vocabulary.collect()) == {"a": 0, "b": 1, "ab": 2}
     assert [tuple(r) for r in merges.orderBy("rank").collect()] == [(0, "a", "b"), (1, "a", "a")]
+
+
+def test_merges_by_plain_rules_however_many(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, [rng.choice("abcd") for _ in range(rng.randrange(0, 60))]) for i in range(40)] + [(99, None), (100, ["a"] * 31)]
+    known, rules = ["a", "b", "c", "d"], []
+    while len(rules) < 1000:
+        rules.append((rng.choice(known[:60]), rng.choice(known[:60])))
+        known.append(" ".join(rules[-1]))
+
+    def plain(symbols, rules):
+        for left, right in rules:
+            out = []
+            for x in symbols:
+                if out and out[-1] == left and x == right and not (left == right and out[-1] is marked):
+                    out[-1] = marked = f"{left} {right}"
+                else:
+                    out.append(x)
+                    marked = None
+            symbols = out
+        return symbols
+
+    df = spark.createDataFrame(rows, "song_id long, symbols array<string>")
+    many = {r[0]: r[1] for r in bpe.encode(df, rules).collect()}
+    assert many == {i: s and plain(s, rules) for i, s in rows} | {i: s for i, s in rows if not s}
+    few = rules[:24] + [("a", "a"), ("a a", "a a")]
+    folded = {r[0]: r[1] for r in df.select("song_id", bpe.encoded(F.col("symbols"), few)).collect()}
+    assert folded == {i: s and plain(s, few) for i, s in rows} | {i: s for i, s in rows if not s}
+    back = bpe.encode(df, rules).select("song_id", bpe.decoded(F.col("symbols")).alias("symbols"))
+    assert sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
+
+
+def test_merges_are_fitted_on_train_only(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], "train"), (2, ["a", "b"], "test")], "song_id long, symbols array<string>, split string")
+    with pytest.raises(ValueError, match="train only"):
+        bpe.fit(df, 1)
+    with pytest.raises(ValueError, match="train only"):
+        bpe.fit(df.drop("split"), 1, split="test")
+    assert bpe.fit(df.where("split = 'train'"), 1) == [] and len(bpe.fit(df.drop("split"), 1)) == 1
+
+
+def test_redaction_walks_json(spark):
+    cases = {
+        r'{"user":"a\"secret","k":1}': (r'{"user":"<REDACTED_INFRASTRUCTURE_IDENTITY>","k":1}', ["/user"]),
+        '{"user":["x",["y"],{"z":"w","host":"h"}]}': ('{"user":["<REDACTED_INFRASTRUCTURE_IDENTITY>",["<REDACTED_INFRASTRUCTURE_IDENTITY>"],{"z":"w","host":"<REDACTED_INFRASTRUCTURE_IDENTITY>"}]}', ["/user/0", "/user/1/0", "/user/2/host"]),
+        '["/HOME/x", "/homely/x", "d:/y", "a@b", "http://a@b", 7, null]': ('["<REDACTED_ABSOLUTE_PATH>","/homely/x","<REDACTED_ABSOLUTE_PATH>","<REDACTED_CONTACT_OR_LOGIN>","http://a@b",7,null]', ["/0", "/2", "/3"]),
+        '"a@b"': ('"<REDACTED_CONTACT_OR_LOGIN>"', [""]), "no json": (None, None), "{}": ("{}", []),
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    got = {r["t"]: (r["g"]["clean"], r["g"]["changed"]) for r in df.select("t", governance.redacted(F.col("t")).alias("g")).collect()}
+    assert got == cases | {None: (None, None)}
