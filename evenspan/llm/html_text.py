@@ -304,12 +304,17 @@ def extract(pages: DataFrame) -> DataFrame:
     texts, nodes = (stored(x, "style-tree") for x in style_tree(features))
     own = features.select(*KEY, "host", "number", "node", "content", "kind").distinct()
     own = own.unionByName(own.withColumn("host", F.lit(ALL)))
-    of_all = (F.col("host") == ALL).alias("of_all")
+    # where no text is low in a tree, nothing goes: only the other pages need to know more of it
+    low = stored(texts.where(2 * F.col("n") > F.col("m") + 2), "low-texts")
+    pages_of = hot_join(own.where("kind = 0"), low.select("host", "node", "content", "n"), ["host", "node", "content"], "left_semi", low.count(), 64, "n")
+    touched = stored(pages_of.groupBy(*KEY, (F.col("host") == ALL).alias("of_all")).agg(F.count("*").alias("lows")), "touched-pages")
+    own = own.withColumn("of_all", F.col("host") == ALL)
+    own = stored(hot_join(own, touched, [*KEY, "of_all"], "left_semi", touched.count(), 48, "lows"), "touched-features")
     met = hot_join(own.where("kind = 0"), texts, ["host", "node", "content"], "inner", texts.count(), 96, "n")
-    met = met.select(*KEY, F.struct("kind", "number", "node", "n", "m", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("entropy"), of_all).alias("x"))
+    met = met.select(*KEY, F.struct("kind", "number", "node", "n", "m", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("entropy"), "of_all").alias("x"))
     branches = nodes.where("m > 2")  # a node on fewer pages can't be of low importance
     there = hot_join(own.where("kind = 1"), branches, ["host", "node"], "inner", branches.count(), 96, "m")
-    there = there.select(*KEY, F.struct("kind", "number", "node", F.lit(0).cast("long").alias("n"), "m", "k", "entropy", of_all).alias("x"))
+    there = there.select(*KEY, F.struct("kind", "number", "node", F.lit(0).cast("long").alias("n"), "m", "k", "entropy", "of_all").alias("x"))
     found = met.unionByName(there).distinct().groupBy(*KEY).agg(F.collect_list("x").alias("trees"))  # a page's own nodes
     copies = pages.groupBy(*KEY).agg(F.count("*").alias("copies"))
     found = stored(found.join(copies, KEY), "page-trees")
