@@ -43,7 +43,7 @@ BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 #: Bytes of text that are hashed at once, about.
 CHUNK = 1 << 20
 #: Members and shingles that one part of a candidate group holds, about.
-ROWS, BLOCK = 150, 2_000_000
+ROWS, BLOCK = 100, 2_000_000
 #: What tells classes apart.
 KEY = ["n_shingles", "s1", "s2"]
 
