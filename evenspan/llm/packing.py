@@ -36,9 +36,13 @@ HELD, REMEMBERED = 40 << 20, 64
 AT_ONCE = 256
 #: Pieces of one bucket, about; the ranks of a bucket are counted in one task.
 BUCKET = 20_000
-#: White space next to white space, or other than a space or line feed, and special tokens: such texts are encoded whole.
+#: White space next to white space, or other than a space or line feed, and special tokens: such texts are cut in another way.
 ODD = ("  ", "\n\n", " \n", "\n ", *map(chr, (0, 9, 11, 12, 13, 28, 29, 30, 31)), "<|")
 ODD_FURTHER = re.compile(r"[^\S\x00-\x7f]")
+#: Where white space follows something else a token always ends, so each run of white space goes with what follows it.
+SEGMENTS = re.compile(r"(?<=\S)(?=[\t-\r ])")
+#: What tokenizers differ in: white space of some libraries only, and special tokens.
+STRANGE = re.compile(r"[^\S\t-\r ]|\u180e|<\|")
 
 
 def odd(text: str) -> bool:
@@ -74,15 +78,16 @@ def ranked(path: str):
 class Encoder:
     """Ids as little-endian 32-bit integers.
 
-    The byte-level pre-tokenizer always starts a new token at a single space or line feed between other characters,
-    so words are encoded by themselves and remembered.
+    The byte-level pre-tokenizer always starts a new token where white space begins, so words are encoded by themselves,
+    each with the white space before it, and remembered.  So the tokenizer's own encoding of a text, which takes some
+    hundred bytes a token, is never made of a long text with odd white space, but of its segments.
     """
 
     def __init__(self, path: str) -> None:
         self.path, self.of, self.fast = path, None, ranked(path)
         self.words: dict[str, bytes] = {}
         self.held = 0
-        self.feed = self._encode("\n")
+        self.feed = self._word("\n")
 
     def _encode(self, text: str) -> bytes:
         if self.of is None:
@@ -98,7 +103,7 @@ class Encoder:
         if not text:
             return b""
         if odd(text) or text[0] in " \n" or text[-1] in " \n":
-            return self._encode(text)
+            return self._segments(text) if self.fast else self._encode(text)
         known, out = self.words, []
         for line in text.split("\n"):
             words = line.replace(" ", "\0 ").split("\0")
@@ -108,6 +113,17 @@ class Encoder:
                 out.append(b"".join([known.get(w) or self._learned(w) for w in words]))
         return self.feed.join(out)
 
+    def _segments(self, text: str) -> bytes:
+        known, out, at = self.words, [], 0
+        for end in [m.start() for m in SEGMENTS.finditer(text)] + [len(text)]:
+            word, at = text[at:end], end
+            if (ids := known.get(word)) is None:
+                # a long run of white space makes the faster library backtrack
+                slow = STRANGE.search(word) or len(word) > REMEMBERED and word[:2].isspace()
+                ids = self._encode(word) if slow else self._learned(word)
+            out.append(ids)
+        return b"".join(out)
+
     def _learned(self, word: str) -> bytes:
         ids = self._word(word)
         if 0 < len(word) <= REMEMBERED:

@@ -42,6 +42,15 @@ def test_words_encode_as_the_whole(text):
 ENCODER: dict = {}
 
 
+def test_long_texts_with_odd_white_space_are_not_encoded_whole(monkeypatch):
+    encode = packing.Encoder(tokenizer_path())
+    text = "  one\ttwo\n\nthree " * 2000 + " " * 5000 + "x\u3000y" + "<|endoftext|>"
+    want, longest, whole = encode._encode(text), [], encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda t: longest.append(len(t)) or whole(t))
+    assert encode(text) == want
+    assert longest and max(longest) < 5100
+
+
 def test_against_the_tokenizer(edges):
     rows = packing.pack_documents(edges, tokenizer_path()).collect()
     of = Tokenizer.from_file(tokenizer_path())
