@@ -203,6 +203,28 @@ def next_targets(parts: DataFrame) -> DataFrame:
     return out.unionByName(end, allowMissingColumns=True)
 
 
+def target_counts(facts: DataFrame, min_gap: int = 96) -> DataFrame:
+    """song_id, target_event_count: a song's tokens and its end mark."""
+    return tokens(facts, min_gap).groupBy("song_id").agg((F.count("*") + 1).alias("target_event_count"))
+
+
+def component_counts(targets: DataFrame, keys: list[str]) -> DataFrame:
+    """How many targets each component of the prediction applies to."""
+    group, timed = F.col("target") == "NOTE_GROUP", F.coalesce(F.col("time_mode"), F.lit("NONE")) != "NONE"
+    notes = F.coalesce(F.sum(F.when(group, F.col("cardinality"))), F.lit(0)).cast("bigint")
+    counts = {"total": F.count("*"), "type": F.count("*"), "time": F.count_if(timed), "cardinality": F.count_if(group), "anchor": F.count_if(group)}
+    counts |= {"gaps": F.coalesce(F.sum(F.when(group, F.size("gaps"))), F.lit(0)).cast("bigint"), "duration": notes, "raw_notes": notes}
+    counts |= {"musical_units": F.count_if(F.col("target") != "EOS"), "eos": F.count_if(F.col("target") == "EOS")}
+    return targets.groupBy(*keys).agg(*(c.alias(name) for name, c in counts.items()))
+
+
+def translated(windows: DataFrame, bars: int, most: int = 256) -> DataFrame:
+    """Windows that start ``bars`` bars later; a start outside of [0, ``most``) is an error."""
+    start = F.col("start_bar") + bars
+    held = F.when((start >= 0) & (start < most), start).otherwise(F.raise_error(F.lit("a window leaves the bars there are")).cast("bigint"))
+    return windows.withColumn("start_bar", held)
+
+
 def rebuilt(targets: DataFrame) -> DataFrame:
     """Facts again from :func:`next_targets`: anchors by running sums, lowest pitches by sums since the last absolute one."""
     w = Window.partitionBy("song_id").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)

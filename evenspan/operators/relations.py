@@ -122,6 +122,43 @@ def same_song_negatives(windows: DataFrame, apart: int = 8, seed: int = 0) -> Da
     return both.groupBy("song_id", "start_bar").agg(F.min_by("other", F.struct(far.alias("far"), key.alias("k"))).alias("negative"))
 
 
+def _drawn(n: Column, *fields: Column) -> Column:
+    """A number below ``n`` by the first 60 bits of a digest over the fields, joined by bars."""
+    digest = F.sha2(F.concat_ws("|", *(f.cast("string") for f in fields)), 256)
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), n)
+
+
+def donor_triples(windows: DataFrame, apart: int = 8, seed: int = 0) -> DataFrame:
+    """song_id, start_bar, melody_bar, context_bar: for each window with a melody two donors of its song, ``apart`` bars away at least.
+
+    ``windows``: song_id, start_bar (once a song), melody (whether the window has one).  The melody's donor has a melody;
+    the context's donor is another window, or the same one where there is no other.  Windows without a donor are left out.
+    Donors are drawn by their rank in the song, so no pairs of windows are made.
+    """
+    by = Window.partitionBy("song_id").orderBy("start_bar")
+    song, before, after = Window.partitionBy("song_id"), by.rangeBetween(Window.unboundedPreceding, -apart), by.rangeBetween(apart, Window.unboundedFollowing)
+    one, sings = F.count("*"), F.count_if("melody")
+    rows = windows.select(
+        "song_id", "start_bar", "melody", (F.row_number().over(by) - 1).cast("bigint").alias("rank"), (sings.over(by) - 1).alias("turn"),
+        *(f.over(w).alias(name) for f, names in ((one, "nlr"), (sings, "mxy")) for w, name in zip((song, before, after), names)),
+    )
+
+    def place(k: Column, of: Column, left: Column, right: Column) -> Column:
+        """The rank of the ``k``-th of the windows that are far enough away, which lie at both ends of the song."""
+        return F.when(k < left, k).otherwise(of - right + k - left)
+
+    n, left, right, of, x, y = (F.col(c) for c in "nlrmxy")
+    key = [F.col("song_id"), F.col("start_bar")]
+    source = rows.where(F.col("melody") & (x + y > 0)).withColumn("turn", place(_drawn(x + y, F.lit(seed), F.lit("melody"), *key), of, x, y))
+    donors = rows.where("melody").select("song_id", "turn", F.col("start_bar").alias("melody_bar"), F.col("rank").alias("taken"))
+    source = source.drop("rank").join(donors, ["song_id", "turn"])
+    at = F.when(F.col("taken") < left, F.col("taken")).otherwise(F.col("taken") - (n - right) + left)
+    k = _drawn(F.greatest(left + right - 1, F.lit(1)), F.lit(seed), F.lit("context"), *key)
+    k = F.when(left + right == 1, F.lit(0)).otherwise(k + (k >= at).cast("bigint"))
+    contexts = rows.select("song_id", "rank", F.col("start_bar").alias("context_bar"))
+    return source.withColumn("rank", place(k, n, left, right)).join(contexts, ["song_id", "rank"]).select("song_id", "start_bar", "melody_bar", "context_bar")
+
+
 def cross_song_negatives(windows: DataFrame) -> DataFrame:
     """For each window the first one of the next song, and for the last song that of the first: songs are ranked once, so no pairs are made."""
     from .batches import ranked

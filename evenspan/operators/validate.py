@@ -66,3 +66,10 @@ def representation(arm: str) -> dict[str, str]:
         if row[0] == arm:
             return dict(zip(("arm", "time", "pitch"), row))
     raise KeyError(arm)
+
+
+def unchanged_counts(manifest: DataFrame, counted: DataFrame, key: str = "song_id", count: str = "target_event_count") -> DataFrame:
+    """The manifest, whose counts have to be those counted anew; another count, or none, is an error."""
+    both = manifest.join(counted.select(key, F.col(count).alias("_now")), key, "left")
+    wrong = F.raise_error(F.concat(F.lit("count changed for "), F.col(key).cast("string"))).cast("bigint")
+    return both.withColumn(count, F.when(F.col(count) == F.col("_now"), F.col(count)).otherwise(wrong)).drop("_now")

@@ -229,3 +229,21 @@ def representation_table(spark, sf_dir):
     return r.select("arm", F.col("time").isin("absolute", "unary", "pairwise").alias("known"), "time", "pitch")
 
 
+@query("""{atoms}, n AS (SELECT song_id, count(*) AS atoms, count(*) FILTER (kind = 'NOTE') AS groups, coalesce(sum(len(notes)), 0)::BIGINT AS notes FROM atoms GROUP BY 1),
+s AS (SELECT song_id, count(*) FILTER (kind = 'NOTE' AND p = 'REST') AS fixed FROM (SELECT *, lag(kind) OVER (PARTITION BY song_id ORDER BY t) AS p FROM atoms) GROUP BY 1)
+SELECT song_id, atoms + 1 AS total, atoms + 1 AS type, atoms - fixed AS time, groups AS cardinality, groups AS anchor, notes - groups AS gaps, notes AS duration, notes AS raw_notes, atoms AS musical_units, 1::BIGINT AS eos FROM n JOIN s USING (song_id)""")
+def component_counts(spark, sf_dir):
+    return ev.component_counts(ev.next_targets(ev.atoms(facts(spark, sf_dir))), ["song_id"])
+
+
+@query("{tokens96} SELECT song_id, count(*) + 1 AS target_event_count FROM tokens GROUP BY 1")
+def target_counts(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    size = F.when(F.col("kind") == "REST", F.lit(1)).otherwise(F.size("notes"))
+    manifest = ev.atoms(f, 96).groupBy("song_id").agg((F.sum(size) + 1).alias("target_event_count"))
+    return validate.unchanged_counts(manifest, ev.target_counts(f))
+
+
+@query("{facts} SELECT song_id, (onset // 3072 * 8 + 8)::BIGINT AS start_bar, count(*) AS n FROM facts GROUP BY 1, 2")
+def translated_windows(spark, sf_dir):
+    return ev.translated(ev.windows(facts(spark, sf_dir)), 8, 1 << 20).groupBy("song_id", "start_bar").agg(F.count("*").alias("n"))

@@ -130,6 +130,18 @@ def cross_song_negatives(spark, sf_dir):
     return relations.cross_song_negatives(_windows(spark, sf_dir))
 
 
+def _pick(purpose: str, candidates: str) -> str:
+    return f"{candidates}[(('0x' || substr(sha256('9|{purpose}|' || song_id || '|' || start_bar), 1, 15))::BIGINT % len({candidates}) + 1)::INT]"
+
+
+@query(f"""WITH {_LWIN}, w AS (SELECT *, start_bar // 8 % 3 <> 0 AS melody FROM lw), f AS (SELECT a.song_id, a.start_bar, list(b.start_bar ORDER BY b.start_bar) AS far, list(b.start_bar ORDER BY b.start_bar) FILTER (b.melody) AS sing
+ FROM w a JOIN w b ON a.song_id = b.song_id AND abs(a.start_bar - b.start_bar) >= 16 WHERE a.melody GROUP BY 1, 2),
+m AS (SELECT *, {_pick('melody', 'sing')} AS melody_bar FROM f WHERE len(sing) > 0), c AS (SELECT *, CASE WHEN len(far) = 1 THEN far ELSE list_filter(far, lambda x: x <> melody_bar) END AS rest FROM m)
+SELECT song_id, start_bar, melody_bar, {_pick('context', 'rest')} AS context_bar FROM c""")
+def donor_triples(spark, sf_dir):
+    return relations.donor_triples(_windows(spark, sf_dir).withColumn("melody", F.floor(F.col("start_bar") / 8) % 3 != 0), 16, 9)
+
+
 @query("WITH r AS (SELECT c_custkey AS i, c_nationkey AS song_id, count(*) OVER () AS n FROM customer) SELECT a.i, a.song_id, b.song_id AS partner FROM r a JOIN r b ON b.i = (a.i + 501) % a.n")
 def rotated_partners(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_nationkey").alias("song_id"))

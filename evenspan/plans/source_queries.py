@@ -58,6 +58,12 @@ def global_key_scan(spark, sf_dir):
     return got.select("song_id", F.substring_index("label", ":", 1).cast("bigint").alias("span"), F.substring_index("label", ":", -1).cast("bigint").alias("n"))
 
 
+@query("SELECT c_custkey, 'corpus:src_' || c_nationkey || ':' || c_custkey AS song_id FROM customer")
+def source_song_ids(spark, sf_dir):
+    path = F.concat(F.lit("src_"), "c_nationkey", F.lit("/"), "c_custkey", F.lit(".mid"))
+    return table(spark, sf_dir, "customer").select("c_custkey", readers.source_song_id(path, "corpus").alias("song_id"))
+
+
 @query("SELECT o_orderstatus AS split, count(*) AS samples, sum(o_custkey)::BIGINT AS events FROM orders GROUP BY 1")
 def split_receipts(spark, sf_dir):
     return sinks.split_receipt(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "split"), "o_custkey")

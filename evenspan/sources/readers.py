@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,6 +66,22 @@ def relative_path(path, root: str):
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 1 << 20)).otherwise(path)
 
 
+def source_song_id(path: Column, corpus: str) -> Column:
+    """``corpus:src_x:n`` of a relative path src_x/n.ext, n an integer; other paths are an error."""
+    found = r"^(src_[^/]*)/([+-]?\d+)(?:\.[^./]*)?$"
+    wrong = F.raise_error(F.concat(F.lit("unexpected path "), F.coalesce(path, F.lit("null")))).cast("string")
+    return F.when(path.rlike(found), F.concat_ws(":", F.lit(corpus), F.regexp_extract(path, found, 1), F.regexp_extract(path, found, 2))).otherwise(wrong)
+
+
+def load_config(path: str, version: str | None = None) -> dict:
+    """A configuration file in JSON; with ``version``, another ``schema_version`` is an error."""
+    with open(path, encoding="utf-8") as f:
+        value = json.load(f)
+    if version is not None and value.get("schema_version") != version:
+        raise ValueError(f"unexpected schema version {value.get('schema_version')!r}")
+    return value
+
+
 def tokenizer_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A tokenizer's JSON file as vocabulary (token, id) and merges (rank, left, right)."""
     text = spark.read.option("wholetext", True).text(path)

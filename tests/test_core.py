@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evenspan import cli
 from evenspan.functions import pitch, timegrid
-from evenspan.operators import batches, bpe, carrier, codelen, events, governance, ledger, lineage, validate
+from evenspan.operators import batches, bpe, carrier, codelen, events, governance, ledger, lineage, relations, validate
 from evenspan.sources import midi, readers, sinks
 
 FACTS = "song_id long, event_type string, onset long, duration long, pitch int"
@@ -276,3 +276,43 @@ def test_redaction_walks_json(spark):
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
     got = {r["t"]: (r["g"]["clean"], r["g"]["changed"]) for r in df.select("t", governance.redacted(F.col("t")).alias("g")).collect()}
     assert got == cases | {None: (None, None)}
+
+
+def test_donors_are_far_and_differ(spark):
+    bars = [0, 8, 16, 24, 40, 48]
+    rows = [(1, b, b != 16) for b in bars] + [(2, 0, True), (2, 8, True), (3, 0, True), (3, 4, True), (4, 0, True), (4, 8, False)]
+    got = {(r[0], r[1]): (r[2], r[3]) for r in relations.donor_triples(spark.createDataFrame(rows, "song_id long, start_bar long, melody boolean")).collect()}
+    assert set(got) == {(1, b) for b in bars if b != 16} | {(2, 0), (2, 8)}
+    for (song, bar), (melody, context) in got.items():
+        assert abs(bar - melody) >= 8 and abs(bar - context) >= 8 and melody != 16
+        assert melody != context or song == 2
+
+
+def test_counts_that_changed_are_errors(spark):
+    f = facts(spark, [(0, 5, 60), (0, 9, 64), (500, 5, 61)])
+    assert events.target_counts(f).collect() == [(1, 5)]  # three notes, a rest and the end
+    assert validate.unchanged_counts(events.target_counts(f), events.target_counts(f)).count() == 1
+    other = spark.createDataFrame([(1, 4)], "song_id long, target_event_count long")
+    for given, counted in ((other, events.target_counts(f)), (events.target_counts(f), other.where("false"))):
+        with pytest.raises(Exception, match="count changed for 1"):
+            validate.unchanged_counts(given, counted).collect()
+
+
+def test_translated_windows_stay_inside(spark):
+    w = events.windows(facts(spark, [(0, 5, 60), (384 * 250, 5, 60)]))
+    assert sorted(r[0] for r in events.translated(w, 7).select("start_bar").collect()) == [7, 255]
+    for bars in (-1, 8):
+        with pytest.raises(Exception, match="leaves the bars"):
+            events.translated(w, bars).collect()
+
+
+def test_source_song_ids_and_versions(spark, tmp_path):
+    path = spark.createDataFrame([("src_001/12.mid",), ("src_b/7",)], "p string")
+    assert [r[0] for r in path.select(readers.source_song_id(F.col("p"), "c")).collect()] == ["c:src_001:12", "c:src_b:7"]
+    for bad in ("12.mid", "src_1/x.mid", "a/src_1/2.mid", "other/2.mid", None):
+        with pytest.raises(Exception, match="unexpected path"):
+            spark.createDataFrame([(bad,)], "p string").select(readers.source_song_id(F.col("p"), "c")).collect()
+    (tmp_path / "c.json").write_text('{"schema_version": "v2", "k": [1]}')
+    assert readers.load_config(str(tmp_path / "c.json"), "v2")["k"] == [1]
+    with pytest.raises(ValueError, match="schema version"):
+        readers.load_config(str(tmp_path / "c.json"), "v1")
