@@ -19,8 +19,7 @@ def _files(spark, sf_dir):
     f = facts(spark, sf_dir).groupBy("song_id", "onset", "pitch").agg(F.max("duration").alias("duration"))
     f = f.withColumn("duration", F.least("duration", F.coalesce(F.lead("onset").over(w) - F.col("onset"), F.col("duration"))))
     n = f.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("onset", "pitch", "duration"))).alias("notes"))
-    render = F.udf(lambda notes: midi.render([tuple(x) for x in notes]), "binary")
-    return n.select(F.col("song_id").cast("string").alias("path"), render("notes").alias("content"))
+    return midi.rendered(n.withColumnRenamed("song_id", "path"))
 
 
 _FLAT = "{facts}, m AS (SELECT song_id, onset, pitch, max(duration) AS d FROM facts GROUP BY 1, 2, 3), n AS (SELECT song_id::VARCHAR AS song_id, onset, pitch, least(d, coalesce(lead(onset) OVER (PARTITION BY song_id, pitch ORDER BY onset) - onset, d)) AS duration FROM m)"

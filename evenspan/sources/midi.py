@@ -158,6 +158,17 @@ def render(notes: list[tuple[int, int, int]], per_beat: int = 96) -> bytes:
     return b"MThd" + struct.pack(">IHHH", 6, 0, 1, per_beat) + b"MTrk" + struct.pack(">I", len(body)) + bytes(body)
 
 
+def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        files = [render([(n["onset"], n["pitch"], n["duration"]) for n in notes or []]) for notes in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["path", "content"])
+
+
+def rendered(songs: DataFrame) -> DataFrame:
+    """path, content of each song (path, notes of onset, pitch, duration) as a MIDI file; without notes it has an end only."""
+    return songs.select(F.col("path").cast("string").alias("path"), "notes").mapInArrow(_rendered, "path string, content binary")
+
+
 def _scan(strict: bool, per_beat: int | None):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         note = pa.struct([("track", pa.int32()), ("channel", pa.int32()), ("onset", pa.int64()), ("pitch", pa.int32()), ("duration", pa.int64())])
