@@ -185,6 +185,15 @@ def rotation_for(rows: DataFrame) -> int | None:
     return None
 
 
+def first_donors(rows: DataFrame) -> DataFrame | None:
+    """Where no rotation serves: rows (i, song_id) with ``donor``, the first row of another song; None if there is one song only."""
+    first = rows.orderBy("i").first()
+    other = first and rows.where(F.col("song_id") != first["song_id"]).agg(F.min("i")).first()[0]
+    if other is None:
+        return None
+    return rows.withColumn("donor", F.when(F.col("song_id") == first["song_id"], F.lit(other)).otherwise(F.lit(first["i"])))
+
+
 def spliced(source: Column, donor: Column, first: int, stop: int) -> Column:
     """The source with places [first, stop) from the donor."""
     return F.concat(F.slice(source, 1, first), F.slice(donor, first + 1, stop - first), F.slice(source, F.lit(stop + 1), F.greatest(F.size(source) - stop, F.lit(0))))

@@ -288,6 +288,16 @@ def test_donors_are_far_and_differ(spark):
         assert melody != context or song == 2
 
 
+def test_rows_have_donors_where_no_rotation_serves(spark):
+    def rows(songs):
+        return spark.createDataFrame(list(enumerate(songs)), "i long, song_id long")
+
+    mixed = rows([5, 5, 5, 7, 8])
+    assert relations.rotation_for(mixed) is None
+    assert sorted((r["i"], r["donor"]) for r in relations.first_donors(mixed).collect()) == [(0, 3), (1, 3), (2, 3), (3, 0), (4, 0)]
+    assert relations.first_donors(rows([5, 5])) is None and relations.first_donors(rows([5]).where("false")) is None
+
+
 def test_counts_that_changed_are_errors(spark):
     f = facts(spark, [(0, 5, 60), (0, 9, 64), (500, 5, 61)])
     assert events.target_counts(f).collect() == [(1, 5)]  # three notes, a rest and the end
