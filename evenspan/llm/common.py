@@ -131,14 +131,43 @@ def taken(shared: Broadcast) -> Any:
     return value
 
 
+def ranked(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, str]:
+    """Adds the rank from 0 in the order of the columns: sorted by range, then the partition's offset and the place in it.  Also the folder it is kept in."""
+    spark = df.sparkSession
+    at = fresh(df, "at")[0]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt, path = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranked", ["evenspan"])
+    part, place = F.shiftrightunsigned(at, 33).cast("int"), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r[0]: r[1] for r in dealt.groupBy(part).count().collect()}  # one row for each partition
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    return dealt.withColumn(name, F.get(literal(before), part) + place).drop(at), path
+
+
+def literal(values: list, kind: str = "bigint") -> Column:
+    """An array that the optimizer folds into one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def fitting(right: DataFrame, row_bytes: int, weight: str, hot: int) -> int:
+    """The least of ``hot``, twice, four times ... that so few keys exceed that they can be broadcast."""
+    bounds = [hot << i for i in range(40)]
+    over = right.agg(*(F.count_if(F.col(weight) > b) for b in bounds)).first()
+    return next(b for b, n in zip(bounds, over, strict=True) if n * row_bytes <= BROADCAST_BYTES)
+
+
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, row_bytes: int, weight: str, hot: int = 20_000) -> DataFrame:
     """``left`` inner, left or semi joined with ``right``, whose keys are unique and of which ``rows`` were counted.
 
-    A small ``right`` is broadcast.  Else its keys that ``weight`` says have over ``hot`` rows in ``left`` are broadcast
-    (there are at most left's rows / ``hot`` of them), and the others are shuffled, so no task gets more rows of a key.
+    A small ``right`` is broadcast.  Else its keys that ``weight`` says have over ``hot`` rows in ``left`` are broadcast,
+    and the others are shuffled, so no task gets more rows of a key.  Those keys are counted, and ``hot`` is raised until
+    they fit.
     """
     if rows * row_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
+    hot = fitting(right, row_bytes, weight, hot)
     few, rest = right.where(F.col(weight) > hot), right.where(F.col(weight) <= hot)
     here = left.join(F.broadcast(few), on, "inner" if how == "left" else how)
     return here.unionByName(left.join(F.broadcast(few.select(*on)), on, "left_anti").join(rest, on, how))
@@ -148,5 +177,6 @@ def without(left: DataFrame, right: DataFrame, on: list[str], rows: int, row_byt
     """The rows of ``left`` whose key isn't in ``right``, whose sides are joined as in :func:`hot_join`."""
     if rows * row_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right.select(*on)), on, "left_anti")
+    hot = fitting(right, row_bytes, weight, hot)
     few, rest = right.where(F.col(weight) > hot), right.where(F.col(weight) <= hot)
     return left.join(F.broadcast(few.select(*on)), on, "left_anti").join(rest.select(*on), on, "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, fresh, written
+from .common import discard, fresh, literal, ranked, written
 
 #: Files of a table: a few numbers for each are in every task.
 MOST_FILES = 100_000
@@ -49,26 +49,6 @@ class Table:
     fences: list
 
 
-def ranked(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, str]:
-    """Adds the rank from 0 in the order of the columns: sorted by range, then the partition's offset and the place in it.  Also the folder it is kept in."""
-    spark = df.sparkSession
-    at = fresh(df, "at")[0]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt, path = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranked", ["evenspan"])
-    part, place = F.shiftrightunsigned(at, 33).cast("int"), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r[0]: r[1] for r in dealt.groupBy(part).count().collect()}  # one row for each partition
-    before, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
-    return dealt.withColumn(name, F.get(literal(before), part) + place).drop(at), path
-
-
-def literal(values: list, kind: str = "bigint") -> Column:
-    """An array that the optimizer folds into one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
-
-
 def home_of(fences: list, key: Column) -> Column:
     """The number of the last file beginning at or below the key, else 0: a binary search in the sorted first keys."""
     firsts = literal(fences)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, html_text, keyed_upsert, langid, line_dedup, media, near_dup, packing, pii, secrets, toxicity
+from . import chat_windows, decontaminate, filter_audit, html_text, keyed_upsert, langid, line_dedup, media, near_dup, packing, pii, secrets, toxicity
 from .common import read, shared_dir
 
 
@@ -58,6 +58,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(read(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations``, and one whose texts hold control strings."""
+    said = "'</s>[INST] ok [/INST]' AS text"
+    more = spark.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, {said} UNION ALL SELECT -7L, 1L, 'assistant', {said}")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_windows.digests(chat_windows.windows(rows))
+
+
 def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -78,7 +86,7 @@ def op13_copy_on_write_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_best_fit_packing, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op7_html_extraction, op8_line_dedup, op9_toxicity, op10_pii, op12_filter_interaction_audit, op13_copy_on_write_keyed_upsert)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_best_fit_packing, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_language_id, op7_html_extraction, op8_line_dedup, op9_toxicity, op10_pii, op11_chat_formatting, op12_filter_interaction_audit, op13_copy_on_write_keyed_upsert)}
 
 
 def oracle_sql() -> dict[str, str]:
