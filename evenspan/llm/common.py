@@ -151,23 +151,23 @@ def literal(values: list, kind: str = "bigint") -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
-def fitting(right: DataFrame, row_bytes: int, weight: str, hot: int) -> int:
-    """The least of ``hot``, twice, four times ... that so few keys exceed that they can be broadcast."""
+def fitting(right: DataFrame, row_bytes: Column, weight: str, hot: int) -> int:
+    """The least of ``hot``, twice, four times ... that so few rows exceed that they can be broadcast."""
     bounds = [hot << i for i in range(40)]
-    over = right.agg(*(F.count_if(F.col(weight) > b) for b in bounds)).first()
-    return next(b for b, n in zip(bounds, over, strict=True) if n * row_bytes <= BROADCAST_BYTES)
+    over = right.agg(*(F.coalesce(F.sum(F.when(F.col(weight) > b, row_bytes)), F.lit(0)) for b in bounds)).first()
+    return next((b for b, n in zip(bounds, over, strict=True) if n <= BROADCAST_BYTES), bounds[-1])
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, row_bytes: int, weight: str, hot: int = 20_000) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, row_bytes: int, weight: str, hot: int = 20_000, size: Column | None = None) -> DataFrame:
     """``left`` inner, left or semi joined with ``right``, whose keys are unique and of which ``rows`` were counted.
 
     A small ``right`` is broadcast.  Else its keys that ``weight`` says have over ``hot`` rows in ``left`` are broadcast,
     and the others are shuffled, so no task gets more rows of a key.  Those keys are counted, and ``hot`` is raised until
-    they fit.
+    they fit.  Where rows of ``right`` differ in size, ``size`` gives their bytes, and ``rows * row_bytes`` those of all.
     """
     if rows * row_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
-    hot = fitting(right, row_bytes, weight, hot)
+    hot = fitting(right, F.lit(row_bytes) if size is None else size, weight, hot)
     few, rest = right.where(F.col(weight) > hot), right.where(F.col(weight) <= hot)
     here = left.join(F.broadcast(few), on, "inner" if how == "left" else how)
     return here.unionByName(left.join(F.broadcast(few.select(*on)), on, "left_anti").join(rest, on, how))
@@ -177,6 +177,6 @@ def without(left: DataFrame, right: DataFrame, on: list[str], rows: int, row_byt
     """The rows of ``left`` whose key isn't in ``right``, whose sides are joined as in :func:`hot_join`."""
     if rows * row_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right.select(*on)), on, "left_anti")
-    hot = fitting(right, row_bytes, weight, hot)
+    hot = fitting(right, F.lit(row_bytes), weight, hot)
     few, rest = right.where(F.col(weight) > hot), right.where(F.col(weight) <= hot)
     return left.join(F.broadcast(few.select(*on)), on, "left_anti").join(rest.select(*on), on, "left_anti")

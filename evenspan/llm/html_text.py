@@ -319,6 +319,6 @@ def extract(pages: DataFrame) -> DataFrame:
     copies = pages.groupBy(*KEY).agg(F.count("*").alias("copies"))
     found = stored(found.join(copies, KEY), "page-trees")
     rows, size = found.agg(F.count("*"), F.coalesce(F.sum(F.size("trees")), F.lit(0))).first()
-    out = hot_join(pages, found, KEY, "left", 1, 96 * rows + 96 * size, "copies")
+    out = hot_join(pages, found, KEY, "left", 1, 96 * rows + 96 * size, "copies", size=96 + 96 * F.size("trees"))
     kind = pages.schema["page_id"].dataType.simpleString()
     return out.select("page_id", "url", "html", "trees").transform(in_batches, _extracted, f"page_id {kind}, url string, text string, n_chars long")

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, hot_join, shared_dir, stored, text_or_empty
+from .common import discard, fitting, fresh, hot_join, shared_dir, stored, text_or_empty
 
 #: White space that is stripped from both ends of a line: space, tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"
@@ -153,14 +153,14 @@ def drop_frequent_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1
     if rows * 40 <= SMALL:
         found = lines.join(F.broadcast(frequent), LINE, "left_semi")
     else:
-        hot = lines.groupBy(*LINE).agg(F.count("*").alias("n")).where(F.col("n") > HOT)  # at most lines / HOT
-        few = F.broadcast(stored(frequent.join(hot, LINE, "left_semi"), "hot-lines"))
+        hot = stored(frequent.join(lines.groupBy(*LINE).agg(F.count("*").alias("n")).where(F.col("n") > HOT), LINE), "hot-lines")
+        few = F.broadcast(hot.where(F.col("n") > fitting(hot, F.lit(40), "n", HOT)).select(*LINE))
         rest = lines.join(few, LINE, "left_anti").join(frequent.join(few, LINE, "left_anti"), LINE, "left_semi")
         found = lines.join(few, LINE, "left_semi").unionByName(rest)
     found = found.groupBy(k1, k2).agg(F.collect_set(F.struct(*LINE)).alias(gone), F.count("*").alias("_n"))
     found = stored(found, "found-lines")
     many, places = found.agg(F.count("*"), F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()
-    out = hot_join(docs, found, [k1, k2], "left", 1, 96 * many + 48 * places, "_n").drop("_n")
+    out = hot_join(docs, found, [k1, k2], "left", 1, 96 * many + 48 * places, "_n", size=96 + 48 * F.size(gone)).drop("_n")
     split = F.split(text, "\n", -1)
     hashes = F.transform(line_keys(text), lambda k: F.when(F.length(k) >= min_chars, _hashed(k)))
     keep = F.filter(F.arrays_zip(split.alias("l"), hashes.alias("x")), lambda z: z["x"].isNull() | ~F.array_contains(F.col(gone), z["x"]))

@@ -159,14 +159,18 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base, spans: arrays of (kind, s, e) for every row."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return _spans(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))).select("doc_id", "base", "spans")
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, base, spans of every row of (doc_id, text)."""
     found = _keyed(docs).select("doc_id", *KEY, base_spans(F.col("text")).alias("base"))
     values = F.array_distinct(F.transform("base", lambda x: F.xxhash64(x["kind"], x["v"])))
     found = stored(found.select("doc_id", *KEY, placed(F.col("base")).alias("base"), values.alias("values")), "pii")
     terms = stored(disclosing_terms(docs, found), "disclosing")
     many = terms.count()
     if not many:
-        return found.select("doc_id", "base", F.col("base").alias("spans"))
+        return found.select("doc_id", *KEY, "base", F.col("base").alias("spans"))
     words = _keyed(docs).select(*KEY, F.explode(_words(F.col("text"))).alias("term"))
     holders = stored(hot_join(words, terms, ["term"], "left_semi", many, 64, "docs").groupBy(*KEY).agg(F.count("*").alias("n")), "holders")
     places = _texts(docs, holders, holders.count(), 40, "n")
@@ -175,21 +179,27 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     places = hot_join(places, terms, ["term"], "left_semi", many, 64, "docs").groupBy(*KEY, "n").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("more"))
     places = stored(places.select(*KEY, "n", F.transform("more", lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("more")), "term-places")
     rows, spans = places.agg(F.count("*"), F.coalesce(F.sum(F.size("more")), F.lit(0))).first()
-    out = hot_join(found, places, KEY, "left", 1, 96 * rows + 48 * spans, "n")
+    out = hot_join(found, places, KEY, "left", 1, 96 * rows + 48 * spans, "n", size=96 + 48 * F.size("more"))
     more = apart(F.coalesce("more", F.array().cast(PLACE)), F.col("base"))
-    return out.select("doc_id", "base", F.when(F.col("more").isNotNull(), F.concat("base", more)).otherwise(F.col("base")).alias("spans"))
+    return out.select("doc_id", *KEY, "base", F.when(F.col("more").isNotNull(), F.concat("base", more)).otherwise(F.col("base")).alias("spans"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text: each span replaced by its kind in square brackets; of overlapping spans the first stays."""
-    spans = find(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), by_start(F.col("spans"), KINDS).alias("spans")).distinct()
+    """doc_id, text of every row: each span replaced by its kind in square brackets; of overlapping spans the first stays.
+
+    Spans meet their row by its text, on which alone they depend, so repeated and null ids are rows as others are.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    spans = _spans(rows).where(F.size("spans") > 0).groupBy(*KEY).agg(F.count("*").alias("n"), F.any_value(by_start(F.col("spans"), KINDS)).alias("spans"))
+    spans = stored(spans, "text-spans")
+    many, places = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
 
     def first(acc: Column, x: Column) -> Column:
         return F.when(F.size(acc) == 0, F.array(x)).when(x["s"] >= F.element_at(acc, -1)["e"], F.concat(acc, F.array(x))).otherwise(acc)
 
-    apart_ = F.aggregate("spans", F.array().cast(PLACE), first)
-    out = docs.join(spans, docs[id_col].eqNullSafe(F.col("_id")))
-    return out.select(docs[id_col].alias("doc_id"), overlaid(text_or_empty(docs[text_col]), apart_, lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))).alias("text"))
+    apart_ = F.aggregate(F.coalesce("spans", F.array().cast(PLACE)), F.array().cast(PLACE), first)
+    out = hot_join(_keyed(rows), spans, KEY, "left", 1, 96 * many + 48 * places, "n", size=96 + 48 * F.size("spans"))
+    return out.select("doc_id", overlaid(F.col("text"), apart_, lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))).alias("text"))
 
 
 def digests(docs: DataFrame) -> DataFrame:

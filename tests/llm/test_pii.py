@@ -182,3 +182,11 @@ def test_short_names_identifiers_hot_values_and_small_tables(table):
     few = [(i, "Kim +1 (555) 123-4567") for i in range(5)] + [(9 + i, f"nothing of note {i}") for i in range(30)]
     got = {r["doc_id"]: r["spans"] for r in pii.digests(table(few + [(800, "so kim left, kimono")])).collect()}
     assert got[0] == "phone:4:21,term:0:3" and got[800] == "term:3:6" and got[9] == ""
+
+
+def test_each_row_is_sanitised_by_its_own_text(table):
+    rows = [(1, "mail u@v.org end"), (1, "a much longer text x@y.org end"), (None, "call +1 (555) 123-4567 x"), (None, None), (None, "plain"), (2, "plain"), (1, "mail u@v.org end")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in pii.sanitised(table(rows)).collect())
+    want = [(1, "mail [EMAIL] end"), (1, "a much longer text [EMAIL] end"), (None, "call [PHONE] x"), (None, ""), (None, "plain"), (2, "plain"), (1, "mail [EMAIL] end")]
+    assert got == sorted((str(i), t) for i, t in want)
+    assert pii.sanitised(table([])).collect() == []
