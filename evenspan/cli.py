@@ -1,4 +1,4 @@
-"""Commands over the operators: ``python -m evenspan.cli smoke | select | evaluate | audit | show``."""
+"""Commands over the operators: ``python -m evenspan.cli smoke | select | evaluate | sealed-test | build | data | audit | show``."""
 
 from __future__ import annotations
 
@@ -10,7 +10,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bpe, carrier, events, governance, ledger, validate
+from .operators import bpe, carrier, corpus_build, events, governance, ledger, lineage, relations, validate
+from .sources import readers, shared
+
+#: Relations of a dataset that may not cross splits.
+UNCROSSED = {"commu": ["lineage_id", "exact_hash", "transposition_invariant_hash"], "pop1k7": ["lineage_id", *corpus_build.RELATIONS]}
 
 
 def synthetic_train(steps: int, seed: int = 0, rate: float = 0.05) -> list[float]:
@@ -56,6 +60,48 @@ def audit(found: DataFrame, required: list[str]) -> dict:
     return {"status": "PASS" if sound else "FAIL", "crossing": have, "absent": sorted(set(required) - set(have))}
 
 
+def select(history: str) -> dict:
+    """The validation choice from a JSON list, an object that holds one, or JSON lines; fields go by either of their names."""
+    try:
+        value = json.loads(history)
+        rows = value if isinstance(value, list) else value.get("validation_history", value.get("rows", [value]))
+    except json.JSONDecodeError:
+        rows = [json.loads(line) for line in history.splitlines() if line.strip()]
+    found = [{"path": r.get("checkpoint_path"), "bits": float(r.get("bits_per_declared_fact", r.get("bits"))), "exposure": int(r.get("completed_target_exposures", r.get("exposure")))} for r in rows]
+    best = min(r["bits"] for r in found)
+    return min((r for r in found if r["bits"] <= best + 1e-12), key=lambda r: r["exposure"])
+
+
+def evaluate(spark: SparkSession, index: DataFrame, arm: str, seed: int, split: str, lock: str | None, checkpoint: str | None) -> dict:
+    """The one indexed result of arm and seed; for the test split only with a lock, and only for the indexed checkpoint."""
+    if split == "test" and (lock is None or not shared.exists(spark, lock)):
+        raise governance.SealedError("evaluating the test split needs a validation lock")
+    row = governance.single(index, {"arm": arm, "seed": seed})
+    if checkpoint is not None:
+        digest = readers.file_inventory(spark, checkpoint).first()["sha256"]
+        if digest != row.get("checkpoint_sha256"):
+            raise ValueError("the checkpoint isn't the indexed one")
+    return row | {"split": split}
+
+
+def data_audit(rows: DataFrame, dataset: str) -> dict:
+    """Whether the dataset's relations are there and none of their values is in two splits."""
+    required = UNCROSSED[dataset]
+    there = [f for f in required if f in rows.columns]
+    full = rows.agg(*(F.count(f).alias(f) for f in there), F.count("*").alias("_rows")).first().asDict()
+    there = [f for f in there if full[f]]
+    counts = {r["field"]: r["crossing"] for r in lineage.crossings(rows, there).collect()} if there else {}
+    sound = there == required and not any(counts.values())
+    return {"status": "PASS" if sound else "FAIL", "dataset": dataset, "rows": full["_rows"], "absent": sorted(set(required) - set(there)), "crossing": counts}
+
+
+def sealed_test(spark: SparkSession, folder: str, manifest: str, who: str) -> dict:
+    """Read the test rows, once for all processes."""
+    guard = governance.DurableFirewall(spark, folder)
+    rows = guard.read_test_once(spark.read.json(manifest), who).count()
+    return {"status": "PASS", "rows_read": rows, "accesses": guard.ledger().count(), "checkpoint_updates": 0, "merge_updates": 0}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="evenspan", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -66,6 +112,25 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("--index", required=True, help="Parquet with arm and seed")
     one.add_argument("--arm", required=True)
     one.add_argument("--seed", type=int, required=True)
+    one.add_argument("--split", default="validation", choices=("validation", "test"))
+    one.add_argument("--validation-lock")
+    one.add_argument("--checkpoint")
+    one = commands.add_parser("sealed-test")
+    one.add_argument("--folder", required=True, help="shared folder of locks and the access ledger")
+    one.add_argument("--manifest", required=True, help="JSON lines with split")
+    one.add_argument("--who", required=True)
+    one = commands.add_parser("build")
+    one.add_argument("--files", required=True, help="folder of MIDI files")
+    one.add_argument("--out", required=True)
+    for name in ("validation", "test", "old-holdout", "seed"):
+        one.add_argument(f"--{name}", type=int, default=0)
+    data = commands.add_parser("data").add_subparsers(dest="step", required=True)
+    one = data.add_parser("audit")
+    one.add_argument("dataset", choices=sorted(UNCROSSED))
+    one.add_argument("--manifest", required=True, help="JSON lines")
+    one = data.add_parser("prepare")
+    one.add_argument("--root", required=True)
+    one.add_argument("--source-manifest", required=True, help="JSON lines of path and sha256")
     one = commands.add_parser("audit")
     one.add_argument("--crossings", required=True, help="Parquet with field and crossing")
     one.add_argument("--fields", nargs="+", required=True)
@@ -78,10 +143,20 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "smoke":
             result = smoke(spark, args.steps)
         elif args.command == "select":
-            rows = spark.read.schema("exposure long, bits double").json(args.history).withColumn("k", F.lit(1))
-            result = validate.best_checkpoint(rows, ["k"]).drop("k").first().asDict()
+            result = select(shared.read_text(spark, args.history))
         elif args.command == "evaluate":
-            result = governance.single(spark.read.parquet(args.index), {"arm": args.arm, "seed": args.seed})
+            result = evaluate(spark, spark.read.parquet(args.index), args.arm, args.seed, args.split, args.validation_lock, args.checkpoint)
+        elif args.command == "sealed-test":
+            result = sealed_test(spark, args.folder, args.manifest, args.who)
+        elif args.command == "build":
+            files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mid*").option("recursiveFileLookup", "true").load(args.files).select("path", "content")
+            result = corpus_build.build(spark, files, args.out, validation=args.validation, test=args.test, old_holdout=args.old_holdout, seed=args.seed)
+        elif args.command == "data" and args.step == "audit":
+            result = data_audit(spark.read.json(args.manifest), args.dataset)
+        elif args.command == "data":
+            found = readers.file_inventory(spark, args.root).withColumn("path", readers.relative_path(F.regexp_replace("path", "^file:/+", "/"), args.root.rstrip("/") + "/"))
+            result = relations.verify_sources(spark.read.json(args.source_manifest), found).first().asDict()
+            result["status"] = "FAIL" if result["missing"] or result["mismatched"] else "PASS"
         else:
             result = audit(spark.read.parquet(args.crossings), args.fields)
     print(json.dumps(result, indent=2, sort_keys=True, default=str))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..sources.shared import shared_dir
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df``, written to the folder that ``spark.checkpoint.dir`` names (one of our own where it is unset)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/evenspan-{spark.sparkContext.applicationId}")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()

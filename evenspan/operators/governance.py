@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 
 class SealedError(PermissionError):
     """Test rows were asked for too early, or again."""
@@ -37,6 +41,56 @@ class Firewall:
         return df.where("split = 'test'")
 
 
+class DurableFirewall:
+    """The same guard for all processes that share a folder: what was locked, read and denied is there, not in one of them.
+
+    The validation choice and the one read of the test rows are files that are created once, so of several processes
+    that ask at the same time one gets the rows.  Every access, denied ones too, is a file of its own that is never
+    changed: the ledger can be read while others write it.
+    """
+
+    LOCK, READ = "validation_lock.json", "test_read.json"
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _log(self, action: str, granted: bool, detail: dict) -> dict:
+        entry = {"id": uuid.uuid4().hex, "at": time.time_ns(), "action": action, "granted": granted, "detail": json.dumps(detail, sort_keys=True)}
+        shared.create(self.spark, f"{self.folder}/access/{entry['at']:020d}-{entry['id']}.json", json.dumps(entry))
+        return entry
+
+    def lock_validation(self, choice: dict) -> None:
+        """Lock the choice; the same one again is no change, another one is an error."""
+        text, path = json.dumps(choice, sort_keys=True), f"{self.folder}/{self.LOCK}"
+        won = shared.create(self.spark, path, text) or shared.read_text(self.spark, path) == text
+        self._log("lock", won, choice)
+        if not won:
+            raise SealedError("another validation choice is locked")
+
+    def locked(self) -> dict | None:
+        path = f"{self.folder}/{self.LOCK}"
+        return json.loads(shared.read_text(self.spark, path)) if shared.exists(self.spark, path) else None
+
+    def training(self, df: DataFrame, split: str) -> DataFrame:
+        if split == "test":
+            self._log("training", False, {"split": split})
+            raise SealedError("training can't read the test split")
+        return df.where(F.col("split") == split)
+
+    def read_test_once(self, df: DataFrame, who: str) -> DataFrame:
+        """The test rows, once in the life of the folder and only after the lock."""
+        detail = {"who": who, "locked": self.locked()}
+        granted = detail["locked"] is not None and shared.create(self.spark, f"{self.folder}/{self.READ}", json.dumps(detail, sort_keys=True))
+        self._log("test", granted, detail)
+        if not granted:
+            raise SealedError("the test split is sealed" if detail["locked"] is None else "the test split was read before")
+        return df.where("split = 'test'")
+
+    def ledger(self) -> DataFrame:
+        """id, at, action, granted, detail of every access so far, in order."""
+        return self.spark.read.schema("id string, at long, action string, granted boolean, detail string").json(f"{self.folder}/access").orderBy("at", "id")
+
+
 class Manifest:
     """A table of samples by split; test rows need a flag, audits a purpose."""
 
@@ -121,9 +175,10 @@ MARKS = {"identity": "<REDACTED_INFRASTRUCTURE_IDENTITY>", "path": "<REDACTED_AB
 
 
 def redacted(text: Column, keys: tuple[str, ...] = IDENTITY_KEYS) -> Column:
-    """clean, changed: JSON text with its strings replaced where they stand below an identity key (also in lists there), are
-    absolute paths, or have an at sign and are no web address; and the JSON pointers of those.  A text that is no JSON is null."""
-    schema, local, named = "clean string, changed array<string>", re.compile(LOCAL_PATH), frozenset(keys)
+    """clean, changed, fault: JSON text with its strings replaced where they stand below an identity key (also in lists there),
+    are absolute paths, or have an at sign and are no web address; and the JSON pointers of those.  A text that is no JSON, or
+    is nested too deeply to be read, has a fault and no clean form."""
+    schema, local, named = "clean string, changed array<string>, fault string", re.compile(LOCAL_PATH), frozenset(keys)
 
     def mark(key: str, value: str) -> str | None:
         if key in named:
@@ -135,8 +190,8 @@ def redacted(text: Column, keys: tuple[str, ...] = IDENTITY_KEYS) -> Column:
     def walked(raw: str | None) -> dict:
         try:
             whole = [json.loads(raw)]
-        except (TypeError, ValueError):
-            return {"clean": None, "changed": None}
+        except (TypeError, ValueError, RecursionError) as e:
+            return {"clean": None, "changed": None, "fault": None if raw is None else type(e).__name__}
         changed, open_ = [], [(whole, 0, "", "")]  # a container, a place in it, the key above and the pointer
         while open_:
             holder, at, key, pointer = open_.pop()
@@ -148,11 +203,14 @@ def redacted(text: Column, keys: tuple[str, ...] = IDENTITY_KEYS) -> Column:
             elif isinstance(value, str) and (found := mark(key, value)):
                 holder[at] = found
                 changed.append(pointer)
-        return {"clean": json.dumps(whole[0], separators=(",", ":"), ensure_ascii=False), "changed": changed}
+        try:
+            return {"clean": json.dumps(whole[0], separators=(",", ":"), ensure_ascii=False), "changed": changed, "fault": None}
+        except RecursionError as e:
+            return {"clean": None, "changed": None, "fault": type(e).__name__}
 
     @F.pandas_udf(schema)
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([walked(x) for x in texts], columns=["clean", "changed"])
+        return pd.DataFrame([walked(x) for x in texts], columns=["clean", "changed", "fault"])
 
     return of(text)
 

@@ -98,9 +98,9 @@ def components(members: DataFrame, relations: list[str], key: str = "song_id") -
         labels = jumped.drop("was")
 
 
-def families(members: DataFrame, relations: list[str], prefix: str = "family_", key: str = "song_id") -> DataFrame:
-    """Per component: root, lineage_id (a digest of its sorted keys), sample_count, merged relations."""
-    rows = members.join(components(members, relations, key), key)
+def families(members: DataFrame, relations: list[str], prefix: str = "family_", key: str = "song_id", roots: DataFrame | None = None) -> DataFrame:
+    """Per component (``roots`` where they are known): root, lineage_id (a digest of its sorted keys), sample_count, merged relations."""
+    rows = members.join(components(members, relations, key) if roots is None else roots, key)
     ids = F.array_sort(F.collect_list(F.col(key).cast("string")))
     name = F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(F.array_join(ids, "\n"), F.lit("\n")), 256), 1, 24))
     return rows.groupBy("root").agg(

@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import governance
+from ..operators import corpus_build, governance, staged
 from ..operators import events as ev
 from ..sources import midi, readers, sinks
+from ..sources.shared import shared_dir
 from ..streaming import jobs
 from .base import facts, query, rounded, table
+from .lineage_queries import _LINES as HASHES
 
 
 def _files(spark, sf_dir):
@@ -38,6 +40,21 @@ def midi_file_records(spark, sf_dir):
     return r.select("path", "status", F.greatest("note_count", F.lit(0)).cast("bigint").alias("note_count"), F.greatest("onset_count", F.lit(0)).cast("bigint").alias("onset_count"), rounded(F.col("beats")).alias("beats"), F.coalesce("meter", F.lit("")).alias("meter"))
 
 
+_BUILT = _FLAT.replace(" m AS (", " flat0 AS (").replace("FROM m)", "FROM flat0)") + f""", li AS (SELECT song_id, onset, duration, pitch FROM n), {HASHES}
+SELECT song_id AS sample_id, h.exact AS exact_hash, h.transposed AS transposition_invariant_hash, h.rhythm AS rhythm_interval_hash, notes AS note_count, onsets AS onset_count, beats AS duration_beats,
+ 'corpus_content_family_' || substr(sha256(ids || chr(10)), 1, 24) AS lineage_id FROM h JOIN (SELECT rhythm, string_agg(song_id, chr(10) ORDER BY song_id) AS ids FROM h GROUP BY 1) f ON f.rhythm = h.rhythm
+ JOIN (SELECT song_id, count(*)::INT AS notes, count(DISTINCT onset)::INT AS onsets, round((max(onset + duration) - min(onset)) / 96, 6) + 0.0 AS beats FROM li GROUP BY 1) c USING (song_id)"""
+
+
+@query(_BUILT)
+def published_lineage(spark, sf_dir):
+    """The corpus build of all songs as files, read back from what was published."""
+    root = f"{shared_dir(spark)}/evenspan-build-{uuid.uuid4().hex}"
+    corpus_build.build(spark, _files(spark, sf_dir), root, validation=10, test=10, old_holdout=20, seed=20)
+    t = staged.published(spark, root, "lineage_table", verify=True)
+    return t.select("sample_id", *corpus_build.RELATIONS, "note_count", "onset_count", rounded(F.col("duration_beats")).alias("duration_beats"), "lineage_id")
+
+
 _LINES = "l AS (SELECT o_custkey AS song_id, o_orderkey AS n, (o_orderkey * 2.0) AS t, (o_orderkey % 3) AS k FROM orders)"
 
 
