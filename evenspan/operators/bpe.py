@@ -11,7 +11,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import checkpointed
 
 
 def pair_counts(rows: DataFrame, symbols: str = "symbols", song: str = "song_id") -> DataFrame:
@@ -65,7 +64,7 @@ def encode(rows: DataFrame, rules: list[tuple[str, str]], symbols: str = "symbol
 
         known = shared.value
         for batch in batches:
-            done = [None if x is None else _merge_all(x, known) for x in batch.column(at).to_pylist()]
+            done = [None if x is None else merge_by_rank(x, known) for x in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(done, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
@@ -73,7 +72,7 @@ def encode(rows: DataFrame, rules: list[tuple[str, str]], symbols: str = "symbol
     return rows.mapInArrow(of, rows.schema)
 
 
-def _merge_all(symbols: list[str], ranks: dict[tuple[str, str], list[int]]) -> list[str]:
+def merge_by_rank(symbols: list[str], ranks: dict[tuple[str, str], list[int]]) -> list[str]:
     """Rules by rank: a heap holds the places of pairs that some rule joins; joined places are linked past."""
     from bisect import bisect_left
     from heapq import heapify, heappop, heappush
@@ -115,7 +114,7 @@ def units(symbol: Column) -> Column:
 
 
 def fit(rows: DataFrame, merges: int, *, min_count: int = 2, min_songs: int = 1, longest: int | None = None, barrier: str | None = None, order: str = "pair", split: str = "train") -> list[tuple[str, str, int]]:
-    """Up to ``merges`` rules (left, right, count) from rows (song_id, symbols) of the training split; other splits, named or in a column ``split``, are an error.
+    """Up to ``merges`` rules (left, right, count) from rows (song_id, symbols; a row for each song) of the training split; other splits, named or in a column ``split``, are an error.
 
     The most frequent pair wins; ties go to the smallest pair, or, by ``order='support'``, to the pair of most songs and
     then the smallest digest.  Pairs under ``min_count`` or ``min_songs``, longer than ``longest`` base tokens, with the
@@ -123,23 +122,9 @@ def fit(rows: DataFrame, merges: int, *, min_count: int = 2, min_songs: int = 1,
     """
     if split != "train" or "split" in rows.columns and not rows.where("split is distinct from 'train'").isEmpty():
         raise ValueError("merges are fitted on train only")
-    rules: list[tuple[str, str, int]] = []
-    rows = checkpointed(rows.select("song_id", "symbols"))
-    for _ in range(merges):
-        pairs = pair_counts(rows).where((F.col("n") >= min_count) & (F.col("songs") >= min_songs))
-        if longest is not None:
-            pairs = pairs.where(units(F.col("l")) + units(F.col("r")) <= longest)
-        if barrier is not None:
-            pairs = pairs.where((F.col("l") != barrier) & (F.col("r") != barrier))
-        if rules:
-            pairs = pairs.where(~F.concat_ws(" ", "l", "r").isin([f"{a} {b}" for a, b, _ in rules]))
-        ties = ["l", "r"] if order == "pair" else [F.desc("songs"), F.sha2(F.concat_ws(" ", "l", "r"), 256)]
-        best = pairs.orderBy(F.desc("n"), *ties).limit(1).first()
-        if best is None:
-            break
-        rules.append((best["l"], best["r"], best["n"]))
-        rows = checkpointed(rows.select("song_id", merged(F.col("symbols"), F.lit(best["l"]), F.lit(best["r"])).alias("symbols")))
-    return rules
+    from .merge_fit import fit as fit_by_index  # that module needs this one
+
+    return fit_by_index(rows.select("song_id", "symbols"), merges, min_count=min_count, min_songs=min_songs, longest=longest, barrier=barrier, order=order)
 
 
 def table_bits(rules: int, vocabulary: int) -> int:
