@@ -57,41 +57,6 @@ def per_song(scored: DataFrame) -> DataFrame:
     return scored.groupBy("song_id").agg(F.sum("bits").alias("bits"), F.count("*").alias("symbols"), F.count_if(~F.col("known")).alias("unknown"), (F.sum("bits") / F.greatest(F.count("*"), F.lit(1))).alias("rate"))
 
 
-def merge_gain(rows: DataFrame, held: DataFrame, left: str, right: str, alpha: float = 0.25, weight: float = 0.75) -> float:
-    """Held-out bits that one merge saves: both corpora are scored as they are and merged; rows have song_id and symbols."""
-    from .bpe import merged
-
-    def bits(train: DataFrame, test: DataFrame) -> float:
-        def flat(df: DataFrame) -> DataFrame:
-            return df.select("song_id", F.posexplode("symbols").alias("ord", "symbol"))
-
-        return Scorer(flat(train), alpha, weight).score(flat(test)).agg(F.coalesce(F.sum("bits"), F.lit(0.0))).first()[0]
-
-    def joined(df: DataFrame) -> DataFrame:
-        return df.select("song_id", merged(F.col("symbols"), F.lit(left), F.lit(right)).alias("symbols"))
-
-    return bits(rows, held) - bits(joined(rows), joined(held))
-
-
-def fit_predictive(rows: DataFrame, held: DataFrame, merges: int, pool: int = 8, least_gain: float = 0.0, **limits) -> list[dict]:
-    """Merges chosen among the ``pool`` most frequent pairs by held-out gain per base unit, until none gains more than ``least_gain``."""
-    from .bpe import decoded, merged, pair_counts
-    from .durable import checkpointed
-
-    rows, held, steps = checkpointed(rows), checkpointed(held), []
-    total = held.agg(F.coalesce(F.sum(F.size(decoded(F.col("symbols")))), F.lit(0))).first()[0]
-    for _ in range(merges):
-        candidates = pair_counts(rows).where(F.col("n") >= limits.get("min_count", 2)).orderBy(F.desc("n"), "l", "r").limit(pool).collect()
-        gains = [(merge_gain(rows, held, c["l"], c["r"]) / max(1, total), c) for c in candidates]
-        best = max(gains, key=lambda g: g[0], default=None)
-        if best is None or best[0] <= least_gain:
-            break
-        gain, c = best
-        steps.append({"left": c["l"], "right": c["r"], "count": c["n"], "gain": gain})
-        rows, held = (checkpointed(df.select("song_id", merged(F.col("symbols"), F.lit(c["l"]), F.lit(c["r"])).alias("symbols"))) for df in (rows, held))
-    return steps
-
-
 def family_symbols(parts: DataFrame) -> DataFrame:
     """Atoms as members of a family under transposition and scaling of time: shapes of pitch and duration over their common divisor; a rest starts anew."""
     w = Window.partitionBy("song_id").orderBy("t")

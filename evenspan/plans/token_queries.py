@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bpe, carrier, codelen
+from ..operators import bpe, carrier, codelen, merge_gain
 from ..operators import events as ev
 from .base import facts, query, rounded, table
 
@@ -156,7 +156,7 @@ def causal_scorer(spark, sf_dir):
 def predictive_merges(spark, sf_dir):
     """Merges by what they save on songs that weren't fitted."""
     s = _symbols(spark, sf_dir)
-    steps = codelen.fit_predictive(s.where("song_id % 2 = 0"), s.where("song_id % 2 = 1"), 2, pool=3, least_gain=-1.0)
+    steps = merge_gain.fit_predictive(s.where("song_id % 2 = 0"), s.where("song_id % 2 = 1"), 2, pool=3, least_gain=-1.0)
     return spark.createDataFrame([(i, x["left"], x["right"], x["count"]) for i, x in enumerate(steps)], "rank int, l string, r string, n bigint")
 
 
