@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import bpe, carrier, codelen, merge_gain
 from ..operators import events as ev
+from ..sources import cache
+from ..sources.shared import shared_dir
 from .base import facts, query, rounded, table
 
 
@@ -74,6 +78,19 @@ def serialized_cache_stats(spark, sf_dir):
     return j.groupBy("split").agg(F.count("*").alias("songs"), F.sum(s).alias("tokens"), F.sum("events").alias("events"), F.max(s).alias("longest"), rounded(F.sum(s) / F.sum("events")).alias("ratio"))
 
 
+@query(_IDS + ", n AS (SELECT song_id, count(*) + 1 AS events FROM tokens GROUP BY 1) SELECT song_id::VARCHAR AS sample_id, events::BIGINT AS events, payload FROM p JOIN n USING (song_id) WHERE song_id % 10 <> 0")
+def cached_payloads(spark, sf_dir):
+    """Payloads written as a cache, of which the train split is read again."""
+    t = ev.tokens(facts(spark, sf_dir))
+    n = t.groupBy("song_id").agg((F.count("*") + 1).alias("events"))
+    split = F.when(F.col("song_id") % 10 == 0, "test").otherwise("train")
+    samples = carrier.encode_ids(t).join(n, "song_id").select(F.col("song_id").cast("string").alias("sample_id"), split.alias("split"), "events", F.col("payload").alias("tokens"))
+    path = f"{shared_dir(spark)}/evenspan-cache-{uuid.uuid4().hex}"
+    cache.write_cache(samples, path, manifest="token_ids", vocabulary=carrier.SIZE)
+    back = cache.read_cache(spark, path, manifest="token_ids", allow_test=True).where("split = 'train'")
+    return back.select("sample_id", "events", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("payload"))
+
+
 def _symbols(spark, sf_dir):
     """Pitches of a song in order, as symbols."""
     t = ev.canonical(facts(spark, sf_dir))
