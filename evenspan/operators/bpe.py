@@ -132,6 +132,12 @@ def table_bits(rules: int, vocabulary: int) -> int:
     return sum(2 * math.ceil(math.log2(max(2, vocabulary + i + 1))) for i in range(rules))
 
 
+def table_bits_of(rules: Column, vocabulary: Column) -> Column:
+    """:func:`table_bits` of columns."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(rules, F.lit(1))), lambda k: 2 * F.ceil(F.log2(F.greatest(F.lit(2), vocabulary + k))))
+    return F.when(rules > 0, F.aggregate(each, F.lit(0).cast("bigint"), lambda acc, x: acc + x)).otherwise(0)
+
+
 def corpus_stats(rows: DataFrame, symbols: str = "symbols") -> DataFrame:
     """sequences, emitted symbols, base units, and the reduction."""
     base = F.size(decoded(F.col(symbols)))

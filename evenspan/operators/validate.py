@@ -57,17 +57,39 @@ ARMS = [
 ]
 
 
+#: Active parameters of each arm.
+PARAMETERS = {"A": 809_475, "B": 811_079, "C": 810_499, "D": 812_815, "E": 805_455, "F": 812_815, "G": 812_815, "H": 813_519, "I": 805_455, "J": 689_349, "K": 804_675}
+#: Family, pitch interface, and whether pitches are moved and the frame is an input, of the arms that differ in pitch alone.
+FLAGS = {
+    "F": ("tonal_reference_v1", "raw_transposed_midi_id", "true", "false"), "G": ("tonal_reference_v1", "learned_relative_pc_plus_relative_register", "true", "true"),
+    "H": ("pitch_interface_v1", "learned_absolute_pc_plus_absolute_register", "false", "false"), "I": ("pitch_interface_v1", "fixed_fifths_circle_plus_absolute_register", "false", "false"),
+}
+
+
 def representations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ARMS, "arm string, time string, pitch string")
+    """arm, time, pitch, parameters, flags (null where an arm has no contract of flags)."""
+    rows = [(*row, PARAMETERS[row[0]], list(FLAGS[row[0]]) if row[0] in FLAGS else None) for row in ARMS]
+    return spark.createDataFrame(rows, "arm string, time string, pitch string, parameters long, flags array<string>")
 
 
-def representation(arm: str) -> dict[str, str]:
+def representation(arm: str) -> dict:
     for row in ARMS:
         if row[0] == arm:
-            return dict(zip(("arm", "time", "pitch"), row))
+            return dict(zip(("arm", "time", "pitch"), row)) | {"parameters": PARAMETERS[arm], "flags": FLAGS.get(arm)}
     raise KeyError(arm)
 
 
+def flags_hold(wanted: Column, seen: Column) -> Column:
+    """Whether a run has all of its arm's flags, in their order; an arm without a contract holds."""
+    return wanted.isNull() | (wanted == seen)
+
+
+def require_flags(arm: str, seen: tuple[str, ...]) -> None:
+    """Flags other than the arm's are an error."""
+    if arm in FLAGS and tuple(seen) != FLAGS[arm]:
+        raise ValueError(f"{arm} has {seen}, not {FLAGS[arm]}")
+
+
 def unchanged_counts(manifest: DataFrame, counted: DataFrame, key: str = "song_id", count: str = "target_event_count") -> DataFrame:
     """The manifest, whose counts have to be those counted anew; another count, or none, is an error."""
     both = manifest.join(counted.select(key, F.col(count).alias("_now")), key, "left")

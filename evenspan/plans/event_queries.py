@@ -223,10 +223,15 @@ def exclusive_slots(spark, sf_dir):
     return validate.exclusive_slots(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", [1, 2])
 
 
-@query("""SELECT arm, (a IN ('absolute','unary','pairwise')) AS known, a AS time, p AS pitch FROM (VALUES ('A','sequence','absolute'),('B','lookup','absolute'),('C','unary','absolute'),('D','pairwise','absolute'),('E','pairwise','chromatic'),('F','pairwise','absolute'),('G','pairwise','canonical'),('H','pairwise','class'),('I','pairwise','fifths'),('J','serialized','token'),('K','serialized','bpe')) v(arm, a, p)""")
+@query("""WITH v AS (SELECT * FROM (VALUES ('A','sequence','absolute',809475),('B','lookup','absolute',811079),('C','unary','absolute',810499),('D','pairwise','absolute',812815),('E','pairwise','chromatic',805455),('F','pairwise','absolute',812815),
+ ('G','pairwise','canonical',812815),('H','pairwise','class',813519),('I','pairwise','fifths',805455),('J','serialized','token',689349),('K','serialized','bpe',804675)) v(arm, time, pitch, parameters))
+SELECT o_orderkey, arm, time, pitch, parameters::BIGINT AS parameters, arm IN ('F', 'G', 'H', 'I') AND o_orderkey % 13 <> 0 AS sound FROM orders JOIN v ON v.arm = chr((65 + o_orderkey % 11)::INT)""")
 def representation_table(spark, sf_dir):
-    r = validate.representations(spark)
-    return r.select("arm", F.col("time").isin("absolute", "unary", "pairwise").alias("known"), "time", "pitch")
+    """Runs of arms, drawn by the orders' keys, with what the arm is, its parameters, and whether the run's flags are those of its contract."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.char((65 + F.col("o_orderkey") % 11)).alias("arm"))
+    r = F.broadcast(validate.representations(spark))  # a row for each arm
+    seen = F.when(F.col("o_orderkey") % 13 == 0, F.array(F.lit("other"))).otherwise(F.coalesce("flags", F.array().cast("array<string>")))
+    return o.join(r, "arm").select("o_orderkey", "arm", "time", "pitch", "parameters", (F.col("flags").isNotNull() & validate.flags_hold(F.col("flags"), seen)).alias("sound"))
 
 
 @query("""{atoms}, n AS (SELECT song_id, count(*) AS atoms, count(*) FILTER (kind = 'NOTE') AS groups, coalesce(sum(len(notes)), 0)::BIGINT AS notes FROM atoms GROUP BY 1),

@@ -76,10 +76,12 @@ def unary_time_features(spark, sf_dir):
     return rows.select("onset", *(rounded(c).alias(n) for n, c in t.unary_time(F.col("onset")).items()))
 
 
-@query("""WITH p AS (SELECT unnest(range(64)) AS pos), i AS (SELECT unnest(range(8)) AS k)
+@query("""{facts}, p AS (SELECT DISTINCT row_number() OVER (PARTITION BY song_id ORDER BY onset, pitch, duration) - 1 AS pos FROM facts), i AS (SELECT unnest(range(8)) AS k)
 SELECT pos::BIGINT AS pos, k::BIGINT AS k, round(sin(pos * exp(-ln(10000.0) * k / 7)), 6) + 0.0 AS s, round(cos(pos * exp(-ln(10000.0) * k / 7)), 6) + 0.0 AS c FROM p, i""")
 def sequence_positions(spark, sf_dir):
-    rows = spark.range(64).select(F.col("id").alias("pos"), t.sequence_position(F.col("id").cast("double"), 16).alias("v"))
+    """Of the places that events have in their songs."""
+    rows = ev.canonical(facts(spark, sf_dir)).select((F.col("ord") - 1).cast("bigint").alias("pos")).distinct()
+    rows = rows.select("pos", t.sequence_position(F.col("pos").cast("double"), 16).alias("v"))
     rows = rows.select("pos", F.posexplode(F.zip_with(F.slice("v", 1, 8), F.slice("v", 9, 8), lambda a, b: F.struct(a.alias("s"), b.alias("c")))).alias("k", "x"))
     return rows.select("pos", F.col("k").cast("bigint").alias("k"), rounded(F.col("x.s")).alias("s"), rounded(F.col("x.c")).alias("c"))
 
@@ -111,35 +113,42 @@ def pitch_split(spark, sf_dir):
     return rows.select("pitch", "s.pitch_class", "s.register", F.col("o.register").alias("octave"), p.join_pitch(F.col("s.pitch_class"), F.col("s.register")).alias("back"))
 
 
-@query("""SELECT c, (7 * c % 12)::BIGINT AS fifths, round(sin(2*pi()*c/12), 6) + 0.0 AS chroma_sin, round(cos(2*pi()*c/12), 6) + 0.0 AS chroma_cos,
- round(sin(2*pi()*(7*c%12)/12), 6) + 0.0 AS fifths_sin, round(cos(2*pi()*(7*c%12)/12), 6) + 0.0 AS fifths_cos FROM (SELECT unnest(range(12)) AS c)""")
+@query("""{facts} SELECT c, n, (7 * c % 12)::BIGINT AS fifths, round(sin(2*pi()*c/12), 6) + 0.0 AS chroma_sin, round(cos(2*pi()*c/12), 6) + 0.0 AS chroma_cos,
+ round(sin(2*pi()*(7*c%12)/12), 6) + 0.0 AS fifths_sin, round(cos(2*pi()*(7*c%12)/12), 6) + 0.0 AS fifths_cos FROM (SELECT (pitch % 12)::BIGINT AS c, count(*) AS n FROM facts GROUP BY 1)""")
 def pitch_circles(spark, sf_dir):
+    """Both circles for the pitch classes of the notes."""
     c = F.col("c")
-    rows = spark.range(12).select(F.col("id").alias("c")).withColumn("a", p.chromatic_phase(c)).withColumn("b", p.fifths_phase(c))
+    rows = _classes(facts(spark, sf_dir)).groupBy("c").agg(F.count("*").alias("n")).withColumn("a", p.chromatic_phase(c)).withColumn("b", p.fifths_phase(c))
     shown = {"chroma_sin": "a.sin", "chroma_cos": "a.cos", "fifths_sin": "b.sin", "fifths_cos": "b.cos"}
-    return rows.select("c", p.fifths_index(c).alias("fifths"), *(rounded(F.col(x)).alias(n) for n, x in shown.items()))
+    return rows.select("c", "n", p.fifths_index(c).alias("fifths"), *(rounded(F.col(x)).alias(n) for n, x in shown.items()))
 
 
-@query("""WITH q AS (SELECT c, sin(2*pi()*c/12) AS s, cos(2*pi()*c/12) AS k, sin(2*pi()*(7*c%12)/12) AS s7, cos(2*pi()*(7*c%12)/12) AS k7 FROM (SELECT unnest(range(12)) AS c))
-SELECT bool_and(sqrt((a.s-b.s)**2 + (a.k-b.k)**2) > 1e-12) AS chromatic, bool_and(sqrt((a.s7-b.s7)**2 + (a.k7-b.k7)**2) > 1e-12) AS fifths, count(*)::BIGINT AS pairs FROM q a JOIN q b ON a.c < b.c""")
+def _classes(rows):
+    return rows.select("song_id", "duration", F.pmod("pitch", F.lit(12)).cast("bigint").alias("c"))
+
+
+@query("""{facts}, q AS (SELECT DISTINCT song_id, pitch % 12 AS c, sin(2*pi()*(pitch%12)/12) AS s, cos(2*pi()*(pitch%12)/12) AS k, sin(2*pi()*(7*(pitch%12)%12)/12) AS s7, cos(2*pi()*(7*(pitch%12)%12)/12) AS k7 FROM facts)
+SELECT a.song_id, bool_and(sqrt((a.s-b.s)**2 + (a.k-b.k)**2) > 1e-12) AS chromatic, bool_and(sqrt((a.s7-b.s7)**2 + (a.k7-b.k7)**2) > 1e-12) AS fifths, count(*)::BIGINT AS pairs FROM q a JOIN q b ON a.song_id = b.song_id AND a.c < b.c GROUP BY 1""")
 def phases_injective(spark, sf_dir):
+    """Whether different pitch classes of a song (twelve at most) have different phases."""
     c = F.col("c")
-    q = spark.range(12).select(F.col("id").alias("c")).select("c", p.chromatic_phase(c).alias("a"), p.fifths_phase(c).alias("b"))
-    r = q.select(*(F.col(x).alias(x + "2") for x in q.columns))
+    q = _classes(facts(spark, sf_dir)).select("song_id", "c").distinct().select("song_id", "c", p.chromatic_phase(c).alias("a"), p.fifths_phase(c).alias("b"))
+    r = q.select("song_id", *(F.col(x).alias(x + "2") for x in ("c", "a", "b")))
 
     def apart(x: str):
         return F.bool_and(F.sqrt(F.pow(F.col(f"{x}.sin") - F.col(f"{x}2.sin"), 2) + F.pow(F.col(f"{x}.cos") - F.col(f"{x}2.cos"), 2)) > 1e-12)
 
-    return q.join(r, F.col("c") < F.col("c2")).agg(apart("a").alias("chromatic"), apart("b").alias("fifths"), F.count("*").alias("pairs"))
+    return q.join(r, "song_id").where("c < c2").groupBy("song_id").agg(apart("a").alias("chromatic"), apart("b").alias("fifths"), F.count("*").alias("pairs"))
 
 
-@query("""SELECT a, b, round(cos(2*pi()*a/12) * cos(2*pi()*b/12) - sin(2*pi()*a/12) * sin(2*pi()*b/12), 6) + 0.0 AS x, round(cos(2*pi()*a/12) * sin(2*pi()*b/12) + sin(2*pi()*a/12) * cos(2*pi()*b/12), 6) + 0.0 AS y
-FROM (SELECT unnest(range(12)) AS a), (SELECT unnest(range(12)) AS b)""")
+@query("""{facts} SELECT a, b, n, round(cos(2*pi()*a/12) * cos(2*pi()*b/12) - sin(2*pi()*a/12) * sin(2*pi()*b/12), 6) + 0.0 AS x, round(cos(2*pi()*a/12) * sin(2*pi()*b/12) + sin(2*pi()*a/12) * cos(2*pi()*b/12), 6) + 0.0 AS y
+FROM (SELECT (pitch % 12)::BIGINT AS a, (duration % 12)::BIGINT AS b, count(*) AS n FROM facts GROUP BY 1, 2)""")
 def tonic_rotation(spark, sf_dir):
-    rows = spark.range(12).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(11).cast("bigint"))).alias("b"))
+    """Pitch classes of the notes turned by tonics, for which their durations stand."""
+    rows = _classes(facts(spark, sf_dir)).groupBy(F.col("c").alias("a"), F.pmod("duration", F.lit(12)).cast("bigint").alias("b")).agg(F.count("*").alias("n"))
     phase = t.cyclic_phase(F.col("a"), 12)
     r = p.rotated(phase["cos"], phase["sin"], F.col("b"))
-    return rows.select("a", "b", rounded(r["x"]).alias("x"), rounded(r["y"]).alias("y"))
+    return rows.select("a", "b", "n", rounded(r["x"]).alias("x"), rounded(r["y"]).alias("y"))
 
 
 _KEY = "(c_custkey % 12) AS tonic, CASE WHEN c_custkey % 2 = 0 THEN 'major' ELSE 'minor' END AS mode"
@@ -154,20 +163,34 @@ def key_frames(spark, sf_dir):
     return k.select("*", p.canonical_shift(F.col("frame")).alias("shift"), p.key_label(F.col("tonic"), F.col("mode")).alias("label"))
 
 
-_LABELS = ["C:maj", "F#:min/5", "Bb:7/3", "N", "Eb:maj7", "G:min", "Cb:maj", "B#:dim"]
-_CLASSES = [0, 6, 10, 12, 3, 7, 11, 0]
+_LETTERS, _SIGNS, _QUALITIES = ["C", "D", "E", "F", "G", "A", "B"], ["", "#", "b"], ["maj", "min", "7", "dim"]
+_ROOT = "(([0, 2, 4, 5, 7, 9, 11])[c_custkey % 7 + 1] + ([0, 1, -1])[c_nationkey % 3 + 1] + 12) % 12"
+
+
+def _drawn(names, by):
+    return F.element_at(F.array(*map(F.lit, names)), (F.pmod(by, F.lit(len(names))) + 1).cast("int"))
+
+
+def _roots(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c, F.concat(_drawn(_LETTERS, F.col("c_custkey")), _drawn(_SIGNS, F.col("c_nationkey")))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{x}', {c}, '{'N' if x == 'N' else x.split(':')[1].split('/')[0]}')" for x, c in zip(_LABELS, _CLASSES)) + ") v(label, root, quality)")
+@query(f"""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 12 ELSE {_ROOT} END::INT AS root, CASE WHEN c_custkey % 11 = 0 THEN 'N' ELSE (['maj', 'min', '7', 'dim'])[c_custkey % 4 + 1] END AS quality FROM customer""")
 def chord_labels(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in _LABELS], "label string").withColumn("c", p.chord_label(F.col("label")))
-    return rows.select("label", "c.root", "c.quality")
+    """Labels of a root, a quality and now and then a bass, drawn by the customers' keys."""
+    c, root = _roots(spark, sf_dir)
+    bass = F.when(F.col("c_custkey") % 2 == 1, "/5").otherwise("")
+    label = F.when(F.col("c_custkey") % 11 == 0, "N").otherwise(F.concat(root, F.lit(":"), _drawn(_QUALITIES, F.col("c_custkey")), bass))
+    return c.select("c_custkey", p.chord_label(label).alias("c")).select("c_custkey", "c.root", "c.quality")
 
 
-@query("SELECT * FROM (VALUES ('C:maj', 0, 0), ('F#:min', 6, 1), ('gb:min', 6, 1), ('Bb:maj', 10, 0)) v(label, tonic, minor)")
+@query(f"SELECT c_custkey, {_ROOT}::INT AS tonic, (c_custkey % 2)::INT AS minor FROM customer")
 def global_key_labels(spark, sf_dir):
-    rows = spark.createDataFrame([("C:maj",), ("F#:min",), ("gb:min",), ("Bb:maj",)], "label string").withColumn("k", p.key_of_label(F.col("label")))
-    return rows.select("label", F.col("k.tonic").cast("int").alias("tonic"), "k.minor")
+    """Keys of labels, with letters of either case."""
+    c, root = _roots(spark, sf_dir)
+    label = F.concat(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lower(F.substring(root, 1, 1)), F.substring(root, 2, 9))).otherwise(root), F.when(F.col("c_custkey") % 2 == 1, ":min").otherwise(":maj"))
+    return c.select("c_custkey", p.key_of_label(label).alias("k")).select("c_custkey", F.col("k.tonic").cast("int").alias("tonic"), "k.minor")
 
 
 _BOUNDS = "b AS (SELECT song_id, min(pitch)::BIGINT AS low, max(pitch)::BIGINT AS high FROM facts GROUP BY 1)"

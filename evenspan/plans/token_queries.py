@@ -133,19 +133,23 @@ def bpe_roundtrip(spark, sf_dir):
     return e.select("song_id", F.array_join(bpe.decoded(F.col("symbols")), " ").alias("back"))
 
 
-@query("{facts}, s AS (SELECT song_id, count(*) AS units FROM facts GROUP BY 1) SELECT song_id, units, true AS alike, true AS shorter FROM s")
+@query(_SEQ + """, b AS (SELECT l, r FROM pr GROUP BY 1, 2 ORDER BY count(*) DESC, l, r LIMIT 1), u AS (SELECT song_id, count(*) AS units FROM s GROUP BY 1),
+runs AS (SELECT song_id, count(*) // 2 AS n FROM (SELECT song_id, x, i - row_number() OVER (PARTITION BY song_id, x ORDER BY i) AS g FROM s) q, b WHERE b.l = b.r AND x = b.l GROUP BY song_id, g),
+apart AS (SELECT song_id, count(*) AS n FROM pr, b WHERE b.l <> b.r AND pr.l = b.l AND pr.r = b.r GROUP BY 1), m AS (SELECT song_id, sum(n) AS n FROM (SELECT * FROM runs UNION ALL SELECT * FROM apart) GROUP BY 1)
+SELECT song_id, units, (units - coalesce(n, 0))::BIGINT AS fold, (units - coalesce(n, 0))::BIGINT AS rank FROM u LEFT JOIN m USING (song_id)""")
 def bpe_encodings_agree(spark, sf_dir):
-    """The fold over the rules and the encoder for many rules give the same symbols."""
+    """The symbols that the first merge leaves of a song, by the fold over the rules and by the encoder for many rules."""
     s = _symbols(spark, sf_dir)
-    rules = [(a, b) for a, b, _ in bpe.fit(s, 16)]
-    both = s.withColumn("fold", bpe.encoded(F.col("symbols"), rules)).withColumn("units", F.size("symbols").cast("long"))
-    both = bpe.encode(both, rules)
-    return both.select("song_id", "units", (F.col("fold") == F.col("symbols")).alias("alike"), (F.size("symbols") <= F.col("units")).alias("shorter"))
+    rules = [(a, b) for a, b, _ in bpe.fit(s, 1)]
+    both = s.select("*", F.size(bpe.encoded(F.col("symbols"), rules)).cast("long").alias("fold"), F.size("symbols").cast("long").alias("units"))
+    return bpe.encode(both, rules).select("song_id", "units", "fold", F.size("symbols").cast("long").alias("rank"))
 
 
-@query("SELECT i AS rules, list_sum([2 * ceil(log2(12 + k + 1)) FOR k IN range(i)])::BIGINT AS bits FROM range(1, 33) t(i)")
+@query("{facts}, n AS (SELECT song_id, count(DISTINCT pitch) AS rules, count(DISTINCT pitch % 12) AS base FROM facts GROUP BY 1) SELECT song_id, rules, base, list_sum([2 * ceil(log2(greatest(2, base + k + 1))) FOR k IN range(rules)])::BIGINT AS bits FROM n")
 def merge_table_bits(spark, sf_dir):
-    return spark.createDataFrame([(i, bpe.table_bits(i, 12)) for i in range(1, 33)], "rules bigint, bits bigint")
+    """What a table of as many rules as a song has pitches would cost, over its pitch classes."""
+    n = facts(spark, sf_dir).groupBy("song_id").agg(F.count_distinct("pitch").alias("rules"), F.count_distinct(F.pmod("pitch", F.lit(12))).alias("base"))
+    return n.select("song_id", "rules", "base", bpe.table_bits_of(F.col("rules"), F.col("base")).alias("bits"))
 
 
 @query("{facts}, c AS (SELECT duration AS value, count(*) AS n FROM facts GROUP BY 1), t AS (SELECT sum(n) AS total, greatest(2, count(*) + 1) AS v FROM c) SELECT value, round(-log2((n + 0.25) / (total + 0.25 * v)), 6) + 0.0 AS bits, round(-log2(0.25 / (total + 0.25 * v)) + 2 * log2(abs(value + 100000) + 2) + 1, 6) + 0.0 AS unseen FROM c, t")
