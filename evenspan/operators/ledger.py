@@ -41,6 +41,49 @@ def evaluation(tokens: DataFrame, song: str, nats: str, events: str) -> DataFram
     return tokens.rollup(song).agg(F.grouping(song).alias("total"), F.sum(nats).alias("nats"), F.sum(events).alias("events"), (F.sum(nats) / F.greatest(F.lit(1), F.sum(events)) / math.log(2)).alias("bits_per_event"))
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def log_sum(x: Column) -> Column:
+    """log of the sum of exponentials of an array, by its largest; null for none."""
+    return _once(F.array_max(x), lambda m: m + F.ln(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - m))))
+
+
+def log_probabilities(logits: Column) -> Column:
+    return _once(log_sum(logits), lambda total: F.transform(logits, lambda x: x.cast("double") - total))
+
+
+def moved_classes(logp: Column, shift: Column) -> Column:
+    """The distribution of class + shift over as many classes; null where none comes from."""
+    return F.transform(F.sequence(F.lit(0), F.size(logp) - 1), lambda q: F.when((q - shift >= 0) & (q - shift < F.size(logp)), F.get(logp, q - shift)))
+
+
+def merged_classes(logp: Column, groups: int) -> Column:
+    """The distribution of class modulo ``groups``."""
+    return F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: log_sum(F.filter(logp, lambda _, i: F.pmod(i, F.lit(groups)) == g)))
+
+
+def tonal_evaluation(notes: DataFrame, keys: list[str], groups: int = 12) -> DataFrame:
+    """What predictions in a moved frame say of the pitches that sounded.
+
+    ``notes``: logits over classes in the frame, native (the target there), physical (the pitch that sounded) and shift
+    (physical less native).  Per key: nats of the native target, nats of the physical pitch under the distribution moved
+    back, their difference, nats of the physical pitch's class modulo ``groups``, and the share of notes whose best class
+    leaves the range when moved back.
+    """
+    rows = notes.withColumn("logp", log_probabilities(F.col("logits"))).withColumn("back", moved_classes(F.col("logp"), F.col("shift")))
+    best = F.array_position("logp", F.array_max("logp")).cast("int") - 1 + F.col("shift")
+    rows = rows.select(
+        *keys, (-F.get("logp", F.col("native"))).alias("native"), (-F.get("back", F.col("physical"))).alias("mapped"),
+        (-F.get(merged_classes(F.filter("back", lambda x: x.isNotNull()), groups), F.pmod(F.col("physical") - F.greatest(F.col("shift"), F.lit(0)), F.lit(groups)))).alias("merged"),
+        (~best.between(0, F.size("logp") - 1)).cast("double").alias("invalid"),
+    )
+    out = rows.groupBy(*keys).agg(F.count("*").alias("notes"), F.sum("native").alias("native_nats"), F.sum("mapped").alias("mapped_nats"), F.sum("merged").alias("class_nats"), F.avg("invalid").alias("invalid_rate"))
+    return out.withColumn("difference", F.abs(F.col("mapped_nats") - F.col("native_nats")))
+
+
 def wilson_lower(share: Column, n: Column, z: float = 1.96) -> Column:
     """Lower bound of Wilson's interval."""
     centre = share + z * z / (2 * n)

@@ -283,3 +283,16 @@ def declared_bits(spark, sf_dir):
 def pooled_onset_groups(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 10").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     return ledger.pooled_groups(e, ["label"], "v").select("label", F.col("dim").cast("bigint").alias("dim"), rounded(F.col("mean"), 5).alias("mean"))
+
+
+@query("""WITH r AS (SELECT label, (vec_id % 12 - 5)::INT AS s, (6 + vec_id * 7 % 52)::INT AS n, [x::DOUBLE * 3 FOR x IN embedding] AS z FROM embeddings), l AS (SELECT *, ln(list_sum([exp(x) FOR x IN z])) AS t FROM r),
+m AS (SELECT label, t - z[n + 1] AS native, t - z[n + s - s + 1] AS mapped, t - ln(list_sum([exp(z[q - s + 1]) FOR q IN range(64) IF q % 12 = (n + s) % 12 AND q - s BETWEEN 0 AND 63])) AS merged, list_position(z, list_max(z)) - 1 + s AS best FROM l)
+SELECT label, count(*) AS notes, round(sum(native), 5) + 0.0 AS native_nats, round(sum(mapped), 5) + 0.0 AS mapped_nats, round(sum(merged), 5) + 0.0 AS class_nats, round(avg(CASE WHEN best BETWEEN 0 AND 63 THEN 0 ELSE 1 END), 6) + 0.0 AS invalid_rate,
+ round(abs(sum(mapped) - sum(native)), 5) + 0.0 AS difference FROM m GROUP BY 1""")
+def tonal_evaluation(spark, sf_dir):
+    """Vectors as logits over 64 pitches in a frame that is moved by -5 to 6."""
+    v, shift = F.col("vec_id"), (F.pmod("vec_id", F.lit(12)) - 5).cast("int")
+    native = (6 + F.pmod(v * 7, F.lit(52))).cast("int")
+    rows = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double") * 3).alias("logits"), native.alias("native"), (native + shift).alias("physical"), shift.alias("shift"))
+    out = ledger.tonal_evaluation(rows, ["label"])
+    return out.select("label", "notes", *(rounded(F.col(c), 5).alias(c) for c in ("native_nats", "mapped_nats", "class_nats", "difference")), rounded(F.col("invalid_rate")).alias("invalid_rate"))

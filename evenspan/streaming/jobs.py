@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import shared_dir
+
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -47,9 +50,8 @@ def open_rests(facts: DataFrame) -> DataFrame:
 def collected(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a finite stream to its end into a table in memory, and return that."""
     writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if shared:  # state belongs in the folder that all executors share
-        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/streams/{name}")
+    # state belongs in the folder that all executors share
+    writer = writer.option("checkpointLocation", f"{shared_dir(stream.sparkSession)}/streams/{name}-{uuid.uuid4().hex}")
     q = writer.start()
     try:
         q.awaitTermination()
