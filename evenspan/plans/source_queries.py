@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus_build, governance, staged
+from ..operators import corpus_build, governance, ordered_digest, staged
 from ..operators import events as ev
 from ..sources import midi, readers, sinks
 from ..sources.shared import shared_dir
@@ -170,3 +170,11 @@ def streaming_timed_rests(spark, sf_dir):
         part.write.mode("append").parquet(f"{folder}/in")
         go()
     return spark.read.schema(rests.OUT).parquet(f"{folder}/out")
+
+
+@query("SELECT sha256(string_agg(doc_id::VARCHAR || chr(0) || sha256(coalesce(text, '')) || chr(10), '' ORDER BY doc_id::VARCHAR)) AS digest, count(*) AS files FROM documents")
+def source_tree_digest(spark, sf_dir):
+    """The flat digest over the documents as files, as hashing them one after the other gives it."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    got = ordered_digest.source_tree_receipt(d)
+    return spark.createDataFrame([(got["source_tree_sha256"], got["files"])], "digest string, files long")
