@@ -197,3 +197,25 @@ def first_donors(rows: DataFrame) -> DataFrame | None:
 def spliced(source: Column, donor: Column, first: int, stop: int) -> Column:
     """The source with places [first, stop) from the donor."""
     return F.concat(F.slice(source, 1, first), F.slice(donor, first + 1, stop - first), F.slice(source, F.lit(stop + 1), F.greatest(F.size(source) - stop, F.lit(0))))
+
+
+#: Bytes of an index that is sent to the vectors; a larger one meets them by a shuffle.
+INDEX_BYTES = 32 << 20
+
+
+def latent_windows(latents: DataFrame, index: DataFrame, key: str, values: str, width: int) -> DataFrame:
+    """The index's rows (key, start, ...) with ``slice``: ``width`` places of the key's array from ``start`` on.
+
+    The index is gathered by key into lists of its rows, so an array is joined once, whatever the number of its windows,
+    and isn't cut up; where the counted index fits, it goes to the arrays, which then aren't shuffled.  A window that
+    leaves its array is an error.
+    """
+    rest = [c for c in index.columns if c != key]
+    lists = index.groupBy(key).agg(F.collect_list(F.struct(*rest)).alias("_windows"))
+    fits = index.count() * 16 * len(index.columns) <= INDEX_BYTES
+    both = latents.select(key, values).join(F.broadcast(lists) if fits else lists, key)
+    rows = both.select(key, values, F.explode("_windows").alias("w"))
+    start = F.col("w.start")
+    inside = (start >= 0) & (start + width <= F.size(values))
+    part = F.when(inside, F.slice(values, start + 1, F.lit(width))).otherwise(F.raise_error(F.lit("a window leaves its array")).cast(latents.schema[values].dataType))
+    return rows.select(key, *(F.col(f"w.{c}").alias(c) for c in rest), part.alias("slice"))

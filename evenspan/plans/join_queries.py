@@ -296,3 +296,13 @@ def tonal_evaluation(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double") * 3).alias("logits"), native.alias("native"), (native + shift).alias("physical"), shift.alias("shift"))
     out = ledger.tonal_evaluation(rows, ["label"])
     return out.select("label", "notes", *(rounded(F.col(c), 5).alias(c) for c in ("native_nats", "mapped_nats", "class_nats", "difference")), rounded(F.col("invalid_rate")).alias("invalid_rate"))
+
+
+@query("""WITH w AS (SELECT o_orderkey AS window_id, o_custkey % (SELECT count(*) FROM embeddings) AS vec_id, (o_orderkey % 7 * 8)::INT AS start FROM orders)
+SELECT window_id, w.vec_id, round(list_sum([x::DOUBLE FOR x IN embedding[start + 1:start + 16]]), 4) + 0.0 AS total FROM w JOIN embeddings e ON e.vec_id = w.vec_id""")
+def latent_windows(spark, sf_dir):
+    """Windows of an index, drawn by the orders, as slices of the vectors, which aren't shuffled."""
+    e = table(spark, sf_dir, "embeddings")
+    index = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("window_id"), F.pmod("o_custkey", F.lit(e.count())).alias("vec_id"), (F.col("o_orderkey") % 7 * 8).cast("int").alias("start"))
+    got = relations.latent_windows(e.select("vec_id", "embedding"), index, "vec_id", "embedding", 16)
+    return got.select("window_id", "vec_id", rounded(F.aggregate("slice", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 4).alias("total"))

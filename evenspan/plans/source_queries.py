@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus_build, governance, ordered_digest, staged
 from ..operators import events as ev
-from ..sources import midi, readers, sinks
+from ..sources import metadata, midi, readers, sinks
 from ..sources.shared import shared_dir
 from ..streaming import jobs, rests
 from .base import facts, query, rounded, table
 from .lineage_queries import _LINES as HASHES
 
 
-def _files(spark, sf_dir):
-    """One MIDI file for each song, rendered from its notes without overlaps of a pitch."""
+def _note_lists(spark, sf_dir):
+    """Each song's notes without overlaps of a pitch."""
     w = ev.Window.partitionBy("song_id", "pitch").orderBy("onset")
     f = facts(spark, sf_dir).groupBy("song_id", "onset", "pitch").agg(F.max("duration").alias("duration"))
     f = f.withColumn("duration", F.least("duration", F.coalesce(F.lead("onset").over(w) - F.col("onset"), F.col("duration"))))
-    n = f.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("onset", "pitch", "duration"))).alias("notes"))
-    return midi.rendered(n.withColumnRenamed("song_id", "path"))
+    return f.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("onset", "pitch", "duration"))).alias("notes"))
+
+
+def _files(spark, sf_dir):
+    """One MIDI file for each song."""
+    return midi.rendered(_note_lists(spark, sf_dir).withColumnRenamed("song_id", "path"))
 
 
 _FLAT = "{facts}, m AS (SELECT song_id, onset, pitch, max(duration) AS d FROM facts GROUP BY 1, 2, 3), n AS (SELECT song_id::VARCHAR AS song_id, onset, pitch, least(d, coalesce(lead(onset) OVER (PARTITION BY song_id, pitch ORDER BY onset) - onset, d)) AS duration FROM m)"
@@ -178,3 +182,27 @@ def source_tree_digest(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     got = ordered_digest.source_tree_receipt(d)
     return spark.createDataFrame([(got["source_tree_sha256"], got["files"])], "digest string, files long")
+
+
+@query("""{facts}, s AS (SELECT song_id, count(*) AS n FROM (SELECT DISTINCT song_id, onset, pitch FROM facts) GROUP BY 1) SELECT song_id::VARCHAR AS sample_id, CASE WHEN song_id % 7 = 0 THEN 'missing' WHEN song_id % 13 = 1 THEN 'unreadable' WHEN song_id % 11 = 2 THEN 'key' WHEN song_id % 17 = 3 THEN 'meter' END AS fault,
+ CASE WHEN song_id % 7 <> 0 AND song_id % 13 <> 1 AND song_id % 11 <> 2 AND song_id % 17 <> 3 THEN n ELSE 0 END::BIGINT AS notes FROM s WHERE song_id % 5 <> 0""")
+def metadata_scan(spark, sf_dir):
+    """Songs as files that a table of metadata names; some are missing, broken, or in another key or meter than it says."""
+    n = F.col("song_id")
+    notes = _note_lists(spark, sf_dir)
+    root, folder = "commu_midi/train/raw/", f"{shared_dir(spark)}/evenspan-metadata-{uuid.uuid4().hex}"
+    meta = notes.select(n.cast("string").alias("id"), F.lit("train").alias("split_data"), F.when((n % 2 == 0) != (n % 11 == 2), "cmajor").otherwise("aminor").alias("audio_key"), F.when(n % 5 == 0, "3/4").otherwise("4/4").alias("time_signature"), F.lit(8).alias("num_measures"))
+    meta.write.option("header", True).csv(folder)
+    kinds = notes.select(F.concat(F.lit(root), n.cast("string"), F.lit(".mid")).alias("path"), "notes", F.when(n % 2 == 0, "C").otherwise("Am").alias("key"), F.when(n % 17 == 3, 3).otherwise(4).alias("beats"), (n % 13 == 1).alias("broken"), (n % 7 == 0).alias("gone"))
+    files = kinds.where("not gone").drop("gone").mapInArrow(metadata_scan_files, "path string, content binary")
+    got = metadata.scanned(metadata.read_metadata(spark, folder, "4/4"), files)
+    return got.select("sample_id", "fault", "note_count").withColumnRenamed("note_count", "notes")
+
+
+def metadata_scan_files(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        path, notes, key, beats, broken = (c.to_pylist() for c in b.columns)
+        files = [b"MThd" if x else midi.render([(5 * t["onset"], t["pitch"], 5 * t["duration"]) for t in v], 480, k, (m, 4)) for v, k, m, x in zip(notes, key, beats, broken)]
+        yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(files, pa.binary())], ["path", "content"])

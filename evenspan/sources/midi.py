@@ -141,10 +141,15 @@ def parse(data: bytes, strict: bool = False, per_beat: int | None = 96) -> dict:
     return {"ppq": ppq, "meters": meters, "keys": [e[2] for e in flat if e[1] == "key"], "drum_notes": drums, "notes": notes}
 
 
-def render(notes: list[tuple[int, int, int]], per_beat: int = 96) -> bytes:
-    """A format 0 file of (onset, pitch, duration): ends come before notes of the same tick."""
+def render(notes: list[tuple[int, int, int]], per_beat: int = 96, key: str | None = None, meter: tuple[int, int] | None = None) -> bytes:
+    """A format 0 file of (onset, pitch, duration): ends come before notes of the same tick; a key and a meter (its lower number a power of two) stand at the start."""
     moves = sorted([(o + d, 0, p) for o, p, d in notes] + [(o, 1, p) for o, p, d in notes])
     body, now = bytearray(), 0
+    if meter:
+        body += bytes((0, 0xFF, 0x58, 4, meter[0], meter[1].bit_length() - 1, 24, 8))
+    if key:
+        names = MINOR if key in MINOR else MAJOR
+        body += bytes((0, 0xFF, 0x59, 2, (names.index(key) - 7) & 255, int(names is MINOR)))
     for tick, on, pitch in moves:
         step, parts = tick - now, []
         while True:
