@@ -99,12 +99,12 @@ class CacheWriter(DataSourceArrowWriter):
         if fs.get_file_info(at).type.name != "NotFound":
             raise FileExistsError(f"{self.path} exists")
         self.building = f"{self.path}.building-{uuid.uuid4().hex}"
+        fs.create_dir(located(self.building)[1], recursive=True)  # once: a task that outlives the job's end finds no folder to write to
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
         import pyarrow.parquet as pq
 
         fs, at = located(self.building)
-        fs.create_dir(at, recursive=True)
         part, digest, marked = Part(uuid.uuid4().hex), hashlib.sha256(), -RANGE
         index: dict[str, list] = {"sample_id": [], "split": [], "first": [], "rows": [], "events": []}
         try:
@@ -143,7 +143,6 @@ class CacheWriter(DataSourceArrowWriter):
 
         parts = sorted((m for m in messages if m and m.samples), key=lambda m: (m.least, m.name))
         fs, at = located(self.building)
-        fs.create_dir(at, recursive=True)
         known = {f"{kind}-{p.name}.{end}" for p in parts for kind, end in (("tokens", "bin"), ("samples", "parquet"))}
         for info in fs.get_file_info(pafs.FileSelector(at)):
             if info.base_name not in known:  # of attempts that didn't count
