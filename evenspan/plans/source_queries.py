@@ -148,32 +148,26 @@ def streaming_sessions(spark, sf_dir):
     return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
+def _parts(rows, n=2):
+    """The rows in parts by ranges of onset, in order, and the last onset."""
+    first, last = rows.agg(F.coalesce(F.min("onset"), F.lit(0)), F.coalesce(F.max("onset"), F.lit(0))).first()
+    bounds = [first + (last + 1 - first) * i // n for i in range(n + 1)]
+    return [rows.where(F.col("onset").between(a, b - 1)) for a, b in zip(bounds, bounds[1:])], last
+
+
 @query("{gaps} SELECT song_id, coalesce(reach, 0) AS onset, onset - coalesce(reach, 0) AS duration FROM gaps WHERE onset > coalesce(reach, 0)")
 def streaming_rests(spark, sf_dir):
-    stream = ev.facts_of(jobs.event_stream(spark, f"{sf_dir}/events*.parquet"))
-    return jobs.collected(jobs.open_rests(stream), f"rests_{uuid.uuid4().hex}", "append")
+    """Rests of a stream of parts of the facts, each later than the one before."""
+    return jobs.by_parts(_parts(facts(spark, sf_dir).select("song_id", "onset", "duration", "pitch"))[0], jobs.open_rests)
 
 
 @query("{gaps} SELECT song_id, reach AS onset, onset - reach AS duration FROM gaps WHERE onset - reach >= 1")
 def streaming_timed_rests(spark, sf_dir):
     """Rests of a stream in state with timers; it is stopped after each part of the facts and started again from its checkpoint."""
-    folder = f"{shared_dir(spark)}/evenspan-rests-{uuid.uuid4().hex}"
     minute = F.timestamp_millis((F.lit(1704067200) + F.col("onset") * 60) * 1000)
-    f = facts(spark, sf_dir).select("song_id", minute.alias("ts"), "onset", "duration")
-    first, last = f.agg(F.coalesce(F.min("onset"), F.lit(0)), F.coalesce(F.max("onset"), F.lit(0))).first()
-    bounds = [first + (last + 1 - first) * i // 2 for i in range(3)]
-    end = f.limit(0).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("song_id"), F.timestamp_millis(F.lit((1704067200 + (last + 10_000) * 60) * 1000)).alias("ts"), F.lit(last + 10_000).cast("long").alias("onset"), F.lit(1).cast("long").alias("duration")))
-    parts = [f.where(F.col("onset").between(a, b - 1)) for a, b in zip(bounds, bounds[1:])] + [end]
-
-    def go():
-        stream = spark.readStream.schema("song_id long, ts timestamp, onset long, duration long").parquet(f"{folder}/in")
-        out = rests.timed_rests(stream, "1 hour", idle_ms=10 * 365 * 86_400_000).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-        out.trigger(availableNow=True).start().awaitTermination()
-
-    for part in parts:
-        part.write.mode("append").parquet(f"{folder}/in")
-        go()
-    return spark.read.schema(rests.OUT).parquet(f"{folder}/out")
+    parts, last = _parts(facts(spark, sf_dir).select("song_id", minute.alias("ts"), "onset", "duration"))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("song_id"), F.timestamp_millis(F.lit((1704067200 + (last + 10_000) * 60) * 1000)).alias("ts"), F.lit(last + 10_000).cast("long").alias("onset"), F.lit(1).cast("long").alias("duration"))
+    return jobs.by_parts([*parts, end], lambda stream: rests.timed_rests(stream, "1 hour", idle_ms=10 * 365 * 86_400_000))
 
 
 @query("SELECT sha256(string_agg(doc_id::VARCHAR || chr(0) || sha256(coalesce(text, '')) || chr(10), '' ORDER BY doc_id::VARCHAR)) AS digest, count(*) AS files FROM documents")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +47,27 @@ def open_rests(facts: DataFrame) -> DataFrame:
     return facts.groupBy("song_id").applyInPandasWithState(_rests, "song_id long, onset long, duration long", "reach long", "append", GroupStateTimeout.NoTimeout)
 
 
+def ran(stream: DataFrame, folder: str) -> None:
+    """Run a stream to the end of what there is, into files; a run in the same folder goes on from the checkpoint of the one before."""
+    # output, checkpoint and state are in the folder that all executors share: none of it passes through the driver
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    q = writer.trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+
+
+def by_parts(parts: list[DataFrame], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``operator`` makes of a stream of parts: it is stopped after each part and started again from its checkpoint."""
+    spark, folder = parts[0].sparkSession, f"{shared_dir(parts[0].sparkSession)}/streams/{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        made = operator(spark.readStream.schema(part.schema).parquet(f"{folder}/in"))
+        ran(made, folder)
+    return spark.read.schema(made.schema).parquet(f"{folder}/out")
+
+
 def collected(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a finite stream to its end into a table in memory, and return that."""
     writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
