@@ -137,14 +137,14 @@ def redacted_json(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2")
 def streaming_windows(spark, sf_dir):
-    got = jobs.collected(jobs.tumbling(jobs.event_stream(spark, f"{sf_dir}/events*.parquet")), f"windows_{uuid.uuid4().hex}")
+    got = jobs.closed(spark, f"{sf_dir}/events*.parquet", jobs.tumbling)
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", rounded(F.col("total"), 4).alias("total"))
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC) AS sid FROM e)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS stop, count(*) AS n FROM s GROUP BY user_id, sid""")
 def streaming_sessions(spark, sf_dir):
-    got = jobs.collected(jobs.sessions(jobs.event_stream(spark, f"{sf_dir}/events*.parquet")), f"sessions_{uuid.uuid4().hex}")
+    got = jobs.closed(spark, f"{sf_dir}/events*.parquet", jobs.sessions)
     return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..sources.shared import shared_dir
+from .rests import use_state_store
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -68,14 +70,21 @@ def by_parts(parts: list[DataFrame], operator: Callable[[DataFrame], DataFrame])
     return spark.read.schema(made.schema).parquet(f"{folder}/out")
 
 
-def collected(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a finite stream to its end into a table in memory, and return that."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    # state belongs in the folder that all executors share
-    writer = writer.option("checkpointLocation", f"{shared_dir(stream.sparkSession)}/streams/{name}-{uuid.uuid4().hex}")
-    q = writer.start()
-    try:
-        q.awaitTermination()
-    finally:
-        q.stop()
-    return stream.sparkSession.table(name)
+def closed(spark: SparkSession, path: str, operator: Callable[..., DataFrame]) -> DataFrame:
+    """What ``operator`` makes of all events, in whatever order their files come: the watermark stays behind the first event.
+
+    A mark that is read after the last event moves the watermark beyond it, which closes what is open; what holds the mark itself stays open.
+    """
+    use_state_store(spark)
+    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    first, last = spark.read.schema(SCHEMA).parquet(path).agg(F.coalesce(F.min(second), F.lit(0)), F.coalesce(F.max(second), F.lit(0))).first()
+    late = last - first + 1
+    at = F.timestamp_seconds(F.lit(last + late + 2 * 86_400)).cast("timestamp_ntz")
+    mark = spark.range(1).select(*(at.alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMA)))
+    mark.limit(0).write.parquet(f"{folder}/mark")
+    for _ in range(2):
+        made = operator(event_stream(spark, path).unionByName(event_stream(spark, f"{folder}/mark")), late=f"{late} seconds")
+        ran(made, folder)
+        mark.write.mode("append").parquet(f"{folder}/mark")
+    return spark.read.schema(made.schema).parquet(f"{folder}/out")

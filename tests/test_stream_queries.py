@@ -22,7 +22,7 @@ def reversed_events(tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["streaming_rests"])
+@pytest.mark.parametrize("name", ["streaming_rests", "streaming_sessions", "streaming_windows"])
 def test_files_in_any_order(spark, reversed_events, name):
     got = registry.queries()[name](spark, reversed_events)
     assert "parquet" in got._jdf.queryExecution().analyzed().toString() and got.inputFiles()
