@@ -7,6 +7,7 @@ forgotten: its state is cleared, and if it comes again it starts anew, at the on
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,10 @@ OUT = "song_id long, onset long, duration long"
 
 
 class Rests(StatefulProcessor):
-    """State of a song: its reach, and the facts that wait; the timers are at their times, and at the end of idleness."""
+    """State of a song: its reach, and the facts that wait; timers are at the first of these, and at the end of idleness.
+
+    A timer takes all facts that the watermark has passed, so the waiting ones are read once for each move of the watermark.
+    """
 
     def __init__(self, idle_ms: int) -> None:
         self.idle = idle_ms
@@ -29,36 +33,39 @@ class Rests(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "at long, onset long, duration long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now, timers = timerValues.getCurrentWatermarkInMs(), set(self.handle.listTimers())
+        first = None
         for part in rows:
             at = part["ts"].astype("int64") // (10**9 if "[s" in str(part["ts"].dtype) else 10**3 if "[us" in str(part["ts"].dtype) else 10**6)
-            for t, onset, duration in zip(at.tolist(), part["onset"].tolist(), part["duration"].tolist()):
-                self.waiting.appendValue((int(t), int(onset), int(duration)))
-                if max(t, now + 1) not in timers:
-                    timers.add(max(t, now + 1))
-                    self.handle.registerTimer(int(max(t, now + 1)))
+            self.waiting.appendList(list(zip(at.tolist(), part["onset"].tolist(), part["duration"].tolist())))
+            first = at.min() if first is None else min(first, at.min())
+        if first is not None:
+            self.handle.registerTimer(int(max(first, timerValues.getCurrentWatermarkInMs() + 1)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         state = self.reach.get() if self.reach.exists() else None
         reach, last = (state[0], state[1]) if state else (None, None)
-        facts = sorted((r[1], r[2], r[0]) for r in self.waiting.get()) if self.waiting.exists() else []
-        due, later = [f for f in facts if f[2] <= at], [f for f in facts if f[2] > at]
+        facts = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due = bisect_right(facts, now, key=lambda f: f[0])
         out = []
-        for onset, duration, t in due:
+        for t, onset, duration in facts[:due]:
+            if last is not None and t > last + self.idle:
+                reach = None
             if reach is not None and onset > reach:
                 out.append((key[0], reach, onset - reach))
-            reach, last = max(reach if reach is not None else onset, onset + duration), max(t, last or t)
+            reach, last = max(reach if reach is not None else onset, onset + duration), t
         if due:
-            if later:
-                self.waiting.put([(t, onset, duration) for onset, duration, t in later])
+            if due < len(facts):
+                self.waiting.put(facts[due:])
+                self.handle.registerTimer(int(facts[due][0]))
             else:
                 self.waiting.clear()
+        if last is not None and now >= last + self.idle:
+            self.reach.clear()
+        elif due:
             self.reach.update((int(reach), int(last)))
             self.handle.registerTimer(int(last + self.idle))
-        elif not later and last is not None and at >= last + self.idle:
-            self.reach.clear()
         yield pd.DataFrame(out, columns=["song_id", "onset", "duration"])
 
     def close(self) -> None:

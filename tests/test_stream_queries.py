@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from evenspan.plans import registry
+from evenspan.streaming import rests
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +33,66 @@ def test_files_in_any_order(spark, reversed_events, name):
     cols = sorted(want.columns)
     a, b = (x[cols].sort_values(cols).reset_index(drop=True).astype(str) for x in (got.toPandas(), want))
     assert len(a) and a.equals(b)
+
+
+class Held:
+    """State of one key in memory that counts how often it is read as a whole."""
+
+    def __init__(self):
+        self.rows, self.reads, self.timers = None, 0, set()
+
+    def getValueState(self, *_):
+        return Held()
+
+    def getListState(self, *_):
+        self.list = Held()
+        return self.list
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.reads += 1
+        return self.rows
+
+    def appendValue(self, row):
+        self.rows = [*(self.rows or []), row]
+
+    def appendList(self, rows):
+        self.rows = [*(self.rows or []), *rows]
+
+    def put(self, rows):
+        self.rows = rows
+
+    update = put
+
+    def clear(self):
+        self.rows = None
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_waiting_facts_are_read_once_a_watermark():
+    n, h = 300, Held()
+    state = rests.Rests(1000)
+    state.init(h)
+    onset = list(range(10, 10 * n + 1, 10)) + [10 * n + 5000]  # the last one after the idle time
+    h.now = 0
+    list(state.handleInputRows((7,), iter([pd.DataFrame({"ts": pd.to_datetime(onset, unit="ms").astype("datetime64[ns]"), "onset": onset, "duration": [4] * len(onset)})]), h))
+    h.now, out = 10**6, []
+    while h.timers:
+        h.at = min(h.timers)
+        h.timers.remove(h.at)
+        out += [tuple(r) for part in state.handleExpiredTimer((7,), h, h) for r in part.itertuples(index=False)]
+    assert out == [(7, t + 4, 6) for t in onset[:-2]]  # no rest over the idle time, though one batch brought both sides of it
+    assert h.list.reads <= 3
