@@ -14,7 +14,7 @@ _ARMS = "r AS (SELECT chr(65 + (o_custkey % 4)::INT) AS arm, o_custkey // 4 AS s
 def _arms(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     arm = F.element_at(F.array(*map(F.lit, "ABCD")), (F.pmod("o_custkey", F.lit(4)) + 1).cast("int"))
-    return o.groupBy(arm.alias("arm"), F.expr("o_custkey div 4").alias("seed")).agg(F.avg(F.col("o_totalprice") / 1000).alias("bits"), F.count("*").alias("facts"))
+    return o.groupBy(arm.alias("arm"), F.expr("o_custkey div 4").alias("seed")).agg(ledger.ordered_mean(F.col("o_totalprice") / 1000, F.col("o_orderkey")).alias("bits"), F.count("*").alias("facts"))
 
 
 @query(f"""WITH {_ARMS}, p(left_arm, right_arm) AS (VALUES ('A', 'B'), ('A', 'C'), ('D', 'B')), d AS (SELECT left_arm, right_arm, a.bits - b.bits AS d FROM p JOIN r a ON a.arm = left_arm JOIN r b ON b.arm = right_arm AND a.seed = b.seed)
