@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ def seeded_key(seed: int, purpose: str, value: Column) -> Column:
 
 def reduced_fraction(ticks: Column, per_beat: int = 96) -> Column:
     """Ticks as a reduced fraction of a beat, numerator/denominator."""
-    divisors = [d for d in range(per_beat, 0, -1) if per_beat % d == 0]
-    gcd = F.coalesce(*(F.when(F.pmod(ticks, F.lit(d)) == 0, F.lit(d)) for d in divisors))
-    return F.concat_ws("/", F.floor(ticks / gcd).cast("string"), F.floor(F.lit(per_beat) / gcd).cast("string"))
+    # the divisor depends on the rest alone, so it is looked up in an array that is folded into one literal
+    at = F.pmod(ticks, F.lit(per_beat)).cast("int")
+    by = F.get(F.array(*(F.lit(gcd(i, per_beat)) for i in range(per_beat))), at)
+    under = F.get(F.array(*(F.lit(str(per_beat // gcd(i, per_beat))) for i in range(per_beat))), at)
+    return F.concat_ws("/", F.call_function("div", ticks.cast("bigint"), by.cast("bigint")).cast("string"), under)
 
 
 def json_text(*fields: tuple[str, Column, bool]) -> Column:

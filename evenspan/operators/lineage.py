@@ -38,34 +38,31 @@ def line_hashes(facts: DataFrame, version: str = "v1", per_beat: int = 96) -> Da
     The transposed form counts pitches from the lowest at the first onset; the rhythm form has a line for each onset
     with the motion of its lowest and highest pitch and the pitch classes above the lowest.
     """
-    notes = facts.where("event_type = 'NOTE'")
-    whole = Window.partitionBy("song_id")
-    notes = notes.withColumn("start", F.min("onset").over(whole))
-    base = F.min(F.when(F.col("onset") == F.col("start"), F.col("pitch"))).over(whole)
-    notes = notes.withColumn("base", base)
-    frac = reduced_fraction(F.col("onset") - F.col("start"), per_beat)
-    dur = reduced_fraction(F.col("duration"), per_beat)
-    order = F.struct("onset", "pitch", "duration")
-
-    def lines(kind: str, body: Column) -> Column:
-        return F.sha2(F.concat_ws("\n", F.lit(version), F.lit(f"kind={kind}"), body, F.lit("")), 256)
-
-    flat = notes.groupBy("song_id").agg(
-        lines("exact", ordered_text(order, F.concat_ws("|", F.lit("NOTE"), frac, F.col("pitch").cast("string"), dur), "\n")).alias("exact"),
-        lines("transposition_invariant", ordered_text(order, F.concat_ws("|", F.lit("NOTE"), frac, (F.col("pitch") - F.col("base")).cast("string"), dur), "\n")).alias("transposed"),
-    )
-    groups = notes.groupBy("song_id", "onset").agg(F.array_sort(F.collect_list(F.struct("pitch", "duration", dur.alias("d")))).alias("g"))
+    # all steps are within a song, so its notes are dealt once
+    notes = facts.where("event_type = 'NOTE' and song_id is not null").select("song_id", "onset", "pitch", "duration").repartition("song_id")
+    groups = notes.groupBy("song_id", "onset").agg(F.array_sort(F.collect_list(F.struct("pitch", "duration"))).alias("g"))
     w = Window.partitionBy("song_id").orderBy("onset")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     low, high = F.col("g")[0]["pitch"], F.element_at("g", -1)["pitch"]
-    groups = groups.select("*", low.alias("low"), F.lag(low).over(w).alias("plow"), high.alias("high"), F.lag(high).over(w).alias("phigh"), (F.col("onset") - F.coalesce(F.lag("onset").over(w), F.col("onset"))).alias("step"))
+    groups = groups.select("*", low.alias("low"), high.alias("high"), F.array_min(F.transform("g", lambda n: n["pitch"])).alias("least"), F.min("onset").over(whole).alias("start"))
+    groups = groups.select("*", F.lag("low").over(w).alias("plow"), F.lag("high").over(w).alias("phigh"), (F.col("onset") - F.coalesce(F.lag("onset").over(w), F.col("onset"))).alias("step"), F.min(F.when(F.col("onset") == F.col("start"), F.col("least"))).over(whole).alias("base"))
+    groups = groups.withColumn("at", reduced_fraction(F.col("onset") - F.col("start"), per_beat)).withColumn("g", F.transform("g", lambda n: F.struct(n["pitch"].alias("pitch"), reduced_fraction(n["duration"], per_beat).alias("d"))))
 
     def motion(a: str, b: str) -> Column:
         return F.coalesce(F.pmod(F.col(a) - F.col(b), F.lit(12)).cast("string"), F.lit("START"))
 
+    def flat(pitch) -> Column:
+        return F.array_join(F.transform("g", lambda n: F.concat_ws("|", F.lit("NOTE"), F.col("at"), pitch(n["pitch"]).cast("string"), n["d"])), "\n")
+
     inner = F.array_join(F.transform("g", lambda n: F.concat_ws(":", F.pmod(n["pitch"] - F.col("low"), F.lit(12)).cast("string"), n["d"])), ",")
     line = F.concat(F.lit("ONSET|"), reduced_fraction(F.col("step"), per_beat), F.lit("|N="), F.size("g").cast("string"), F.lit("|B="), motion("low", "plow"), F.lit("|T="), motion("high", "phigh"), F.lit("|"), inner)
-    rhythm = groups.groupBy("song_id").agg(lines("rhythm_interval", ordered_text(F.col("onset"), line, "\n")).alias("rhythm"))
-    return flat.join(rhythm, "song_id")
+    rows = groups.select("song_id", F.struct("onset", flat(lambda p: p).alias("exact"), flat(lambda p: p - F.col("base")).alias("transposed"), line.alias("rhythm")).alias("x"))
+    songs = rows.groupBy("song_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+
+    def lines(kind: str, form: str) -> Column:
+        return F.sha2(F.concat_ws("\n", F.lit(version), F.lit(f"kind={kind}"), F.array_join(F.col(f"x.{form}"), "\n"), F.lit("")), 256).alias(form)
+
+    return songs.select("song_id", lines("exact", "exact"), lines("transposition_invariant", "transposed"), lines("rhythm_interval", "rhythm"))
 
 
 def note_content_hash(facts: DataFrame) -> DataFrame:
