@@ -76,12 +76,23 @@ def note_content_hash(facts: DataFrame) -> DataFrame:
 def components(members: DataFrame, relations: list[str], key: str = "song_id") -> DataFrame:
     """key, root (the smallest key that is connected): samples that share the value of any relation are connected.
 
-    Labels pass from samples to values and back until none changes, so a value's samples are never paired.
+    Samples that agree in all relations are one class, which the smallest of them stands for.  Labels pass from classes
+    to values and back until none changes, so a value's samples are never paired; only classes that share a value take part.
     """
-    links = reduce(DataFrame.unionByName, (members.select(F.col(key).alias("node"), F.struct(F.lit(r).alias("r"), F.col(r).alias("v")).alias("value")).where(F.col(r).isNotNull()) for r in relations))
+    some = reduce(Column.__or__, (F.col(r).isNotNull() for r in relations))
+    classes = checkpointed(members.where(some).groupBy(*relations).agg(F.min(key).alias("rep")))
+    links = reduce(DataFrame.unionByName, (classes.select(F.col("rep").alias("node"), F.struct(F.lit(r).alias("r"), F.col(r).alias("v")).alias("value")).where(F.col(r).isNotNull()) for r in relations))
     shared = links.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
     links = checkpointed(links.join(shared, "value", "left_semi"))
-    labels = checkpointed(members.select(F.col(key).alias("node"), F.col(key).alias("label")))
+    labels = checkpointed(links.select("node").distinct().withColumn("label", F.col("node")))
+    labels = labels if links.isEmpty() else _least_labels(links, labels)
+    rooted = classes.join(labels, classes["rep"] == labels["node"], "left").select(*(F.col(r).alias(f"_{r}") for r in relations), F.coalesce("label", "rep").alias("_root"))
+    same = reduce(Column.__and__, (F.col(r).eqNullSafe(F.col(f"_{r}")) for r in relations))
+    return members.select(key, *relations).join(rooted, same, "left").select(key, F.coalesce("_root", key).alias("root"))
+
+
+def _least_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label: the smallest node that is reachable over values."""
     while True:
         least = links.join(labels, "node").groupBy("value").agg(F.min("label").alias("l"))
         better = links.join(least, "value").groupBy("node").agg(F.min("l").alias("l"))
@@ -91,7 +102,7 @@ def components(members: DataFrame, relations: list[str], key: str = "song_id") -
         roots = moved.select(F.col("node").alias("label"), F.col("label").alias("next"))
         jumped = checkpointed(moved.join(roots, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "was"))
         if jumped.where("label <> was").isEmpty():
-            return jumped.select(F.col("node").alias(key), F.col("label").alias("root"))
+            return jumped.select("node", "label")
         labels = jumped.drop("was")
 
 

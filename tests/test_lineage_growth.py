@@ -17,3 +17,19 @@ def test_notes_are_dealt_once(spark):
     facts = spark.createDataFrame(rows, "song_id long, event_type string, onset long, duration long, pitch int")
     n, plan = shuffles(lineage.line_hashes(facts))
     assert n == 1 and "Join" not in plan
+
+
+def test_copies_are_one_class(spark, monkeypatch):
+    held = []
+    kept = lineage.checkpointed
+
+    def counted(df):
+        df = kept(df)
+        held.append(df.count())
+        return df
+
+    monkeypatch.setattr(lineage, "checkpointed", counted)
+    rows = [(i, "x" if i % 2 else "y", "z" if i < 300 else "w") for i in range(400)] + [(1000, None, None), (1001, None, None), (1002, "x", None)]
+    got = {r["song_id"]: r["root"] for r in lineage.components(spark.createDataFrame(rows, "song_id long, a string, b string"), ["a", "b"]).collect()}
+    assert got == {**{i: 0 for i in range(400)}, 1000: 1000, 1001: 1001, 1002: 0}
+    assert max(held) < 20
