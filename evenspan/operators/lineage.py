@@ -123,20 +123,28 @@ def duplicate_members(rows: DataFrame, value: str, key: str = "song_id") -> Data
     return rows.join(sizes, value).select(key, value, "group_size")
 
 
+def _seen(rows: DataFrame, fields: list[str], split: str) -> DataFrame:
+    """field, value, splits: the splits that each value is in; nulls don't count."""
+    long = rows.select(split, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)))).where("value is not null")
+    return long.groupBy("field", "value").agg(F.collect_set(split).alias("splits"))
+
+
+def _crossings(seen: DataFrame) -> DataFrame:
+    return seen.groupBy("field").agg(F.count("*").alias("groups"), F.count_if(F.size("splits") > 1).alias("crossing"))
+
+
 def crossings(rows: DataFrame, fields: list[str], split: str = "split") -> DataFrame:
     """field, groups, crossing: how many values of each field there are, and how many are in more than one split; nulls don't count."""
-    long = rows.select(split, F.explode(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f).cast("string"))))).alias("field", "value")).where("value is not null")
-    seen = long.groupBy("field", "value").agg(F.min(split).alias("a"), F.max(split).alias("b"))
-    return seen.groupBy("field").agg(F.count("*").alias("groups"), F.count_if(F.col("a") != F.col("b")).alias("crossing"))
+    return _crossings(_seen(rows, fields, split))
 
 
 def crossing_report(rows: DataFrame, fields: list[str], split: str = "split") -> DataFrame:
-    """Summary rows (PASS or FAIL) of each relation, and a row for each value that crosses."""
-    found = crossings(rows, fields, split)
+    """Summary rows (PASS or FAIL) of each relation, and a row for each value that crosses; both read one shuffle."""
+    seen = _seen(rows, fields, split)
+    found = _crossings(seen)
     summary = found.select(F.col("field").alias("relation"), F.lit("__SUMMARY__").alias("key"), F.when(F.col("crossing") == 0, "PASS").otherwise("FAIL").alias("status"), F.concat_ws(";", F.concat(F.lit("groups="), F.col("groups")), F.concat(F.lit("cross_split_groups="), F.col("crossing"))).alias("details"))
-    long = rows.select(split, F.explode(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f).cast("string"))))).alias("field", "value")).where("value is not null")
-    bad = long.groupBy("field", "value").agg(F.array_join(F.array_sort(F.collect_set(split)), ",").alias("splits")).where("splits like '%,%'")
-    return summary.unionByName(bad.select(F.col("field").alias("relation"), F.col("value").alias("key"), F.lit("FAIL").alias("status"), F.col("splits").alias("details")))
+    bad = seen.where(F.size("splits") > 1)
+    return summary.unionByName(bad.select(F.col("field").alias("relation"), F.col("value").alias("key"), F.lit("FAIL").alias("status"), F.array_join(F.array_sort("splits"), ",").alias("details")))
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:

@@ -33,3 +33,9 @@ def test_copies_are_one_class(spark, monkeypatch):
     got = {r["song_id"]: r["root"] for r in lineage.components(spark.createDataFrame(rows, "song_id long, a string, b string"), ["a", "b"]).collect()}
     assert got == {**{i: 0 for i in range(400)}, 1000: 1000, 1001: 1001, 1002: 0}
     assert max(held) < 20
+
+
+def test_values_are_grouped_once(spark):
+    rows = spark.range(100).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("split"), (F.col("id") % 40).cast("string").alias("x"), F.col("id").cast("string").alias("y"))
+    n, plan = shuffles(lineage.crossing_report(rows, ["x", "y"]))
+    assert "ReusedExchange" in plan or n == 2
