@@ -336,7 +336,10 @@ def _components(docs: DataFrame, threshold: float, words: int, rows: int, bands:
     keys = classes.select("rep", F.explode("bands").alias("band"))
     buckets = stored(keys.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
     stars = hot_join(keys, buckets, ["band"], "inner", buckets.count(), 48, "n").where("rep <> centre")
-    groups = connected_components(stars.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    # a member is tied to the smallest of its centres, and the others to that one: as connected, with far fewer different ties
+    ties = stars.groupBy("rep").agg(F.collect_set("centre").alias("centres")).withColumn("first", F.array_min("centres"))
+    ties = ties.select(F.explode(F.array_append("centres", F.col("rep"))).alias("a"), F.col("first").alias("b"))
+    groups = connected_components(ties)
 
     def texts_of(wanted: DataFrame, many: int) -> DataFrame:
         found = docs.select(F.col("doc_id").alias("least"), F.xxhash64("text").alias("t"), "text")
