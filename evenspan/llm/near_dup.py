@@ -14,8 +14,9 @@ register, and two sets share a register with (almost exactly) their Jaccard simi
    full sets.  A member already in the group's main component needs no search of its own, as pairs within it are
    connected anyhow; so a large group of near copies costs little more than its size, and no link is lost.
    Groups of over ``ROWS`` members or ``BLOCK`` shingles are dealt into parts, each searched together with the
-   group's first member, in a task for each part.  Only members that this leaves outside the first member's component
-   are then searched for in all parts of their group, in a task for each part and ``ROWS`` of them.
+   group's hub, the member that has most others in its buckets, in a task for each part.  After that, only buckets with
+   members of several components are searched, and in them only pairs of different components; large buckets are dealt
+   into parts too.  A task gives as many links as it joins components, never all its pairs.
 4. Components of the confirmed links give each class its smallest reachable id.
 
 Defined cases: a text of fewer words than a shingle is one shingle; a null, empty or blank text has an empty set and
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,10 +164,11 @@ def joint_estimate(more: np.ndarray, less: np.ndarray, same: np.ndarray, na: flo
     return np.take_along_axis(j, score.argmax(1)[:, None], 1)[:, 0]
 
 
-def links(sets: list[np.ndarray], threshold: float, m: int, wanted: list[bool] | None = None) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], threshold: float, m: int, wanted: list[bool] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs that connect exactly what the pairs of similarity ``threshold`` or more connect, among non-empty sets.
 
-    With ``wanted``, only the sets that are marked there are searched for: all their pairs are found.
+    With ``wanted``, only pairs of the sets that are marked there count, and ``known`` has a number for each set's
+    component so far: pairs inside a component aren't looked at.  There are never more pairs than components.
     """
     n = len(sets)
     if n < 2 or wanted is not None and not any(wanted):
@@ -188,9 +190,11 @@ def links(sets: list[np.ndarray], threshold: float, m: int, wanted: list[bool] |
 
     found: list[tuple[int, int]] = []
 
+    comp = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1].reshape(-1)
+
     def search(z: int) -> np.ndarray:
         gap = np.minimum(sizes, sizes[z]) >= threshold * np.maximum(sizes, sizes[z]) - 1e-9
-        gap[z] = False
+        gap[comp == comp[z]] = False
         others = np.flatnonzero(gap)
         if len(others):
             r = registers[others]
@@ -207,7 +211,12 @@ def links(sets: list[np.ndarray], threshold: float, m: int, wanted: list[bool] |
         return others[100 * shared >= round(100 * threshold) * union]
 
     if wanted is not None:
-        return [(z, y) for z in range(n) if wanted[z] for y in search(z).tolist()]
+        for z in np.flatnonzero(wanted).tolist():
+            for y in search(z).tolist():
+                if comp[y] != comp[z]:
+                    comp[comp == comp[y]] = comp[z]
+                    found.append((z, y))
+        return found
     main: np.ndarray = np.zeros(n, bool)
     for z in range(n):
         if main[z]:
@@ -254,25 +263,25 @@ def _sketched(words: int, rows: int, bands: int):
 
 
 def _linked(threshold: float, m: int, words: int):
-    """Links within each (grp, x, y) of the sorted rows; with marked rows, theirs only."""
+    """Links within each (grp, x, y) of the sorted rows; where y isn't negative, those of marked rows with other components only."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(task: tuple, members: dict) -> pa.RecordBatch:
             ids = list(members)
             sets = list(shingle_sets([members[i][0] for i in ids], words))
-            pairs = links(sets, threshold, m, [members[i][1] for i in ids] if task[2] >= 0 else None)
+            pairs = links(sets, threshold, m, *(([members[i][1] for i in ids], [members[i][2] for i in ids]) if task[2] >= 0 else ()))
             return pa.RecordBatch.from_arrays([pa.array([ids[p[i]] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         task, members = None, {}
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                for group, x, y, rep, marked, text in zip(*(part.column(i).to_pylist() for i in range(6))):
+                for group, x, y, rep, marked, root, text in zip(*(part.column(i).to_pylist() for i in range(7))):
                     if (group, x, y) != task:
                         if len(members) > 1:
                             yield made(task, members)
                         task, members = (group, x, y), {}
-                    members[rep] = text, marked or members.get(rep, (None, False))[1]
+                    members[rep] = text, marked, root
         if len(members) > 1:
             yield made(task, members)
 
@@ -280,46 +289,63 @@ def _linked(threshold: float, m: int, words: int):
 
 
 def _searched(tasks: DataFrame, texts: DataFrame, threshold: float, m: int, words: int) -> DataFrame:
-    """a, b: the links of each task's members (grp, x, y, rep, marked); ``texts`` has rep and text."""
-    dealt = tasks.join(texts, "rep").select("grp", "x", "y", "rep", "marked", "text")
+    """a, b: the links of each task's members (grp, x, y, rep, marked, root), each there once but for a part's hub; ``texts`` has rep and text."""
+    dealt = tasks.join(texts, "rep").select("grp", "x", "y", "rep", "marked", "root", "text")
     dealt = dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "rep")
     return stored(dealt.transform(in_batches, _linked(threshold, m, words), "a long, b long"), "links")
 
 
-def _confirmed(classes: DataFrame, groups: DataFrame, texts_of, threshold: float, m: int, words: int) -> DataFrame:
-    """node, root: the components of the confirmed links; ``groups`` has node and root of the candidate groups."""
-    members = stored(classes.join(groups, classes["rep"] == groups["node"]).select("rep", F.col("root").alias("grp"), "n_shingles", "least", "t"), "groups")
-    parts = F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n_shingles") / BLOCK)).cast("int")
-    sizes = stored(members.groupBy("grp").agg(parts.alias("parts"), F.min("rep").alias("first"), F.count("*").alias("n")), "group-sizes")
+def _parts() -> Column:
+    """In how many parts members are dealt."""
+    return F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n_shingles") / BLOCK)).cast("int")
+
+
+def _confirmed(classes: DataFrame, groups: DataFrame, held: DataFrame, texts_of, threshold: float, m: int, words: int) -> DataFrame:
+    """node, root: the components of the confirmed links; ``groups`` has node and root of the candidate groups, ``held`` the members (rep, band, n) of buckets."""
+    crowds = held.groupBy("rep").agg(F.sum("n").alias("crowd"))
+    members = classes.join(groups, classes["rep"] == groups["node"]).select("rep", F.col("root").alias("grp"), "n_shingles", "least", "t").join(crowds, "rep")
+    members = stored(members, "groups")
+    hub = F.max_by("rep", F.struct("crowd", -F.col("rep"))).alias("hub")
+    sizes = stored(members.groupBy("grp").agg(_parts().alias("parts"), hub, F.count("*").alias("n")), "group-sizes")
     members = hot_join(members, sizes, ["grp"], "inner", sizes.count(), 56, "n")
     members = members.withColumn("x", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     texts = stored(texts_of(members.select("rep", "least", "t"), members.count()), "group-texts")
 
-    def of(tasks: DataFrame) -> DataFrame:
-        return _searched(tasks, texts, threshold, m, words)
-
-    none, no = F.lit(-1).alias("y"), F.lit(False).alias("marked")
-    split = sizes.where("parts > 1").select("grp", F.explode(F.expr("sequence(0, parts - 1)")).alias("x"), none, F.col("first").alias("rep"), no)
-    links_ = of(members.select("grp", "x", none, "rep", no).unionByName(split))
+    none, no, own = F.lit(-1).alias("y"), F.lit(False).alias("marked"), F.col("rep").alias("root")
+    split = sizes.where("parts > 1").select("grp", F.explode(F.expr("sequence(0, parts - 1)")).alias("x"), none, F.col("hub").alias("rep"), no, F.col("hub").alias("root"))
+    links_ = _searched(members.select("grp", "x", none, "rep", no, own).unionByName(split), texts, threshold, m, words)
+    so_far = connected_components(links_)
     if sizes.where("parts > 1").isEmpty():
-        return connected_components(links_)
-    so_far = stored(connected_components(links_), "components-so-far")
-    large = members.where("parts > 1").join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "rep", "x", "parts", "first", F.coalesce("root", "rep").alias("root"))
-    firsts = large.where("rep = first").select("grp", F.col("root").alias("main"))
-    outside = hot_join(large, sizes.where("parts > 1").join(firsts, "grp").select("grp", "main", "n"), ["grp"], "inner", sizes.where("parts > 1").count(), 56, "n")
-    outside = stored(outside.where("root <> main").select("grp", "rep", "parts"), "outside")
-    blocks = outside.groupBy("grp").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"), F.count("*").alias("n"))
-    blocks = stored(blocks, "outside-blocks")
-    many = blocks.count()
-    if not many:
         return so_far
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    asked = hot_join(outside, blocks, ["grp"], "inner", many, 48, "n")
-    asked = asked.select("grp", F.explode(F.expr("sequence(0, parts - 1)")).alias("x"), block.alias("y"), "rep", F.lit(True).alias("marked"))
-    there = hot_join(members, blocks.withColumnRenamed("n", "outside"), ["grp"], "inner", many, 48, "outside")
-    there = there.select("grp", "x", F.explode(F.expr("sequence(0, blocks - 1)")).alias("y"), "rep", no)
-    more = of(asked.unionByName(there))
-    return connected_components(links_.unionByName(more))
+    so_far = stored(so_far, "components-so-far")
+    large = members.where("parts > 1").select("rep", "n_shingles").join(so_far.withColumnRenamed("node", "rep"), "rep", "left")
+    large = stored(large.select("rep", "n_shingles", F.coalesce("root", "rep").alias("root")), "large-groups")
+    more = _searched(_mixed(held, large), texts, threshold, m, words)
+    if more.isEmpty():
+        return so_far
+    return connected_components(so_far.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def _mixed(held: DataFrame, large: DataFrame) -> DataFrame:
+    """Tasks (grp, x, y, rep, marked, root) for the buckets in which members (rep, n_shingles, root) of several components meet.
+
+    Those outside the bucket's largest component are marked, in a task for each block y of them and each part x of the bucket.
+    """
+    inside = stored(held.select("rep", F.col("band").alias("grp")).join(large, "rep"), "large-buckets")
+    by_root = inside.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    by_root = by_root.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+    kept = stored(by_root.where("roots > 1").select("grp", "main", "n"), "mixed-buckets")
+    inside = hot_join(inside, kept, ["grp"], "inner", kept.count(), 48, "n").withColumn("outside", F.col("root") != F.col("main"))
+    inside = stored(inside.select("grp", "rep", "root", "n_shingles", "outside"), "mixed-members")
+    out = F.when(F.col("outside"), F.col("n_shingles"))
+    blocks = F.greatest(F.ceil(F.count(out) / ROWS), F.ceil(F.sum(out) / BLOCK)).cast("int").alias("blocks")
+    dealt = stored(inside.groupBy("grp").agg(_parts().alias("parts"), blocks, F.count("*").alias("n")), "mixed-sizes")
+    inside = hot_join(inside, dealt, ["grp"], "inner", dealt.count(), 48, "n")
+    inside = inside.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+    there = inside.select("grp", F.col("part").alias("x"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("y"), "rep", "root", "outside", "block")
+    there = there.select("grp", "x", "y", "rep", (F.col("outside") & (F.col("block") == F.col("y"))).alias("marked"), "root")
+    asked = inside.where("outside and parts > 1").select("grp", F.explode(F.expr("sequence(0, parts - 1)")).alias("x"), F.col("block").alias("y"), "rep", F.lit(True).alias("marked"), "root", "part")
+    return there.unionByName(asked.where("x <> part").drop("part"))
 
 
 def _components(docs: DataFrame, threshold: float, words: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame]:
@@ -335,7 +361,8 @@ def _components(docs: DataFrame, threshold: float, words: int, rows: int, bands:
 
     keys = classes.select("rep", F.explode("bands").alias("band"))
     buckets = stored(keys.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    stars = hot_join(keys, buckets, ["band"], "inner", buckets.count(), 48, "n").where("rep <> centre")
+    held = stored(hot_join(keys, buckets, ["band"], "inner", buckets.count(), 48, "n").select("rep", "band", "centre", "n"), "held")
+    stars = held.where("rep <> centre")
     # a member is tied to the smallest of its centres, and the others to that one: as connected, with far fewer different ties
     ties = stars.groupBy("rep").agg(F.collect_set("centre").alias("centres")).withColumn("first", F.array_min("centres"))
     ties = ties.select(F.explode(F.array_append("centres", F.col("rep"))).alias("a"), F.col("first").alias("b"))
@@ -346,7 +373,7 @@ def _components(docs: DataFrame, threshold: float, words: int, rows: int, bands:
         found = found.join(small_or_shuffled(wanted, many, 48), found["t"].eqNullSafe(wanted["t"]) & found["least"].eqNullSafe(wanted["least"]))
         return found.groupBy("rep").agg(F.any_value("text").alias("text"))
 
-    components = _confirmed(classes.drop("bands"), groups, texts_of, threshold, rows * bands, words)
+    components = _confirmed(classes.drop("bands"), groups, held, texts_of, threshold, rows * bands, words)
     known = classes.drop("bands").join(components, classes["rep"] == components["node"], "left").where("root is not null or rows > 1")
     known = stored(known.select(*KEY, "least", "rows", F.coalesce("root", "rep").alias("comp")), "component-classes")
     least = stored(known.groupBy("comp").agg(F.min("least").alias("to"), F.count("*").alias("n")), "component-ids")

@@ -105,6 +105,39 @@ def test_links_connect_what_all_pairs_connect():
         assert parts[0] == parts[1]
 
 
+def test_searched_sets_give_a_link_for_each_joined_component():
+    """Not all their pairs, whose number grows with the square of a group."""
+    s = np.arange(100, dtype=np.uint64)
+    sets = [np.concatenate((s[:97], np.array([1000 + i], np.uint64))) for i in range(40)]
+    assert len(near_dup.links(sets, 0.85, 320, [True] * 40, list(range(40)))) == 39
+    assert len(near_dup.links(sets, 0.85, 320, [True] * 40, [i // 10 for i in range(40)])) == 3
+    assert near_dup.links(sets, 0.85, 320, [True] * 40, [7] * 40) == []
+    assert near_dup.links(sets, 0.85, 320, [False] * 40, list(range(40))) == []
+
+
+def test_large_groups_of_near_copies_give_few_links(table, monkeypatch):
+    """A group whose smallest member is like none of the dense part."""
+    monkeypatch.setattr(near_dup, "ROWS", 10)
+    made, kept = [], near_dup.stored
+
+    def counted(df, name):
+        df = kept(df, name)
+        if name == "links":
+            made.append(df.count())
+        return df
+
+    monkeypatch.setattr(near_dup, "stored", counted)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base[:60] + [f"x{i}" for i in range(20)] + base[80:]))]
+    for i in range(1, 120):
+        words = list(base)
+        words[rng.randrange(150)] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    check(near_dup.near_duplicates(table(rows)).collect(), plain(rows))
+    assert sum(made) < 3 * len(rows)
+
+
 def test_estimate_and_merge():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
