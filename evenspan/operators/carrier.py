@@ -43,17 +43,16 @@ def serialize(facts: DataFrame) -> DataFrame:
 
 
 def deserialize(rows: DataFrame) -> DataFrame:
-    """The events again: bars are a running count of advances, and every four other tokens are an event.  A broken order is an error."""
-    t = rows.select("song_id", F.posexplode("tokens").alias("i", "token"))
-    w = Window.partitionBy("song_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("advance", (F.col("token") == "BAR_ADVANCE").cast("int"))
-    t = t.withColumn("bar", F.sum("advance").over(w)).withColumn("k", F.sum(1 - F.col("advance")).over(w) - 1).where("advance = 0")
-
-    def at(n: int) -> Column:
-        return F.max(F.when(F.pmod("k", F.lit(4)) == n, F.col("token")))
-
-    e = t.groupBy("song_id", div(F.col("k"), 4).alias("e")).agg(F.max("bar").alias("bar"), F.min("bar").alias("bar0"), F.count("*").alias("n"), at(0).alias("p"), at(1).alias("c"), at(2).alias("b"), at(3).alias("r"))
-    sound = (F.col("n") == 4) & (F.col("bar") == F.col("bar0")) & F.col("p").startswith("POSITION_") & F.col("c").rlike("^(REST|PITCH_[0-9]+)$") & F.col("b").startswith("DURATION_BAR_") & F.col("r").startswith("DURATION_REMAINDER_")
+    """The events again: every four tokens that aren't advances are an event, and its bar is the number of advances before it.  A broken order is an error.
+
+    All of it happens within a song's array: of the n-th such token (from 0) at place i, i - n advances come before it.
+    """
+    others = F.filter(F.transform("tokens", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: (t["x"] != "BAR_ADVANCE") | t["x"].isNull())
+    others = F.transform(others, lambda t, n: F.struct((t["i"] - n).cast("bigint").alias("bar"), t["x"].alias("x")))
+    fours = F.when(F.size("t") > 0, F.transform(F.sequence(F.lit(0), F.expr("(size(t) - 1) div 4").cast("int")), lambda e: F.struct(*(F.get("t", e * 4 + j).alias(c) for j, c in enumerate("pcbr")))))
+    e = rows.select("song_id", others.alias("t")).select("song_id", F.explode(fours).alias("e"))
+    e = e.select("song_id", F.col("e.p.bar").alias("bar"), F.col("e.r.bar").alias("last"), *(F.col(f"e.{c}.x").alias(c) for c in "pcbr"))
+    sound = (F.col("bar") == F.col("last")) & F.col("p").startswith("POSITION_") & F.col("c").rlike("^(REST|PITCH_[0-9]+)$") & F.col("b").startswith("DURATION_BAR_") & F.col("r").startswith("DURATION_REMAINDER_")
 
     def number(c: str) -> Column:
         return F.regexp_extract(c, "([0-9]+)$", 1).try_cast("bigint")
