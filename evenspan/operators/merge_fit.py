@@ -123,12 +123,9 @@ class MergeIndex:
         s, n = F.col("symbols"), F.greatest(F.size("symbols") - 1, F.lit(0))
         pairs = F.zip_with(F.slice(s, 1, n), F.slice(s, 2, n), lambda a, b: F.struct(a.alias("l"), b.alias("r")))
         held = self._rows.select("song_id", F.explode(pairs).alias("p")).groupBy("song_id", "p.l", "p.r").agg(F.count("*").alias("n"))
-        self._index = self._kept(held.repartitionByRange(self._parts(), "l", "r").sortWithinPartitions("l", "r"), "index")
+        self._index = self._kept(held.sortWithinPartitions("l", "r"), "index")  # not dealt by ranges, as their samples would count all pairs twice
         self._counts = self._kept(self._index.groupBy("l", "r").agg(F.sum("n").alias("n"), F.count("*").alias("songs")), "counts")
 
-    def _parts(self) -> int:
-        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}-{self._turn}"
         df.write.parquet(path)

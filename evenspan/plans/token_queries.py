@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bpe, carrier, codelen, merge_gain
 from ..operators import events as ev
+from ..operators.durable import checkpointed
 from ..sources import cache
 from ..sources.shared import shared_dir
 from .base import facts, query, rounded, table
@@ -127,9 +128,8 @@ def bpe_support_merges(spark, sf_dir):
 
 @query("{facts}, s AS (SELECT song_id, string_agg('p' || pitch % 12, ' ' ORDER BY onset, pitch, duration) AS back FROM facts GROUP BY 1) SELECT * FROM s")
 def bpe_roundtrip(spark, sf_dir):
-    s = _symbols(spark, sf_dir)
-    rules = [(a, b) for a, b, _ in bpe.fit(s, 16)]
-    e = s.select("song_id", bpe.encoded(F.col("symbols"), rules).alias("symbols"))
+    s = checkpointed(_symbols(spark, sf_dir))  # fitted and encoded from one reading of the events
+    e = bpe.encode(s, [(a, b) for a, b, _ in bpe.fit(s, 16)])
     return e.select("song_id", F.array_join(bpe.decoded(F.col("symbols")), " ").alias("back"))
 
 
