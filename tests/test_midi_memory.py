@@ -1,5 +1,7 @@
 """Workers turn files into Python objects by small slices, however many rows a batch has."""
 
+import tracemalloc
+
 import pyarrow as pa
 
 from evenspan.sources import midi
@@ -28,3 +30,18 @@ def test_empty_batches_and_null_contents():
     assert list(midi._rendered(iter([batch([])]))) == []
     nothing = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([None], pa.binary())], ["path", "content"])
     assert [g.column("status").to_pylist() for g in midi._scan(True, 96)(iter([nothing]))] == [["corrupt"]]
+
+
+def test_memory_of_the_builds_scan_does_not_grow_with_a_batch():
+    def peak(songs):
+        held = batch([40] * songs)
+        tracemalloc.start()
+        files = pa.Table.from_batches(list(midi._rendered(iter([held])))).combine_chunks().to_batches()
+        rows = sum(b.num_rows for b in midi._scan(True, None)(iter(files)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == songs
+        return most
+
+    peak(100)
+    assert peak(4000) < 2 * peak(400)
