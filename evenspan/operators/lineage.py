@@ -38,31 +38,36 @@ def line_hashes(facts: DataFrame, version: str = "v1", per_beat: int = 96) -> Da
     The transposed form counts pitches from the lowest at the first onset; the rhythm form has a line for each onset
     with the motion of its lowest and highest pitch and the pitch classes above the lowest.
     """
-    # all steps are within a song, so its notes are dealt once
+    # all steps are within a song, so its notes are dealt once, and one sort serves both windows
     notes = facts.where("event_type = 'NOTE' and song_id is not null").select("song_id", "onset", "pitch", "duration").repartition("song_id")
-    groups = notes.groupBy("song_id", "onset").agg(F.array_sort(F.collect_list(F.struct("pitch", "duration"))).alias("g"))
-    w = Window.partitionBy("song_id").orderBy("onset")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    low, high = F.col("g")[0]["pitch"], F.element_at("g", -1)["pitch"]
-    groups = groups.select("*", low.alias("low"), high.alias("high"), F.array_min(F.transform("g", lambda n: n["pitch"])).alias("least"), F.min("onset").over(whole).alias("start"))
-    groups = groups.select("*", F.lag("low").over(w).alias("plow"), F.lag("high").over(w).alias("phigh"), (F.col("onset") - F.coalesce(F.lag("onset").over(w), F.col("onset"))).alias("step"), F.min(F.when(F.col("onset") == F.col("start"), F.col("least"))).over(whole).alias("base"))
-    groups = groups.withColumn("at", reduced_fraction(F.col("onset") - F.col("start"), per_beat)).withColumn("g", F.transform("g", lambda n: F.struct(n["pitch"].alias("pitch"), reduced_fraction(n["duration"], per_beat).alias("d"))))
+    chord = Window.partitionBy("song_id", "onset").orderBy("pitch", "duration")
+    song = Window.partitionBy("song_id").orderBy("onset", "pitch", "duration")
+    of_chord, of_song = (w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) for w in (chord, song))
+    notes = notes.select("*", F.count("*").over(of_chord).alias("n"), F.first("pitch").over(of_chord).alias("low"), F.last("pitch").over(of_chord).alias("high"))
+    known = F.when(F.col("onset").isNotNull() & F.col("pitch").isNotNull(), F.struct("onset", "pitch"))
+    # the note before is of the same chord if its onset is equal, else of the chord before
+    before = [F.lag(c).over(song).alias(f"p{c}") for c in ("onset", "low", "high")]
+    notes = notes.select("*", F.row_number().over(song).alias("i"), F.min("onset").over(of_song).alias("start"), F.first(known, ignorenulls=True).over(of_song).alias("known"), *before)
+    base = F.when(F.col("known.onset") == F.col("start"), F.col("known.pitch"))
+    notes = notes.select("*", base.alias("base"), reduced_fraction(F.col("onset") - F.col("start"), per_beat).alias("at"), reduced_fraction(F.col("duration"), per_beat).alias("d"))
 
     def motion(a: str, b: str) -> Column:
         return F.coalesce(F.pmod(F.col(a) - F.col(b), F.lit(12)).cast("string"), F.lit("START"))
 
-    def flat(pitch) -> Column:
-        return F.array_join(F.transform("g", lambda n: F.concat_ws("|", F.lit("NOTE"), F.col("at"), pitch(n["pitch"]).cast("string"), n["d"])), "\n")
+    def flat(pitch: Column) -> Column:
+        return F.concat_ws("|", F.lit("NOTE"), "at", pitch.cast("string"), "d")
 
-    inner = F.array_join(F.transform("g", lambda n: F.concat_ws(":", F.pmod(n["pitch"] - F.col("low"), F.lit(12)).cast("string"), n["d"])), ",")
-    line = F.concat(F.lit("ONSET|"), reduced_fraction(F.col("step"), per_beat), F.lit("|N="), F.size("g").cast("string"), F.lit("|B="), motion("low", "plow"), F.lit("|T="), motion("high", "phigh"), F.lit("|"), inner)
-    rows = groups.select("song_id", F.struct("onset", flat(lambda p: p).alias("exact"), flat(lambda p: p - F.col("base")).alias("transposed"), line.alias("rhythm")).alias("x"))
-    songs = rows.groupBy("song_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    step = F.col("onset") - F.coalesce("ponset", "onset")
+    head = F.concat(F.lit("ONSET|"), reduced_fraction(step, per_beat), F.lit("|N="), F.col("n").cast("string"), F.lit("|B="), motion("low", "plow"), F.lit("|T="), motion("high", "phigh"), F.lit("|"))
+    opening = F.when(F.col("i") == 1, head).when(F.col("onset").eqNullSafe(F.col("ponset")), ",").otherwise(F.concat(F.lit("\n"), head))
+    rhythm = F.concat(opening, F.concat_ws(":", F.pmod(F.col("pitch") - F.col("low"), F.lit(12)).cast("string"), "d"))
+    rows = notes.select("song_id", F.struct("i", flat(F.col("pitch")).alias("exact"), flat(F.col("pitch") - F.col("base")).alias("transposed"), rhythm.alias("rhythm")).alias("x"))
+    songs = rows.groupBy("song_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
 
-    def lines(kind: str, form: str) -> Column:
-        return F.sha2(F.concat_ws("\n", F.lit(version), F.lit(f"kind={kind}"), F.array_join(F.col(f"x.{form}"), "\n"), F.lit("")), 256).alias(form)
+    def lines(kind: str, form: str, between: str = "\n") -> Column:
+        return F.sha2(F.concat_ws("\n", F.lit(version), F.lit(f"kind={kind}"), F.array_join(F.col(f"x.{form}"), between), F.lit("")), 256).alias(form)
 
-    return songs.select("song_id", lines("exact", "exact"), lines("transposition_invariant", "transposed"), lines("rhythm_interval", "rhythm"))
+    return songs.select("song_id", lines("exact", "exact"), lines("transposition_invariant", "transposed"), lines("rhythm_interval", "rhythm", ""))
 
 
 def note_content_hash(facts: DataFrame) -> DataFrame:
@@ -73,20 +78,29 @@ def note_content_hash(facts: DataFrame) -> DataFrame:
     return facts.where("event_type = 'NOTE'").groupBy("song_id").agg(F.sha2(body, 256).alias("content"))
 
 
-def components(members: DataFrame, relations: list[str], key: str = "song_id") -> DataFrame:
-    """key, root (the smallest key that is connected): samples that share the value of any relation are connected.
-
-    Samples that agree in all relations are one class, which the smallest of them stands for.  Labels pass from classes
-    to values and back until none changes, so a value's samples are never paired; only classes that share a value take part.
-    """
+def _classes(members: DataFrame, relations: list[str], key: str, *more: Column) -> DataFrame:
+    """The relations' values, rep (the smallest key that has them) and ``more`` for each class of samples that agree in all relations."""
     some = reduce(Column.__or__, (F.col(r).isNotNull() for r in relations))
-    classes = checkpointed(members.where(some).groupBy(*relations).agg(F.min(key).alias("rep")))
+    return checkpointed(members.where(some).groupBy(*relations).agg(F.min(key).alias("rep"), *more))
+
+
+def _rooted(classes: DataFrame, relations: list[str]) -> DataFrame:
+    """Adds root to classes: the smallest key of all classes that are connected by shared values."""
     links = reduce(DataFrame.unionByName, (classes.select(F.col("rep").alias("node"), F.struct(F.lit(r).alias("r"), F.col(r).alias("v")).alias("value")).where(F.col(r).isNotNull()) for r in relations))
     shared = links.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
     links = checkpointed(links.join(shared, "value", "left_semi"))
     labels = checkpointed(links.select("node").distinct().withColumn("label", F.col("node")))
     labels = labels if links.isEmpty() else _least_labels(links, labels)
-    rooted = classes.join(labels, classes["rep"] == labels["node"], "left").select(*(F.col(r).alias(f"_{r}") for r in relations), F.coalesce("label", "rep").alias("_root"))
+    return classes.join(labels, classes["rep"] == labels["node"], "left").select(*classes.columns, F.coalesce("label", "rep").alias("root"))
+
+
+def components(members: DataFrame, relations: list[str], key: str = "song_id") -> DataFrame:
+    """key, root (the smallest key that is connected): samples that share the value of any relation are connected.
+
+    Samples that agree in all relations are one class, which the smallest of them stands for.  Labels pass from classes
+    to values and back until none changes, so a value's samples are never paired; only classes that share a value take part.
+    """
+    rooted = _rooted(_classes(members, relations, key), relations).select(*(F.col(r).alias(f"_{r}") for r in relations), F.col("root").alias("_root"))
     same = reduce(Column.__and__, (F.col(r).eqNullSafe(F.col(f"_{r}")) for r in relations))
     return members.select(key, *relations).join(rooted, same, "left").select(key, F.coalesce("_root", key).alias("root"))
 
@@ -108,13 +122,20 @@ def _least_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 def families(members: DataFrame, relations: list[str], prefix: str = "family_", key: str = "song_id", roots: DataFrame | None = None) -> DataFrame:
     """Per component (``roots`` where they are known): root, lineage_id (a digest of its sorted keys), sample_count, merged relations."""
-    rows = members.join(components(members, relations, key) if roots is None else roots, key)
-    ids = F.array_sort(F.collect_list(F.col(key).cast("string")))
-    name = F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(F.array_join(ids, "\n"), F.lit("\n")), 256), 1, 24))
-    return rows.groupBy("root").agg(
-        name.alias("lineage_id"), F.count("*").alias("sample_count"),
-        F.array_join(F.array_compact(F.array(*(F.when(F.count_distinct(r) < F.count("*"), F.lit(r)) for r in relations))), ",").alias("reasons"),
-    )
+    held = [F.count("*").alias("n"), F.collect_list(F.col(key).cast("string")).alias("ids")]
+    if roots is None:
+        members = members.where(F.col(key).isNotNull())
+        classes = _rooted(_classes(members, relations, key, *held), relations).drop("rep")
+        none = reduce(Column.__and__, (F.col(r).isNull() for r in relations))
+        classes = classes.unionByName(members.where(none).groupBy(F.col(key).alias("root"), *relations).agg(*held))
+    else:
+        classes = members.join(roots, key).groupBy("root", *relations).agg(*held)
+    # values are counted once for each class, so lists of keys aren't carried along with every distinct count
+    kinds = classes.groupBy("root").agg(*(F.count_distinct(r).alias(f"_{r}") for r in relations))
+    name = F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(F.array_join(F.sort_array(F.flatten("ids")), "\n"), F.lit("\n")), 256), 1, 24))
+    found = classes.groupBy("root").agg(F.collect_list("ids").alias("ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("sample_count")).join(kinds, "root")
+    reasons = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"_{r}") < F.col("sample_count"), F.lit(r)) for r in relations))), ",")
+    return found.select("root", name.alias("lineage_id"), "sample_count", reasons.alias("reasons"))
 
 
 def duplicate_members(rows: DataFrame, value: str, key: str = "song_id") -> DataFrame:
